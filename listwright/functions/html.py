@@ -54,6 +54,8 @@ class _Flattener(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[list] = []
         self.open: list[list] = []
+        # The document itself is node 0, so everything has an ancestor.
+        self.open.append(self._add("[document]", [None] * len(_ATTRIBUTES), None))
         self.muted = 0
         self.run_of_text: list | None = None
 

@@ -90,18 +90,19 @@ def stored_shape(fetched_at: Column) -> list[Column]:
 def new_listings(
     raw: DataFrame, known: DataFrame | None, config: IngestConfig, fetched_at: Column
 ) -> DataFrame:
-    """Rows to append: eligible, first of their address in this cycle, not stored yet.
+    """Rows to append: eligible, first of their address, not stored yet.
 
-    ``raw`` carries RAW_LISTING columns and ``item_ord``; ``known`` has ``dedupe_hash``.
+    ``raw`` carries RAW_LISTING columns, ``cycle_id`` and ``item_ord``; ``known`` has
+    ``dedupe_hash``. First means earliest cycle, then source order, then item order.
     """
     eligible = judge(raw, config).filter("verdict = 'eligible'")
     winners = first_per_key(
         eligible.withColumn("_source_ord", source_order(F.col("source"))),
-        ["dedupe_hash"], ["_source_ord", "item_ord"],
+        ["dedupe_hash"], ["cycle_id", "_source_ord", "item_ord"],
     )
     if known is not None:
         winners = not_in(winners, known, "dedupe_hash")
-    return winners.select(*stored_shape(fetched_at), "_source_ord", "item_ord")
+    return winners.select(*stored_shape(fetched_at), "cycle_id", "_source_ord", "item_ord")
 
 
 def source_failures(landing: DataFrame) -> DataFrame:
@@ -125,23 +126,25 @@ def source_failures(landing: DataFrame) -> DataFrame:
 
 
 def cycle_summary(raw: DataFrame, known: DataFrame | None, config: IngestConfig) -> DataFrame:
-    """Fetched / inserted / skipped per source and in total, with the reasons for skipping.
+    """Fetched / inserted / skipped per cycle and source, with the reasons for skipping.
 
     Only (source, verdict, hash) leaves the scan. Copies of one address are added up before
-    the shuffle, so afterwards an address has at most one row per source and verdict.
+    the shuffle, so afterwards an address has at most one row per cycle and source.
     """
     thin = judge(raw, config).select(
-        "source", "verdict", "item_ord",
+        "cycle_id", "source", "verdict", "item_ord",
         F.when(F.col("verdict") == "eligible", F.col("dedupe_hash")).alias("dedupe_hash"),
     )
-    per_source_hash = thin.groupBy("source", "verdict", "dedupe_hash").agg(
+    per_source_hash = thin.groupBy("cycle_id", "source", "verdict", "dedupe_hash").agg(
         F.count("*").alias("n"), F.min("item_ord").alias("item_ord")
     )
     rejected = per_source_hash.filter("verdict <> 'eligible'").select(
-        "source", "verdict", "n", F.lit(0).alias("inserted")
+        "cycle_id", "source", "verdict", "n", F.lit(0).alias("inserted")
     )
     eligible = per_source_hash.filter("verdict = 'eligible'")
-    first = Window.partitionBy("dedupe_hash").orderBy(source_order(F.col("source")), "item_ord")
+    first = Window.partitionBy("dedupe_hash").orderBy(
+        "cycle_id", source_order(F.col("source")), "item_ord"
+    )
     eligible = eligible.withColumn("winner", F.row_number().over(first) == 1)
     if known is not None:
         marked = known.select("dedupe_hash", F.lit(True).alias("stored"))
@@ -149,14 +152,14 @@ def cycle_summary(raw: DataFrame, known: DataFrame | None, config: IngestConfig)
     else:
         eligible = eligible.withColumn("stored", F.lit(None).cast("boolean"))
     accepted = eligible.select(
-        "source", "verdict", "n",
+        "cycle_id", "source", "verdict", "n",
         (F.col("winner") & F.col("stored").isNull()).cast("int").alias("inserted"),
     )
     n, kind = F.col("n"), F.col("verdict")
     count = lambda what: F.coalesce(F.sum(F.when(what, n)), F.lit(0)).cast("long")
     return (
         rejected.unionByName(accepted)
-        .rollup("source")
+        .groupingSets([["cycle_id", "source"], ["cycle_id"]], "cycle_id", "source")
         .agg(
             F.sum("n").cast("long").alias("fetched"),
             F.sum("inserted").cast("long").alias("inserted"),
