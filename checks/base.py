@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listwright.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -34,8 +36,13 @@ def check(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# Tables of long texts, and the column their rows are spread by.
+_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, _TEXT_TABLES[name]) if name in _TEXT_TABLES else df
 
 
 SOURCES = ["remoteok", "wwr", "hn", "upwork_rss", "rozee", "manual"]

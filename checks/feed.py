@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import AS_OF_SQL, B0, B1, as_of, check, jobs, table, with_jobs
+from checks.base import B0, B1, as_of, check, jobs, table, with_jobs
 from checks.ingest import CONFIG
 from listwright import fixed_values as fv
 from listwright.functions.scalars import required_years
@@ -148,7 +148,15 @@ def experience_facets(spark, d):
 
 
 # ------------------------------------------------------------------ feeds
-def _feed(name: str, where: str, request: feed.FeedRequest, first: int = 1, last: int | None = 25):
+# A clock inside the time span of the fixture, where the default one leaves nothing.
+EARLY_SQL = "TIMESTAMP '2024-01-03 12:00:00'"
+
+
+def early():
+    return F.lit("2024-01-03 12:00:00").cast("timestamp_ntz")
+
+
+def _feed(name: str, where: str, request: feed.FeedRequest, first: int = 1, last: int | None = 25, clock=as_of):
     bounds = f"WHERE n BETWEEN {first} AND {last}" if last else ""
     sql = with_jobs(
         f"""SELECT {CARD_SQL}, n FROM (SELECT *, row_number() OVER (ORDER BY {FEED_ORDER}) AS n
@@ -158,7 +166,7 @@ def _feed(name: str, where: str, request: feed.FeedRequest, first: int = 1, last
     @check(name, sql)
     def run(spark, d):
         rows = jobs(spark, d)
-        return _numbered(feed.feed_page(rows, request, as_of()), feed.feed_order(request)).withColumn(
+        return _numbered(feed.feed_page(rows, request, clock()), feed.feed_order(request)).withColumn(
             "n", F.col("n") + (first - 1)
         )
 
@@ -167,9 +175,9 @@ _feed("active_feed_top25", "status <> 'ignored'", feed.FeedRequest())
 _feed("feed_page_3", "status <> 'ignored'", feed.FeedRequest(page=3), 51, 75)
 _feed("freelance_feed", f"status <> 'ignored' AND {FREELANCE_SQL}", feed.FeedRequest(freelance=True))
 _feed(
-    "posted_within_7d",
-    f"status <> 'ignored' AND coalesce(posted_at, fetched_at) >= {AS_OF_SQL} - INTERVAL 7 DAY",
-    feed.FeedRequest(posted_within=7),
+    "posted_within_1d",
+    f"status <> 'ignored' AND coalesce(posted_at, fetched_at) >= {EARLY_SQL} - INTERVAL 1 DAY",
+    feed.FeedRequest(posted_within=1), clock=early,
 )
 _feed(
     "feed_by_source_status_score",
@@ -275,14 +283,13 @@ def _chart_sql() -> str:
         FROM (SELECT DISTINCT source FROM recent) s CROSS JOIN days
         LEFT JOIN recent r ON r.source = s.source AND CAST(r.fetched_at AS DATE) = days.day
         GROUP BY ALL""",
-        """days AS (SELECT CAST(unnest(generate_series(DATE '2024-01-18', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day)""",
+        """days AS (SELECT CAST(unnest(generate_series(DATE '2023-12-21', DATE '2024-01-03', INTERVAL 1 DAY)) AS DATE) AS day)""",
         """recent AS (SELECT source, fetched_at FROM jobs WHERE CAST(fetched_at AS DATE)
-          BETWEEN DATE '2024-01-18' AND DATE '2024-01-31')""",
+          BETWEEN DATE '2023-12-21' AND DATE '2024-01-03')""",
     ),
 )
 def listings_per_source_day(spark, d):
-    # Listings of the whole event table: the fixture's own dates end before the period.
-    return stats.listings_per_source_day(jobs(spark, d), as_of())
+    return stats.listings_per_source_day(jobs(spark, d), early())
 
 
 @check(

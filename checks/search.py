@@ -6,9 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from checks.base import B0, B1, check, jobs, table, with_jobs
+from checks.base import B0, B1, TITLES, check, jobs, table, with_jobs
 from listwright import fixed_values as fv
-from listwright.operators import match, probes
+from listwright.operators import match
 from listwright.operators.search import search, search_batch
 
 SEP = r"[\s_/-]+"
@@ -144,78 +144,40 @@ def search_parts(spark, d):
 
 
 # ------------------------------------------------------------------ batch search
-def _alias_rows() -> str:
-    return ", ".join(f"('{w}', '{f}')" for w, forms in fv.ALIASES.items() for f in forms)
+def _spellings(word: str) -> list[str]:
+    squashed = re.sub("[^a-z0-9]", "", word.lower())
+    same = fv.ALIASES.get(word.lower(), []) + fv.ALIASES.get(squashed, [])
+    return [word, *dict.fromkeys(f for f in same if f != word)]
 
 
-def batch_sql(queries: str, source: str) -> str:
-    """All queries at once in SQL; queries are bare words without punctuation except '-'."""
-    fields = ", ".join(f"({k}, {w})" for k, (_, w) in enumerate(FIELDS))
-    esc = "regexp_replace({}, '([^A-Za-z0-9_ ])', '\\\\\\1', 'g')"
-    form_re = (
-        f"'{B0}' || replace({esc.format('form')}, ' ', '{SEP}') || "
-        f"CASE WHEN regexp_matches(form, '[A-Za-z0-9]$') THEN '(s|es|js|\\p{{Nd}}+|\\.js)?{B1}' ELSE '' END"
-    )
-    return f"""
-    aliases(word, form) AS (VALUES {_alias_rows()}),
-    queries AS ({queries}),
-    raw_terms AS (SELECT query_id, unnest(string_split(q, ' ')) AS word,
-        generate_subscripts(string_split(q, ' '), 1) - 1 AS pos, len(string_split(q, ' ')) AS n FROM queries),
-    forms AS (SELECT DISTINCT query_id, pos, n, word, form FROM (
-        SELECT query_id, pos, n, word, word AS form FROM raw_terms
-        UNION ALL SELECT query_id, pos, n, r.word, a.form FROM raw_terms r JOIN aliases a ON a.word = lower(r.word)
-        UNION ALL SELECT query_id, pos, n, r.word, a.form FROM raw_terms r
-          JOIN aliases a ON a.word = regexp_replace(lower(r.word), '[^a-z0-9]', '', 'g'))),
-    terms AS (SELECT query_id, pos, n, '(?i)(' || string_agg({form_re}, '|') || ')' AS pattern,
-        '(' || string_agg({esc.format('form')}, '|') || ')' AS words FROM forms GROUP BY ALL),
-    distinct_terms AS (SELECT DISTINCT pattern FROM terms),
-    texts AS (SELECT id, unnest([0, 1, 2, 3]) AS f, unnest([title, tags_text, coalesce(company, ''), description]) AS txt,
-        unnest([10.0, 5.0, 2.0, 1.0]) AS w FROM {source}),
-    term_hits AS (SELECT pattern, id, f, w FROM distinct_terms JOIN texts ON regexp_matches(txt, pattern)),
-    per_term AS (SELECT t.query_id, t.pos, t.n, h.id, max(h.w) AS b, sum(h.w) AS s
-        FROM terms t JOIN term_hits h ON h.pattern = t.pattern GROUP BY ALL),
-    survivors AS (SELECT query_id, id, n, count(*) AS matched FROM per_term GROUP BY ALL
-        HAVING count(*) = n OR max(b) > 1),
-    kept AS (SELECT p.* , s.matched FROM per_term p JOIN survivors s ON s.query_id = p.query_id AND s.id = p.id),
-    corpus AS (SELECT query_id, count(*) AS total FROM survivors GROUP BY ALL),
-    freq AS (SELECT query_id, pos, count(*) AS df FROM kept GROUP BY ALL),
-    base AS (SELECT k.query_id, k.id, max(k.n) AS n, max(k.matched) AS matched, sum((k.b + 0.1 * (k.s - k.b))
-          * CASE WHEN k.n > 1 AND k.pos = k.n - 1 THEN 2.0 ELSE 1.0 END
-          * greatest(0.5, 1 + 0.15 * (ln(1 + c.total / (1.0 + f.df)) - 1))) AS score
-        FROM kept k JOIN corpus c ON c.query_id = k.query_id JOIN freq f ON f.query_id = k.query_id AND f.pos = k.pos
-        GROUP BY ALL),
-    wholes AS (SELECT query_id, '(?i){B0}' || string_agg(words, '{SEP}' ORDER BY pos) || '{B1}' AS pattern
-        FROM terms WHERE n > 1 GROUP BY query_id),
-    pairs AS (SELECT a.query_id, a.pos, '(?i){B0}' || a.words || '{SEP}' || b.words || '{B1}' AS pattern
-        FROM terms a JOIN terms b ON b.query_id = a.query_id AND b.pos = a.pos + 1),
-    bonus AS (SELECT b.query_id, b.id, sum(CASE WHEN regexp_matches(x.txt, wh.pattern) THEN 1.2 * b.n * x.w
-          ELSE 0.5 * x.w * (SELECT count(*) FROM pairs p WHERE p.query_id = b.query_id AND regexp_matches(x.txt, p.pattern)) END) AS extra
-        FROM base b JOIN wholes wh ON wh.query_id = b.query_id JOIN texts x ON x.id = b.id
-        WHERE b.matched > 1 GROUP BY ALL),
-    scored AS (SELECT b.query_id, b.id, b.n, b.score + coalesce(x.extra, 0) AS relevance
-        FROM base b LEFT JOIN bonus x ON x.query_id = b.query_id AND x.id = b.id)"""
-
-
-_BATCH_RESULT = """SELECT query_id, id, round(relevance, 6) AS relevance FROM (
-  SELECT *, max(relevance) OVER (PARTITION BY query_id) AS best FROM scored)
-WHERE n = 1 OR relevance >= 0.25 * best"""
+def _title_query_sql(title: str) -> str:
+    terms = [(_spellings(w), False) for w in title.split()]
+    return f"SELECT '{title}' AS query_id, * FROM ({search_sql(terms, [])})"
 
 
-@check(
-    "search_batch",
-    with_jobs(_BATCH_RESULT, batch_sql("SELECT title AS query_id, title AS q FROM jobs GROUP BY title", "jobs").strip()),
-)
+@check("search_batch", with_jobs(" UNION ALL ".join(_title_query_sql(t) for t in TITLES)))
 def search_batch_titles(spark, d):
     listings = jobs(spark, d).select(*SEARCH_COLUMNS)
     queries = listings.select(F.col("title").alias("query_id"), F.col("title").alias("q")).distinct()
     return search_batch(listings, queries).select("query_id", "id", F.round("relevance", 6).alias("relevance"))
 
 
+# Part names are two plain words, so words can be compared instead of patterns.
 @check(
     "search_batch_parts",
-    _PARTS.strip() + "," + batch_sql(
-        "SELECT p_name AS query_id, p_name AS q FROM part GROUP BY p_name", "parts"
-    ) + _BATCH_RESULT,
+    """WITH queries AS (SELECT DISTINCT p_name AS q FROM part),
+    terms AS (SELECT q, unnest(string_split(q, ' ')) AS word, generate_subscripts(string_split(q, ' '), 1) AS pos FROM queries),
+    words AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(p_name, ' ')) AS word, 10.0 AS w FROM part
+      UNION ALL SELECT p_partkey, lower(p_type), 5.0 FROM part),
+    per_term AS (SELECT q, pos, id, max(w) AS b, sum(w) AS s FROM terms JOIN words USING (word) GROUP BY ALL),
+    corpus AS (SELECT q, count(DISTINCT id) AS n FROM per_term GROUP BY q),
+    freq AS (SELECT q, pos, count(*) AS df FROM per_term GROUP BY ALL),
+    scored AS (SELECT q, id, sum((b + 0.1 * (s - b)) * CASE WHEN pos = 2 THEN 2.0 ELSE 1.0 END
+          * greatest(0.5, 1 + 0.15 * (ln(1 + n / (1.0 + df)) - 1)))
+        + CASE WHEN any_value(p_name) = q THEN 24.0 ELSE 0 END AS relevance
+      FROM per_term JOIN corpus USING (q) JOIN freq USING (q, pos) JOIN part ON p_partkey = id GROUP BY q, id)
+    SELECT q AS query_id, id, round(relevance, 6) AS relevance
+    FROM (SELECT *, max(relevance) OVER (PARTITION BY q) AS best FROM scored) WHERE relevance >= 0.25 * best""",
 )
 def search_batch_parts(spark, d):
     listings = part_listings(spark, d)
@@ -357,10 +319,9 @@ def resume_match_all(spark, d):
         FROM (SELECT title AS profile_id, unnest(found) AS skill, generate_subscripts(found, 1) AS pos
           FROM (SELECT title, string_split({skills_sql(fv.SKILLS_VOCABULARY, "lower(title || ' ' || tags)")}, ',') AS found
             FROM (SELECT title, string_agg(DISTINCT tags_text, ' ') AS tags FROM jobs GROUP BY title))) s
-        JOIN (SELECT id, {_LOW} AS low FROM jobs WHERE status <> 'ignored') j
-          ON skill <> '' AND contains(low, skill)
-            AND regexp_matches(low, '{B0}' || regexp_replace(skill, '([^A-Za-z0-9_ ])', '\\\\\\1', 'g') || '{B1}')
-        GROUP BY ALL"""
+        JOIN (SELECT id, unnest(string_split({skills_sql(fv.SKILLS_VOCABULARY, _LOW)}, ',')) AS skill
+          FROM jobs WHERE status <> 'ignored') j USING (skill)
+        WHERE skill <> '' GROUP BY ALL"""
     ),
 )
 def resume_match_batch(spark, d):

@@ -102,7 +102,7 @@ def score_bands_and_links(spark, d):
 @check(
     "tag_lists",
     """SELECT p_partkey, CASE WHEN p_type = p_brand THEN p_type ELSE p_type || '|' || p_brand END
-      || '|' || replace(p_name, ' ', '|') AS tags
+      || '|' || array_to_string(list_filter(string_split(p_name, ' '), lambda w: w <> lower(p_type)), '|') AS tags
     FROM part""",
 )
 def tag_lists(spark, d):

@@ -11,7 +11,7 @@ from listwright import fixed_values as fv
 from listwright.functions.scalars import seniority
 from listwright.functions.text import END, START, escape, squeeze, strip, text_or_empty
 from listwright.operators.predicates import effective_time, status_filter
-from listwright.operators.probes import first_word, probe_hits
+from listwright.operators.probes import lookup_words, probe_hits
 from listwright.session import cut_lineage
 
 
@@ -133,7 +133,7 @@ _PROBES = T.StructType(
 @F.pandas_udf(_PROBES)
 def _skill_probe(skill: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(
-        {"pattern": skill.map(skill_pattern), "keys": skill.map(lambda s: [first_word(s)])}
+        {"pattern": skill.map(skill_pattern), "keys": skill.map(lookup_words)}
     )
 
 

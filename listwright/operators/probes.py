@@ -20,42 +20,33 @@ from listwright.functions.text import text_or_empty
 MAX_IN_ROW_WORDS = 5_000
 
 PROBE_SCHEMA = "probe_id string, pattern string, keys array<string>"
-# Probes without any letter or digit are looked up under this word, which every text has.
+# Probes that cannot be looked up by a word are found under this one, which every text has.
 NO_WORD = ""
 
 
-def first_word(text: str) -> str:
-    """First run of letters and digits: the word a match of the text starts with."""
-    run = re.search(r"[^\W_]+", text.lower())
-    return run.group(0) if run else NO_WORD
+# Words end at anything that is no letter or number. Digits behind a letter belong to the
+# end, so 'python3' and 'k812' are looked up as 'python' and 'k'.
+_WORD_END = r"(?:(?<=\p{L})\p{Nd}+)?(?:[^\p{L}\p{N}]+|$)"
 
 
-def words_of(text: Column) -> Column:
-    """Distinct lower-case words of a text, plus each word without a technical suffix.
+def lookup_words(form: str) -> list[str]:
+    """What a text that contains the form can be found under.
 
-    Digits are cut off one at a time, so 'k812' also gives 'k81', 'k8' and 'k'.
+    A match starts with the first run of letters and digits of the form, to which one of the
+    technical suffixes (s, es, js, digits) may have been added. A run of digits alone could
+    be the beginning of any number, so it is looked for everywhere.
     """
-    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
-    suffixed = F.filter(words, lambda w: w.rlike(r"(?:s|\p{Nd})$"))
-    stems = F.flatten(
-        F.transform(
-            suffixed,
-            lambda w: F.when(
-                w.rlike(r"\p{Nd}$"),
-                F.transform(
-                    F.sequence(F.lit(1), F.length(F.regexp_extract(w, r"\p{Nd}+$", 0))),
-                    lambda n: F.substring(w, F.lit(1), F.length(w) - n),
-                ),
-            ).otherwise(
-                F.array(
-                    F.regexp_replace(w, "s$", ""),
-                    F.regexp_replace(w, "es$", ""),
-                    F.regexp_replace(w, "js$", ""),
-                )
-            ),
-        )
-    )
-    return F.array_distinct(F.concat(F.array(F.lit(NO_WORD)), words, stems))
+    run = re.search(r"[^\W_]+", form.lower())
+    if not run or run.group(0).isdecimal():
+        return [NO_WORD]
+    word = run.group(0)
+    return [re.sub(r"(?<=[^\W\d_])\d+$", "", word), word + "s", word + "es", word + "js"]
+
+
+def words_of(text: Column) -> Column:
+    """Words of a text as they are looked up (with repetitions)."""
+    # The blank in front makes NO_WORD the first word of every text.
+    return F.split(F.concat(F.lit(" "), F.lower(text)), _WORD_END)
 
 
 def field_mask(fields: dict[int, Column], matches) -> Column:
@@ -73,26 +64,38 @@ def probe_hits(listings: DataFrame, fields: dict[int, str], probes: DataFrame) -
     """
     texts = {bit: f"_f{bit}" for bit in fields}
     rows = listings.select(
-        "id", *[text_or_empty(c).alias(texts[bit]) for bit, c in fields.items()]
-    ).withColumn("_words", words_of(F.concat_ws("\n", *texts.values())))
-    by_word = probes.select("probe_id", "pattern", F.explode("keys").alias("word"))
-    mask = field_mask(
-        {bit: F.col(c) for bit, c in texts.items()}, lambda text: F.rlike(text, F.col("pattern"))
+        "id",
+        *[text_or_empty(c).alias(texts[bit]) for bit, c in fields.items()],
+        *[F.lower(text_or_empty(c)).alias(f"_low{bit}") for bit, c in fields.items()],
+        words_of(F.concat_ws("\n", *fields.values())).alias("_words"),
     )
+    by_word = probes.select("probe_id", "pattern", F.explode("keys").alias("word"))
+    # A field is only searched if it has the word under which the probe was found; what other
+    # words find in other fields is added up at the end.
+    mask = F.lit(0)
+    for bit, text in texts.items():
+        hit = F.contains(f"_low{bit}", F.col("word")) & F.rlike(F.col(text), F.col("pattern"))
+        mask = mask + F.when(hit, F.lit(bit)).otherwise(F.lit(0))
     wanted = by_word.select("word").distinct().limit(MAX_IN_ROW_WORDS + 1).collect()
     if len(wanted) <= MAX_IN_ROW_WORDS:
-        # The word list is small: keep the words asked for inside the row, so that texts are
+        # The word list is small: only words asked for leave the row, so that texts are
         # neither shuffled nor copied for words nobody wants.
         vocabulary = F.array(*[F.lit(r["word"]) for r in wanted]).cast("array<string>")
-        candidates = rows.withColumn("word", F.explode(F.array_intersect("_words", vocabulary)))
+        found = F.array_intersect("_words", vocabulary)
+        # explode_outer: a plain explode would compute the intersection twice, once for an
+        # inferred "not empty" filter.
+        candidates = rows.withColumn("word", F.explode_outer(found)).filter("word is not null")
         candidates = candidates.drop("_words").join(F.broadcast(by_word), "word")
     else:
         # Only (id, word) is shuffled by word; texts join back once, by id.
         pairs = (
-            rows.select("id", F.explode("_words").alias("word")).join(by_word, "word")
-            .select("id", "probe_id", "pattern")
+            rows.select("id", F.explode(F.array_distinct("_words")).alias("word"))
+            .join(by_word, "word")
         )
         candidates = pairs.join(rows.drop("_words"), "id")
+    # Filtered after the aggregate: a filter on the mask would be pushed into the join and run
+    # every expression a second time.
     return (
-        candidates.select("id", "probe_id", mask.alias("mask")).filter("mask > 0").distinct()
+        candidates.select("id", "probe_id", mask.alias("mask"))
+        .groupBy("id", "probe_id").agg(F.bit_or("mask").alias("mask")).filter("mask > 0")
     )

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from listwright import fixed_values as fv
 from listwright.functions.text import END, START, escape, text_or_empty
-from listwright.operators.probes import field_mask, first_word, probe_hits
+from listwright.operators.probes import field_mask, lookup_words, probe_hits
 from listwright.session import cut_lineage
 
 SEPARATOR = r"[\p{javaWhitespace}\x{85}\x{a0}\x{2007}\x{202f}_\-/]+"
@@ -274,7 +274,7 @@ def _probes_of(q: pd.Series) -> pd.Series:
 
         def row(role, pos, required, pattern, forms):
             return {"role": role, "pos": pos, "required": required, "pattern": pattern,
-                    "keys": sorted({first_word(f) for f in forms})}
+                    "keys": sorted({w for f in forms for w in lookup_words(f)})}
 
         rows = [row("term", i, t.required, t.pattern, t.forms) for i, t in enumerate(query.terms)]
         rows += [row("exclude", i, False, t.pattern, t.forms) for i, t in enumerate(query.excluded)]

@@ -41,3 +41,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = os.path.join(spark.conf.get("spark.local.dir", "/tmp"), "listwright-checkpoints")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a part of a table that was read in fewer pieces than there are cores.
+
+    Large tables come in many splits and are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
