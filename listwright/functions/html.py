@@ -5,8 +5,8 @@ The only Python here turns one HTML string into a flat list of nodes in document
 Every rule about those nodes (which anchor is a listing, what is its card, where is the
 company) is a Column expression further down.
 
-A node knows its subtree as the index range ``idx .. last``. So "x lies inside y" is
-``y.idx <= x.idx <= y.last``, and the ancestors of x are the nodes whose range holds x.
+A node knows its subtree as the index range ``idx .. last``, which is a slice of the list, and
+its parent; so rules look at the nodes of one card, not at the page, again and again.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ NODE = T.StructType(
     [
         T.StructField("idx", T.IntegerType()),
         T.StructField("last", T.IntegerType()),
+        T.StructField("parent", T.IntegerType()),
         T.StructField("depth", T.IntegerType()),
         T.StructField("tag", T.StringType()),
         T.StructField("href", T.StringType()),
@@ -45,6 +46,7 @@ NODE = T.StructType(
     ]
 )
 NODES = T.ArrayType(NODE)
+_TAG = 4
 
 
 class _Flattener(HTMLParser):
@@ -60,7 +62,8 @@ class _Flattener(HTMLParser):
         self.run_of_text: list | None = None
 
     def _add(self, tag: str, attributes: list, text: str | None) -> list:
-        node = [len(self.nodes), len(self.nodes), len(self.open), tag, *attributes, text]
+        at, parent = len(self.nodes), self.open[-1][0] if self.open else -1
+        node = [at, at, parent, len(self.open), tag, *attributes, text]
         self.nodes.append(node)
         return node
 
@@ -78,8 +81,8 @@ class _Flattener(HTMLParser):
 
     def handle_endtag(self, tag):
         self.run_of_text = None
-        if any(node[3] == tag for node in self.open):
-            while self._close()[3] != tag:
+        if any(node[_TAG] == tag for node in self.open):
+            while self._close()[_TAG] != tag:
                 pass
 
     def handle_data(self, data):
@@ -97,7 +100,7 @@ class _Flattener(HTMLParser):
     def _close(self) -> list:
         node = self.open.pop()
         node[1] = len(self.nodes) - 1
-        self.muted -= node[3] in _NO_TEXT
+        self.muted -= node[_TAG] in _NO_TEXT
         return node
 
     def run(self, html: str) -> list[list]:
@@ -116,7 +119,7 @@ def _plain(html: str | None) -> str:
     if not html:
         return ""
     if "<" in html or "&" in html:
-        html = "\n".join(n[-1] for n in _Flattener().run(html) if n[3] == "#text")
+        html = "\n".join(n[-1] for n in _Flattener().run(html) if n[_TAG] == "#text")
     return "\n".join(_lines(html))
 
 
@@ -145,8 +148,14 @@ def inside(x: Column, outer: Column) -> Column:
     return (x["idx"] >= outer["idx"]) & (x["idx"] <= outer["last"])
 
 
-def below(x: Column, outer: Column) -> Column:
-    return (x["idx"] > outer["idx"]) & (x["idx"] <= outer["last"])
+def subtree(nodes: Column, scope: Column) -> Column:
+    """The node and everything below it; NULL for a NULL node."""
+    return F.slice(nodes, scope["idx"] + 1, scope["last"] - scope["idx"] + 1)
+
+
+def select(nodes: Column, scope: Column, wanted: Callable[[Column], Column]) -> Column:
+    """All nodes below ``scope`` that are ``wanted``, in document order."""
+    return F.filter(F.slice(nodes, scope["idx"] + 2, scope["last"] - scope["idx"]), wanted)
 
 
 def has_class(x: Column, name: str) -> Column:
@@ -162,15 +171,14 @@ def last(items: Column) -> Column:
 
 
 def find(nodes: Column, scope: Column, wanted: Callable[[Column], Column]) -> Column:
-    """First node below ``scope`` that is ``wanted``, in document order, else NULL."""
-    return first(F.filter(nodes, lambda x: below(x, scope) & wanted(x)))
+    """First node below ``scope`` that is ``wanted``, else NULL."""
+    return first(select(nodes, scope, wanted))
 
 
 def text_pieces(nodes: Column, scope: Column) -> Column:
     """Stripped, non-empty text nodes of the subtree; NULL scope gives NULL."""
-    texts = F.filter(nodes, lambda x: (x["tag"] == "#text") & inside(x, scope))
-    pieces = F.filter(F.transform(texts, lambda x: strip(x["text"])), lambda s: s != "")
-    return F.when(scope.isNotNull(), pieces)
+    texts = F.filter(subtree(nodes, scope), lambda x: x["tag"] == "#text")
+    return F.filter(F.transform(texts, lambda x: strip(x["text"])), lambda s: s != "")
 
 
 def node_text(nodes: Column, scope: Column, separator: str = " ") -> Column:
@@ -178,7 +186,10 @@ def node_text(nodes: Column, scope: Column, separator: str = " ") -> Column:
 
 
 def ancestors(nodes: Column, node: Column) -> Column:
-    """Proper ancestors, outermost first."""
-    return F.filter(
-        nodes, lambda x: (x["idx"] < node["idx"]) & (x["last"] >= node["idx"]) & (x["tag"] != "#text")
+    """Proper ancestors, outermost first, found by following the parents."""
+    chain = F.aggregate(
+        F.when(node["depth"] > 0, F.sequence(F.lit(1), node["depth"])),
+        F.array(node),
+        lambda chain, _: F.concat(F.array(F.element_at(nodes, chain[0]["parent"] + 1)), chain),
     )
+    return F.slice(chain, F.lit(1), F.size(chain) - 1)

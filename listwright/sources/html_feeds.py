@@ -19,7 +19,7 @@ from listwright.functions.text import (
     clean_tags, contains_any, empty_to_null, joined, squeeze, strip, text_or_empty,
 )
 from listwright.operators.dedupe import first_per_key, top_per_key
-from listwright.sources.landing import as_raw, good_responses, item_ord
+from listwright.sources.landing import NO_CAP, as_raw, good_responses, item_ord
 
 
 def _pages(landing: DataFrame, source: str) -> DataFrame:
@@ -66,12 +66,11 @@ def _absolute(href: Column, base: str) -> Column:
     return F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base), href))
 
 
-def _first_wins(df: DataFrame, key: str, source: str, cap: int | None, capped: bool = True) -> DataFrame:
+def _first_wins(df: DataFrame, key: str, source: str, cap: int | None) -> DataFrame:
+    """First row per key, then the first ``cap`` rows of the cycle (NO_CAP: all of them)."""
     rows = first_per_key(df, ["cycle_id", key], ["feed_ord", "pos"])
-    if not capped:
-        return rows
     limit = fv.SOURCE_CAPS[source] if cap is None else cap
-    return top_per_key(rows, ["cycle_id"], ["feed_ord", "pos"], limit)
+    return rows if limit == NO_CAP else top_per_key(rows, ["cycle_id"], ["feed_ord", "pos"], limit)
 
 
 # ------------------------------------------------------------------ offer cards
@@ -90,9 +89,7 @@ def jobgether(landing: DataFrame, cap: int | None = None) -> DataFrame:
 
     def chip_texts(card: Column) -> Column:
         """(href, chip) of the links inside the card that show a chip."""
-        inside = F.filter(
-            nodes, lambda x: h.below(x, card) & _is_link(x, "^/remote-jobs/")
-        )
+        inside = h.select(nodes, card, lambda x: _is_link(x, "^/remote-jobs/"))
         return F.transform(
             inside,
             lambda x: F.struct(
@@ -116,13 +113,10 @@ def jobgether(landing: DataFrame, cap: int | None = None) -> DataFrame:
             chip_texts(c["card"]).alias("chips"),
             h.node_text(
                 nodes,
-                h.first(
-                    F.filter(
-                        nodes,
-                        lambda x: (x["tag"] == "div") & (x["depth"] == c["a"]["depth"])
-                        & (x["idx"] > c["a"]["last"])
-                        & (x["idx"] <= h.last(h.ancestors(nodes, c["a"]))["last"]),
-                    )
+                h.find(
+                    nodes, F.element_at(nodes, c["a"]["parent"] + 1),
+                    lambda x: (x["tag"] == "div") & (x["idx"] > c["a"]["last"])
+                    & (x["parent"] == c["a"]["parent"]),
                 ),
             ).alias("age"),
         ),
@@ -209,7 +203,7 @@ def wellfound(landing: DataFrame, cap: int | None = None) -> DataFrame:
 
     def chips_of(row: Column) -> Column:
         """Texts of spans and divs, innermost first."""
-        boxes = F.filter(nodes, lambda x: h.below(x, row) & x["tag"].isin("span", "div"))
+        boxes = h.select(nodes, row, lambda x: x["tag"].isin("span", "div"))
         texts = F.transform(F.reverse(boxes), lambda x: squeeze(h.node_text(nodes, x)))
         return F.filter(texts, lambda t: F.length(t).between(1, 120))
 
@@ -219,7 +213,7 @@ def wellfound(landing: DataFrame, cap: int | None = None) -> DataFrame:
         return F.coalesce(empty_to_null(h.node_text(nodes, link)), h.node_text(nodes, heading))
 
     def tagline_of(header: Column) -> Column:
-        spans = F.filter(nodes, lambda x: h.below(x, header) & (x["tag"] == "span"))
+        spans = h.select(nodes, header, lambda x: x["tag"] == "span")
         return h.first(
             F.filter(
                 F.transform(spans, lambda x: h.node_text(nodes, x)),
@@ -237,10 +231,7 @@ def wellfound(landing: DataFrame, cap: int | None = None) -> DataFrame:
         F.transform(
             with_card,
             lambda c: F.transform(
-                F.filter(
-                    nodes,
-                    lambda x: h.below(x, c["card"]) & _is_link(x, fv.STARTUP_JOB_HREF),
-                ),
+                h.select(nodes, c["card"], lambda x: _is_link(x, fv.STARTUP_JOB_HREF)),
                 lambda a: F.struct(
                     s.without_query(a["href"]).alias("href"),
                     h.node_text(nodes, a).alias("title"),
@@ -285,7 +276,7 @@ def linkedin_email(landing: DataFrame) -> DataFrame:
     rows = _explode(_pages(landing, "linkedin_email"), links).filter(
         (F.length("title") >= 3) & ~F.lower("title").isin(fv.MAIL_SKIP_TITLES)
     )
-    rows = _first_wins(rows, "job_id", "linkedin_email", None, capped=False)
+    rows = _first_wins(rows, "job_id", "linkedin_email", NO_CAP)
     lines = F.filter(
         F.transform(F.split("context", "\n"), lambda x: strip(x)), lambda x: x != ""
     )
@@ -329,11 +320,8 @@ def linkedin_web(landing: DataFrame, cap: int | None = None) -> DataFrame:
 
     def subtitle(card: Column) -> Column:
         heading = h.find(nodes, card, _is("h4", "base-search-card__subtitle"))
-        linked = h.first(
-            F.filter(
-                nodes,
-                lambda x: h.below(x, card) & _is("a")(x) & inside_of(x, "h4", "base-search-card__subtitle"),
-            )
+        linked = h.find(
+            nodes, card, lambda x: _is("a")(x) & inside_of(x, "h4", "base-search-card__subtitle")
         )
         return F.coalesce(linked, heading, h.find(nodes, card, any_tag("base-search-card__subtitle")))
 
@@ -378,17 +366,16 @@ def linkedin_web(landing: DataFrame, cap: int | None = None) -> DataFrame:
 # ------------------------------------------------------------------ article cards
 def mustakbil(landing: DataFrame) -> DataFrame:
     nodes = _nodes()
-    icons = F.filter(nodes, _is("i", "icon"))
 
     def text(scope: Column) -> Column:
         """Text without the names of icons."""
-        pieces = F.filter(
-            nodes,
-            lambda x: (x["tag"] == "#text") & h.inside(x, scope)
-            & ~F.exists(icons, lambda i: h.below(i, scope) & h.inside(x, i)),
+        icons = h.select(nodes, scope, _is("i", "icon"))
+        pieces = h.select(
+            nodes, scope,
+            lambda x: (x["tag"] == "#text") & ~F.exists(icons, lambda i: h.inside(x, i)),
         )
         stripped = F.filter(F.transform(pieces, lambda x: strip(x["text"])), lambda t: t != "")
-        return F.when(scope.isNotNull(), F.array_join(stripped, " "))
+        return F.array_join(stripped, " ")
 
     part = lambda card, tag, cls: h.find(nodes, card, _is(tag, cls))
     cards = F.transform(
@@ -401,9 +388,7 @@ def mustakbil(landing: DataFrame) -> DataFrame:
             text(part(card, "span", "jl-salary")).alias("salary"),
             text(part(card, "p", "jl-desc")).alias("summary"),
             F.filter(
-                F.transform(
-                    F.filter(nodes, lambda x: h.below(x, card) & _is("span", "jl-chip")(x)), text
-                ),
+                F.transform(h.select(nodes, card, _is("span", "jl-chip")), text),
                 lambda t: t != "",
             ).alias("chips"),
         ),

@@ -13,7 +13,7 @@ from listwright.functions.text import (
 )
 from listwright.operators.dedupe import first_per_key, top_per_key
 from listwright.sources.landing import (
-    as_raw, field, field_list, field_names, first_text, item_ord, json_items, truthy,
+    NO_CAP, as_raw, field, field_list, field_names, first_text, item_ord, json_items, truthy,
 )
 
 
@@ -36,7 +36,8 @@ def _variant(path: str) -> Column:
 
 def _capped(df: DataFrame, source: str, cap: int | None = None) -> DataFrame:
     """The first rows of the source in its own order, per cycle."""
-    return top_per_key(df, ["cycle_id"], ["item_ord"], cap or fv.SOURCE_CAPS[source])
+    limit = fv.SOURCE_CAPS[source] if cap is None else cap
+    return df if limit == NO_CAP else top_per_key(df, ["cycle_id"], ["item_ord"], limit)
 
 
 def remoteok(landing: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from listwright.schemas import LANDING, RAW_LISTING
 
 # Room for the items of one response inside ``item_ord``.
 ITEMS_PER_RESPONSE = 1_000_000
+# Given as the cap of a source to keep everything it has.
+NO_CAP = -1
 
 
 def read_landing(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
