@@ -26,6 +26,8 @@ def parse_iso(c: Column | str) -> Column:
     s = F.replace(strip(c), F.lit("Z"), F.lit("+00:00"))
     s = F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})(?!\d)", "$1-$2-$3")
     s = F.regexp_replace(s, r"([T ]\d{2}:?\d{2}.*[+-]\d{2})(\d{2})$", "$1:$2")
+    # The cast wants seconds.
+    s = F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?=[+-]|$)", "$1:00")
     shaped = s.rlike(
         r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?(?:[+-]\d{2}:\d{2})?)?$"
     )
