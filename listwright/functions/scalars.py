@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from listwright import fixed_values as fv
 from listwright.functions.text import (
-    END, START, UNICODE, WORD, any_of, clean_tags, col, contains_any, empty_to_null, squeeze, strip,
+    END, START, UNICODE, WORD, any_of, bind, clean_tags, col, contains_any, empty_to_null, squeeze, strip,
     text_or_empty,
 )
 
@@ -315,14 +315,18 @@ def card_job_type(card_text: Column) -> Column:
 def required_years(title: Column | str, description: Column | str) -> Column:
     """Highest number of years of experience the listing asks for, or NULL."""
     text = F.lower(F.concat(text_or_empty(title), F.lit("\n"), text_or_empty(description)))
-    found = F.concat(
-        F.regexp_extract_all(text, F.lit(UNICODE + fv.YEARS_BEFORE), F.lit(1)),
-        F.regexp_extract_all(text, F.lit(UNICODE + fv.YEARS_AFTER), F.lit(1)),
-    )
-    numbers = F.transform(found, lambda n: n.try_cast("int"))
-    plausible = F.filter(numbers, lambda n: n.between(1, fv.MAX_PLAUSIBLE_YEARS))
-    # Both patterns need the letters 'exp' somewhere; most texts do not have them.
-    return F.when(F.contains(text, F.lit("exp")), F.array_max(plausible))
+
+    def highest(t: Column) -> Column:
+        found = F.concat(
+            F.regexp_extract_all(t, F.lit(UNICODE + fv.YEARS_BEFORE), F.lit(1)),
+            F.regexp_extract_all(t, F.lit(UNICODE + fv.YEARS_AFTER), F.lit(1)),
+        )
+        numbers = F.transform(found, lambda n: n.try_cast("int"))
+        plausible = F.filter(numbers, lambda n: n.between(1, fv.MAX_PLAUSIBLE_YEARS))
+        # Both patterns need the letters 'exp' somewhere; most texts do not have them.
+        return F.when(F.contains(t, F.lit("exp")), F.array_max(plausible))
+
+    return bind(text, highest)
 
 
 def score_band(score: Column | str) -> Column:
@@ -385,24 +389,26 @@ def scoring_prompt(profile: Column) -> Column:
 def parse_reply(reply: Column | str) -> Column:
     """Scorer reply -> struct(score, reason, proposal, error); a bad reply keeps score NULL."""
     body = F.regexp_extract(text_or_empty(reply), r"(?s)\{.*\}", 0)
-    data = F.try_parse_json(empty_to_null(body))
-    raw = F.try_variant_get(data, "$.score", "string")
-    number = raw.try_cast("double")
-    number = F.when(number.isin(float("inf"), float("-inf")) | F.isnan(number), None).otherwise(number)
-    score = F.greatest(F.lit(0), F.least(F.lit(10), F.bround(number, 0))).cast("int")
-    score = F.when(number.isNotNull(), score)
-    error = (
-        F.when(data.isNull(), "not json")
-        .when(raw.isNull(), "score missing")
-        .when(number.isNull(), "score invalid")
-    )
-    text = lambda name: F.when(
-        error.isNull(), strip(text_or_empty(F.try_variant_get(data, f"$.{name}", "string")))
-    )
-    return F.struct(
-        score.alias("score"), text("reason").alias("reason"),
-        text("proposal").alias("proposal"), error.alias("error"),
-    )
+
+    def read(data: Column) -> Column:
+        raw = F.try_variant_get(data, "$.score", "string")
+        number = raw.try_cast("double")
+        finite = ~number.isin(float("inf"), float("-inf")) & ~F.isnan(number)
+        score = F.greatest(F.lit(0), F.least(F.lit(10), F.bround(number, 0))).cast("int")
+        error = (
+            F.when(data.isNull(), "not json")
+            .when(raw.isNull(), "score missing")
+            .when(~F.coalesce(finite, F.lit(False)), "score invalid")
+        )
+        text = lambda name: F.when(
+            finite, strip(text_or_empty(F.try_variant_get(data, f"$.{name}", "string")))
+        )
+        return F.struct(
+            F.when(finite, score).alias("score"), text("reason").alias("reason"),
+            text("proposal").alias("proposal"), error.alias("error"),
+        )
+
+    return bind(F.try_parse_json(empty_to_null(body)), read)
 
 
 def model_list(value: Column, cap: int) -> Column:

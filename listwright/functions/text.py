@@ -6,7 +6,7 @@ All of them return Column expressions, so they stay inside the JVM.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +37,15 @@ def escape(literal: str) -> str:
     return re.sub(r"([\x00-\x7f])(?<![A-Za-z0-9_])", r"\\\1", literal)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A Column that is used in several places is computed in each of them: filters are pushed
+    below the projection that computed it, and lambdas compute it again for every element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column | str) -> Column:
     """Remove white space of any kind from both ends."""
     return F.btrim(col(c), F.lit(WHITESPACE))

@@ -9,10 +9,10 @@ from pyspark.sql import types as T
 
 from listwright import fixed_values as fv
 from listwright.functions.scalars import seniority
-from listwright.functions.text import END, START, escape, squeeze, strip, text_or_empty
+from listwright.functions.text import END, START, bind, escape, squeeze, strip, text_or_empty
 from listwright.operators.predicates import effective_time, status_filter
 from listwright.operators.probes import lookup_words, probe_hits
-from listwright.session import cut_lineage
+from listwright.session import cut_lineage, keep_computed
 
 
 def skill_pattern(skill: str) -> str:
@@ -110,11 +110,9 @@ def match_profile(listings: DataFrame, skills: list[str]) -> DataFrame:
     """Active listings with at least one of the skills: adds ``hits`` and ``hit_count``."""
     wanted = clean_skills(skills)
     rows = listings.filter(status_filter(None)).withColumn("_low", match_text())
+    hits = bind(skills_found(F.col("_low"), wanted), lambda h: F.when(F.size(h) > 0, h))
     return (
-        rows.withColumn("hits", skills_found(F.col("_low"), wanted))
-        .filter(F.size("hits") > 0)
-        .withColumn("hit_count", F.size("hits"))
-        .drop("_low")
+        keep_computed(rows, "hits", hits).withColumn("hit_count", F.size("hits")).drop("_low")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from listwright import fixed_values as fv
 from listwright.functions.scalars import required_years
 from listwright.functions.text import (
-    END, START, UNICODE, any_of, contains_any, joined, strip, text_or_empty, whole,
+    END, START, UNICODE, any_of, bind, contains_any, joined, strip, text_or_empty, whole,
 )
 
 
@@ -42,8 +42,12 @@ def passes_gate(
     source: Column, text: Column, keywords: Iterable[str], blocked: Iterable[str]
 ) -> Column:
     """Blocked phrases always drop; sources that are filtered upstream skip the keywords."""
-    by_keyword = source.isin(fv.PRE_FILTERED_SOURCES) | passes_keywords(text, keywords)
-    return ~is_blocked(text, blocked) & by_keyword
+    keywords, blocked = list(keywords), list(blocked)
+    return bind(
+        text,
+        lambda t: ~is_blocked(t, blocked)
+        & (source.isin(fv.PRE_FILTERED_SOURCES) | passes_keywords(t, keywords)),
+    )
 
 
 # ------------------------------------------------------------------ feed filters
@@ -87,13 +91,15 @@ def in_region(key: str) -> Column:
     return hit
 
 
-def has_employment_type(key: str) -> Column:
+def employment_text() -> Column:
+    return F.lower(joined(" ", F.col("title"), _tags_text(), F.col("budget"), F.col("description")))
+
+
+def has_employment_type(key: str, text: Column | None = None) -> Column:
     pattern, open_end = next(((p, o) for k, p, o in fv.EMPLOYMENT_TYPES if k == key), (None, None))
     if pattern is None:
         return F.lit(True)
-    text = F.lower(
-        joined(" ", F.col("title"), _tags_text(), F.col("budget"), F.col("description"))
-    )
+    text = employment_text() if text is None else text
     hit = text.rlike(f"{UNICODE}{START}(?:{pattern}){'' if open_end else END}")
     return hit | (F.col("source") == fv.FREELANCE_SOURCE) if key == "freelance" else hit
 
@@ -119,7 +125,12 @@ def _any_known(keys: Iterable[str] | None, known: list[str], test) -> Column:
 
 
 def any_employment_type(keys: Iterable[str] | None) -> Column:
-    return _any_known(keys, [k for k, *_ in fv.EMPLOYMENT_TYPES], has_employment_type)
+    known = [k for k, *_ in fv.EMPLOYMENT_TYPES]
+    if not any(k in known for k in keys or []):
+        return F.lit(True)
+    return bind(
+        employment_text(), lambda t: _any_known(keys, known, lambda k: has_employment_type(k, t))
+    )
 
 
 def any_experience_level(keys: Iterable[str] | None) -> Column:
@@ -129,8 +140,7 @@ def any_experience_level(keys: Iterable[str] | None) -> Column:
 def max_years(n: int | None) -> Column:
     if n is None or not 0 <= n < fv.MAX_YEARS_ANY:
         return F.lit(True)
-    years = required_years("title", "description")
-    return years.isNull() | (years <= n)
+    return F.coalesce(required_years("title", "description") <= n, F.lit(True))
 
 
 # ------------------------------------------------------------------ facet tags
@@ -144,7 +154,8 @@ def region_tags() -> Column:
 
 
 def employment_tags() -> Column:
-    return _matching([k for k, *_ in fv.EMPLOYMENT_TYPES], has_employment_type)
+    keys = [k for k, *_ in fv.EMPLOYMENT_TYPES]
+    return bind(employment_text(), lambda t: _matching(keys, lambda k: has_employment_type(k, t)))
 
 
 def experience_tags() -> Column:

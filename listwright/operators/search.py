@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listwright import fixed_values as fv
-from listwright.functions.text import END, START, escape, text_or_empty
+from listwright.functions.text import END, START, bind, escape, text_or_empty
 from listwright.operators.probes import field_mask, lookup_words, probe_hits
-from listwright.session import cut_lineage
+from listwright.session import cut_lineage, keep_computed
 
 SEPARATOR = r"[\p{javaWhitespace}\x{85}\x{a0}\x{2007}\x{202f}_\-/]+"
 # One bit per field; the description is the weakest evidence.
@@ -148,7 +148,8 @@ def hits_of_query(df: DataFrame, query: Query) -> DataFrame:
     n = len(query.terms)
     masks = F.array(*[mask_of(t.pattern, t.forms) for t in query.terms])
     required = F.array(*[F.lit(t.required) for t in query.terms])
-    rows = rows.withColumn("masks", masks).filter(_survives(F.col("masks"), required, F.lit(n)))
+    kept = bind(masks, lambda m: F.when(_survives(m, required, F.lit(n)), m))
+    rows = keep_computed(rows, "masks", kept)
     # Adjacency only matters where at least two terms were found.
     several = F.size(F.filter("masks", lambda m: m > 0)) > 1
     zero = F.lit(0)

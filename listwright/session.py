@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,6 +44,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column and drop the rows where it is NULL, computing it once.
+
+    A plain filter on a computed column is pushed below the projection and computes the
+    expression a second time; what comes out of a generator stays where it is.
+    """
+    return df.withColumn(name, F.explode_outer(F.array(value))).filter(F.col(name).isNotNull())
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give every core a part of a table that was read in fewer pieces than there are cores.
 

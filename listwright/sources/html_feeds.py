@@ -16,7 +16,7 @@ from listwright import fixed_values as fv
 from listwright.functions import html as h
 from listwright.functions import scalars as s
 from listwright.functions.text import (
-    clean_tags, contains_any, empty_to_null, joined, squeeze, strip, text_or_empty,
+    bind, clean_tags, contains_any, empty_to_null, joined, squeeze, strip, text_or_empty,
 )
 from listwright.operators.dedupe import first_per_key, top_per_key
 from listwright.sources.landing import NO_CAP, as_raw, good_responses, item_ord
@@ -76,16 +76,14 @@ def _first_wins(df: DataFrame, key: str, source: str, cap: int | None) -> DataFr
 # ------------------------------------------------------------------ offer cards
 def jobgether(landing: DataFrame, cap: int | None = None) -> DataFrame:
     nodes = _nodes()
-    offer_at = F.transform(_links(fv.OFFER_HREF), lambda x: x["idx"])
 
-    def card_of(a: Column) -> Column:
+    def card_of(a: Column, offer_at: Column) -> Column:
         """Widest of the ten closest ancestors that holds this offer and no other."""
         above = F.filter(h.ancestors(nodes, a), lambda x: x["depth"] >= a["depth"] - 10)
-        alone = F.filter(
-            above,
-            lambda x: F.size(F.filter(offer_at, lambda i: (i >= x["idx"]) & (i <= x["last"]))) == 1,
-        )
-        return F.coalesce(h.first(alone), h.last(above))
+        alone = lambda x: F.size(
+            F.filter(offer_at, lambda i: (i >= x["idx"]) & (i <= x["last"]))
+        ) == 1
+        return bind(above, lambda up: F.coalesce(h.first(F.filter(up, alone)), h.last(up)))
 
     def chip_texts(card: Column) -> Column:
         """(href, chip) of the links inside the card that show a chip."""
@@ -98,8 +96,14 @@ def jobgether(landing: DataFrame, cap: int | None = None) -> DataFrame:
             ),
         )
 
-    with_card = F.transform(
-        _links(fv.OFFER_HREF), lambda a: F.struct(a.alias("a"), card_of(a).alias("card"))
+    with_card = bind(
+        _links(fv.OFFER_HREF),
+        lambda offers: bind(
+            F.transform(offers, lambda x: x["idx"]),
+            lambda offer_at: F.transform(
+                offers, lambda a: F.struct(a.alias("a"), card_of(a, offer_at).alias("card"))
+            ),
+        ),
     )
     cards = F.transform(
         with_card,
@@ -185,21 +189,21 @@ def classify_chips(chips: Column) -> Column:
 
 def wellfound(landing: DataFrame, cap: int | None = None) -> DataFrame:
     nodes = _nodes()
-    job_at = F.transform(_links(fv.STARTUP_JOB_HREF), lambda x: x["idx"])
-    jobs_in = lambda x: F.size(
-        F.filter(job_at, lambda i: (i > x["idx"]) & (i <= x["last"]))
-    )
+
+    def jobs_in(x: Column, job_at: Column) -> Column:
+        return F.size(F.filter(job_at, lambda i: (i > x["idx"]) & (i <= x["last"])))
+
     headers = F.filter(
         nodes, lambda x: (x["tag"] == "div") & F.coalesce(x["testid"] == "startup-header", F.lit(False))
     )
 
-    def card_of(header: Column) -> Column:
+    def card_of(header: Column, job_at: Column) -> Column:
         near = F.filter(h.ancestors(nodes, header), lambda x: x["depth"] >= header["depth"] - 6)
-        return h.last(F.filter(near, lambda x: jobs_in(x) > 0))
+        return h.last(F.filter(near, lambda x: jobs_in(x, job_at) > 0))
 
-    def row_of(a: Column) -> Column:
+    def row_of(a: Column, job_at: Column) -> Column:
         near = F.filter(h.ancestors(nodes, a), lambda x: x["depth"] >= a["depth"] - 4)
-        return F.coalesce(h.first(F.filter(near, lambda x: jobs_in(x) <= 1)), a)
+        return F.coalesce(h.first(F.filter(near, lambda x: jobs_in(x, job_at) <= 1)), a)
 
     def chips_of(row: Column) -> Column:
         """Texts of spans and divs, innermost first."""
@@ -221,26 +225,35 @@ def wellfound(landing: DataFrame, cap: int | None = None) -> DataFrame:
             )
         )
 
-    with_card = F.transform(
-        headers,
-        lambda x: F.struct(
-            card_of(x).alias("card"), company_of(x).alias("company"), tagline_of(x).alias("tagline")
-        ),
-    )
-    listings = F.flatten(
-        F.transform(
-            with_card,
-            lambda c: F.transform(
-                h.select(nodes, c["card"], lambda x: _is_link(x, fv.STARTUP_JOB_HREF)),
-                lambda a: F.struct(
-                    s.without_query(a["href"]).alias("href"),
-                    h.node_text(nodes, a).alias("title"),
-                    c["company"].alias("company"),
-                    c["tagline"].alias("tagline"),
-                    classify_chips(chips_of(row_of(a))).alias("slots"),
-                ),
+    def listing(a: Column, card: Column, job_at: Column) -> Column:
+        return F.struct(
+            s.without_query(a["href"]).alias("href"),
+            h.node_text(nodes, a).alias("title"),
+            card["company"].alias("company"),
+            card["tagline"].alias("tagline"),
+            bind(row_of(a, job_at), lambda row: classify_chips(chips_of(row))).alias("slots"),
+        )
+
+    def cards(job_at: Column) -> Column:
+        return F.transform(
+            headers,
+            lambda x: F.struct(
+                card_of(x, job_at).alias("card"), company_of(x).alias("company"),
+                tagline_of(x).alias("tagline"),
             ),
         )
+
+    listings = bind(
+        F.transform(_links(fv.STARTUP_JOB_HREF), lambda x: x["idx"]),
+        lambda job_at: F.flatten(
+            F.transform(
+                cards(job_at),
+                lambda c: F.transform(
+                    h.select(nodes, c["card"], lambda x: _is_link(x, fv.STARTUP_JOB_HREF)),
+                    lambda a: listing(a, c, job_at),
+                ),
+            )
+        ),
     )
     pages = _pages(landing.filter(~contains_any(F.col("body"), fv.BLOCK_MARKERS)), "wellfound")
     rows = _explode(pages, listings).filter("href <> '' and title <> ''")
@@ -369,10 +382,12 @@ def mustakbil(landing: DataFrame) -> DataFrame:
 
     def text(scope: Column) -> Column:
         """Text without the names of icons."""
-        icons = h.select(nodes, scope, _is("i", "icon"))
-        pieces = h.select(
-            nodes, scope,
-            lambda x: (x["tag"] == "#text") & ~F.exists(icons, lambda i: h.inside(x, i)),
+        pieces = bind(
+            h.select(nodes, scope, _is("i", "icon")),
+            lambda icons: h.select(
+                nodes, scope,
+                lambda x: (x["tag"] == "#text") & ~F.exists(icons, lambda i: h.inside(x, i)),
+            ),
         )
         stripped = F.filter(F.transform(pieces, lambda x: strip(x["text"])), lambda t: t != "")
         return F.array_join(stripped, " ")
