@@ -33,9 +33,12 @@ def landed(pages: DataFrame, source: str, body: Column, key: Column | None = Non
 def pages_of(rows: DataFrame, item: Column, separator: str = ",", order: str = "id") -> DataFrame:
     """(page, items): the items of 50 rows in order, as one text."""
     at = c(order)
+    spark = rows.sparkSession
+    # As many partitions as a landing table would have files: small ones are not merged.
+    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return (
         rows.select(F.floor(at / PER_RESPONSE).alias("page"), at.alias("at"), item.alias("item"))
-        .groupBy("page")
+        .repartition(wide, "page").groupBy("page")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))),
                                       lambda x: x["item"]), separator).alias("items"))
     )

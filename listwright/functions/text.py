@@ -24,7 +24,9 @@ WHITESPACE = (
     + "".join(chr(c) for c in range(0x2000, 0x200B))
     + "\u2028\u2029\u202f\u205f\u3000"
 )
-WHITESPACE_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
+# The same set as a pattern; (?U) makes \s the white space of all scripts.
+SPACE = r"[\s\x1c-\x1f]"
+NO_SPACE = r"[^\s\x1c-\x1f]"
 LINE_BREAK = r"[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 
@@ -61,7 +63,18 @@ def empty_to_null(c: Column | str) -> Column:
 
 def squeeze(c: Column | str) -> Column:
     """Collapse runs of white space to one space and strip."""
-    return F.btrim(F.regexp_replace(col(c), WHITESPACE_CLASS + "+", " "), F.lit(" "))
+    # Single blanks are what they should be already, and most of what there is.
+    runs = f"{UNICODE}(?:{SPACE}{{2,}}|(?! ){SPACE})"
+    return F.btrim(F.regexp_replace(col(c), runs, " "), F.lit(" "))
+
+
+def opening(c: Column, n: int) -> Column:
+    """The first ``n`` characters of the squeezed text.
+
+    They lie within the first n / 2 words, so no more than that is squeezed.
+    """
+    words = f"{UNICODE}^{SPACE}*+(?:{NO_SPACE}++{SPACE}++){{0,{n // 2}}}+{NO_SPACE}*+"
+    return F.substring(squeeze(F.regexp_extract(c, words, 0)), 1, n)
 
 
 def text_or_empty(c: Column | str) -> Column:

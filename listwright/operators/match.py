@@ -9,9 +9,9 @@ from pyspark.sql import types as T
 
 from listwright import fixed_values as fv
 from listwright.functions.scalars import seniority
-from listwright.functions.text import END, START, bind, escape, squeeze, strip, text_or_empty
+from listwright.functions.text import END, START, bind, escape, opening, strip, text_or_empty
 from listwright.operators.predicates import effective_time, status_filter
-from listwright.operators.probes import lookup_words, probe_hits
+from listwright.operators.probes import lookup_words, probe_hits, words_of
 from listwright.session import cut_lineage, keep_computed
 
 
@@ -28,11 +28,27 @@ def clean_skills(skills: list[str]) -> list[str]:
 
 def skills_found(text: Column, skills: list[str]) -> Column:
     """Which of the skills occur in the lower-cased text, in the order of the list."""
+    word = {skill: lookup_words(skill)[0] for skill in skills}
     table = F.array(
-        *[F.struct(F.lit(s).alias("skill"), F.lit(skill_pattern(s)).alias("pattern")) for s in skills]
+        *[
+            F.struct(
+                F.lit(skill).alias("skill"), F.lit(word[skill]).alias("word"),
+                F.lit(skill_pattern(skill)).alias("pattern"),
+            )
+            for skill in skills
+        ]
     )
-    # The literal search decides nearly all cases; only what is left runs the pattern.
-    hits = F.filter(table, lambda s: F.contains(text, s["skill"]) & F.rlike(text, s["pattern"]))
+    wanted = F.array(*map(F.lit, sorted(set(word.values())))).cast("array<string>")
+
+    # The text is cut into words once; only skills whose first word is there run a pattern.
+    def among(words: Column) -> Column:
+        return F.filter(
+            table,
+            lambda s: F.array_contains(words, s["word"])
+            & F.contains(text, s["skill"]) & F.rlike(text, s["pattern"]),
+        )
+
+    hits = bind(F.array_intersect(words_of(text), wanted), among)
     return F.transform(hits, lambda s: s["skill"])
 
 
@@ -54,7 +70,7 @@ def profiles_from_texts(texts: DataFrame, vocabulary: list[str] | None = None) -
         skills_found(F.col("_low"), vocabulary).alias("skills"),
         F.array().cast("array<string>").alias("titles"),
         seniority(text_or_empty("text")).alias("seniority"),
-        F.substring(squeeze(text_or_empty("text")), 1, fv.PROFILE_SUMMARY_CHARS).alias("summary"),
+        opening(text_or_empty("text"), fv.PROFILE_SUMMARY_CHARS).alias("summary"),
     )
 
 

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from listwright.functions.text import text_or_empty
 
-# A probe table up to this many words is sent to every task and compared in the row.
-# Larger tables go through a shuffled join on the word.
+# Probe tables up to this many distinct words, and up to this many (word, probe) rows (a few
+# hundred bytes each), are sent to every task. Larger ones go through a shuffled join.
 MAX_IN_ROW_WORDS = 5_000
+MAX_BROADCAST_PROBES = 100_000
 
 PROBE_SCHEMA = "probe_id string, pattern string, keys array<string>"
 # Probes that cannot be looked up by a word are found under this one, which every text has.
@@ -77,7 +78,8 @@ def probe_hits(listings: DataFrame, fields: dict[int, str], probes: DataFrame) -
         hit = F.contains(f"_low{bit}", F.col("word")) & F.rlike(F.col(text), F.col("pattern"))
         mask = mask + F.when(hit, F.lit(bit)).otherwise(F.lit(0))
     wanted = by_word.select("word").distinct().limit(MAX_IN_ROW_WORDS + 1).collect()
-    if len(wanted) <= MAX_IN_ROW_WORDS:
+    rows_to_send = by_word.limit(MAX_BROADCAST_PROBES + 1).count()
+    if len(wanted) <= MAX_IN_ROW_WORDS and rows_to_send <= MAX_BROADCAST_PROBES:
         # The word list is small: only words asked for leave the row, so that texts are
         # neither shuffled nor copied for words nobody wants.
         vocabulary = F.array(*[F.lit(r["word"]) for r in wanted]).cast("array<string>")
@@ -87,12 +89,13 @@ def probe_hits(listings: DataFrame, fields: dict[int, str], probes: DataFrame) -
         candidates = rows.withColumn("word", F.explode_outer(found)).filter("word is not null")
         candidates = candidates.drop("_words").join(F.broadcast(by_word), "word")
     else:
-        # Only (id, word) is shuffled by word; texts join back once, by id.
-        pairs = (
-            rows.select("id", F.explode(F.array_distinct("_words")).alias("word"))
-            .join(by_word, "word")
-        )
-        candidates = pairs.join(rows.drop("_words"), "id")
+        # Only (id, word) is shuffled by word, where adaptive execution splits the words that
+        # many texts have; texts join back once, by id.
+        words = rows.select("id", F.explode(F.array_distinct("_words")).alias("word"))
+        if by_word.filter(F.col("word") == NO_WORD).limit(1).count() == 0:
+            # Every text has this word; without a probe that needs it, it stays at home.
+            words = words.filter(F.col("word") != NO_WORD)
+        candidates = words.join(by_word, "word").join(rows.drop("_words"), "id")
     # Filtered after the aggregate: a filter on the mask would be pushed into the join and run
     # every expression a second time.
     return (

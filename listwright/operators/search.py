@@ -345,5 +345,6 @@ def search_batch(listings: DataFrame, queries: DataFrame) -> DataFrame:
     return rank_hits(cut_lineage(hits), few_queries=few)
 
 
-# Up to this many queries, per-query tables are broadcast (a few dozen bytes per query).
-_FEW_QUERIES = 50_000
+# Up to this many queries, per-query tables are broadcast (at most some dozen rows of about a
+# hundred bytes per query).
+_FEW_QUERIES = 5_000

@@ -280,8 +280,10 @@ def hn(landing: DataFrame) -> DataFrame:
     threads = hn_thread(landing)
     comments = json_items(landing.filter("feed_key <> 'search'"), "hn", "$.children")
     rows = (
+        # One row per cycle, and all comments of a cycle share the key: broadcast.
         comments.join(
-            threads.withColumnRenamed("story_id", "feed_key"), ["cycle_id", "feed_key"], "left_semi"
+            F.broadcast(threads.withColumnRenamed("story_id", "feed_key")),
+            ["cycle_id", "feed_key"], "left_semi",
         )
         .filter(text_or_empty(field("text")) != "")
         .withColumn("plain", html_to_text(field("text")))
