@@ -19,6 +19,7 @@ from listwright.operators.dedupe import number_rows
 from listwright.plans.ingest import IngestConfig, cycle_summary, enabled_only, new_listings, source_failures
 from listwright.schemas import LANDING, LISTING
 from listwright.sources.registry import normalize
+from listwright.sources.rss_feeds import feed_warnings
 
 CYCLE = "10 minutes"
 
@@ -29,6 +30,8 @@ class Paths:
     listings: str
     runs: str
     checkpoint: str
+    # Where the warnings about saved searches go; each cycle replaces those of the last.
+    warnings: str | None = None
 
 
 @dataclass(frozen=True)
@@ -87,6 +90,8 @@ def ingest_batch(landing: DataFrame, batch_id: int, paths: Paths, config: Stream
             nothing.alias("skipped"), "error_class", "error",
         )
         _replace(runs.unionByName(failed).withColumn("batch_id", F.lit(batch_id)), paths.runs, "batch_id")
+        if paths.warnings:
+            feed_warnings(landing).write.mode("overwrite").parquet(paths.warnings)
     finally:
         landing.unpersist()
 

@@ -108,6 +108,22 @@ def test_texts(spark):
     })
 
 
+def test_sql_functions_agree_with_columns(spark):
+    from listwright.functions.sql import register_sql_functions
+
+    register_sql_functions(spark)
+    ages = [0, 59, 60, 3599, 3600, 86399, 86400, 86400 * 29, 86400 * 31, 86400 * 364, 86400 * 800, -5]
+    rows = [(i, NOW - dt.timedelta(seconds=a), u) for i, (a, u) in enumerate(zip(ages, ["\t HTTPS://x\n", "ftp:y", None] * 4))]
+    df = spark.createDataFrame([(None, None, "http:/z"), *rows], "score int, ts timestamp_ntz, url string")
+    as_of = f"timestamp_ntz'{NOW}'"
+    both = df.select(
+        F.array(F.expr("score_band(score)"), F.expr("safe_link(url)"), F.expr("dedupe_key(url)"),
+                F.expr(f"relative_age(ts, {as_of})")).alias("sql"),
+        F.array(s.score_band("score"), s.safe_link("url"), s.dedupe_key("url"), s.relative_age("ts", now())).alias("column"),
+    ).collect()
+    assert len(both) == 13 and all(r["sql"] == r["column"] for r in both)
+
+
 def test_title_splits(spark):
     values(spark, lambda v: F.array(*s.title_company_location(v)), {
         "Dev - Acme - Oslo": ["Dev", "Acme", "Oslo"], "A - B - Acme - Oslo": ["A - B", "Acme", "Oslo"],

@@ -81,6 +81,19 @@ def test_disabled_source_is_not_read(spark, tmp_path):
     assert [r.source for r in stored(spark, paths.listings).collect()] == ["remotive"]
 
 
+def test_warnings_are_replaced(spark, tmp_path):
+    names = ("landing", "listings", "runs", "checkpoint", "warnings")
+    paths = Paths(*[str(tmp_path / n) for n in names])
+    feed = "<rss><channel><item><title>Python Dev</title><link>http://u.test/1</link></item></channel></rss>"
+    config = StreamConfig(sources=["upwork_rss"])
+    ingest_batch(land(spark, paths.landing, [(1, "upwork_rss", 403, "")]), 0, paths, config)
+    (warning,) = spark.read.parquet(paths.warnings).collect()
+    assert warning.warning.startswith("HTTP 403 — login wall")
+    ingest_batch(land(spark, paths.landing, [(2, "upwork_rss", 200, feed)]), 1, paths, config)
+    assert spark.read.parquet(paths.warnings).count() == 0
+    assert stored(spark, paths.listings).count() == 1
+
+
 def _listings(spark, path, n):
     rows = spark.range(n).select(
         *[
