@@ -166,22 +166,21 @@ def dense_numbering(spark, d):
     return number_rows(rows, [F.desc("fetched_at"), F.asc("id")], "n").select("id", "n")
 
 
-@check(
-    "manual_batch",
-    with_jobs(
-        f"""SELECT id AS item_ord, reason FROM (
-          SELECT id, CASE WHEN trim(u) = '' OR t = '' THEN 'URL and title are required.'
-              WHEN NOT regexp_matches(lower(trim(u)), '^https?://') THEN 'URL must start with http:// or https://'
-              WHEN first_id <> id OR h IN (SELECT dedupe_hash FROM known)
-                THEN 'That job is already in your feed.' END AS reason
-          FROM (SELECT *, sha256(lower(trim(u))) AS h, min(CASE WHEN good THEN id END)
-                  OVER (PARTITION BY sha256(lower(trim(u))), good) AS first_id
-            FROM (SELECT *, trim(u) <> '' AND t <> '' AND regexp_matches(lower(trim(u)), '^https?://') AS good
-              FROM (SELECT id, CASE WHEN location IS NULL THEN '' WHEN location = 'London' THEN 'ftp:' || trim(url) ELSE url END AS u,
-                      CASE WHEN title = 'Nurse' THEN '' ELSE title END AS t FROM jobs))))""",
-        KNOWN,
-    ),
-)
+# Rows typed in by hand: some without address or title, some with a wrong scheme.
+_TYPED_SQL = """typed AS (
+  SELECT *, trim(u) <> '' AND t <> '' AND regexp_matches(lower(trim(u)), '^https?://') AS good,
+    sha256(lower(trim(u))) AS h
+  FROM (SELECT id, company, CASE WHEN location IS NULL THEN '' WHEN location = 'London' THEN 'ftp:' || trim(url) ELSE url END AS u,
+          CASE WHEN title = 'Nurse' THEN '' ELSE title END AS t FROM jobs))"""
+_CHECKED_SQL = """checked AS (
+  SELECT *, CASE WHEN trim(u) = '' OR t = '' THEN 'URL and title are required.'
+      WHEN NOT good THEN 'URL must start with http:// or https://'
+      WHEN min(id) OVER (PARTITION BY h, good) <> id OR h IN (SELECT dedupe_hash FROM known)
+        THEN 'That job is already in your feed.' END AS reason
+  FROM typed)"""
+
+
+@check("manual_batch", with_jobs("SELECT id AS item_ord, reason FROM checked", KNOWN, _TYPED_SQL, _CHECKED_SQL))
 def manual_batch(spark, d):
     return check_manual(_typed_in(spark, d), known_hashes(spark, d)).select("item_ord", "reason")
 
@@ -198,7 +197,14 @@ def _typed_in(spark, d):
     )
 
 
-@check("manual_listings")
+@check(
+    "manual_listings",
+    with_jobs(
+        """SELECT 'manual' AS source, trim(u) AS url, t AS title, company, h AS dedupe_hash
+        FROM checked WHERE reason IS NULL""",
+        KNOWN, _TYPED_SQL, _CHECKED_SQL,
+    ),
+)
 def manual_accepted(spark, d):
     checked = check_manual(_typed_in(spark, d), known_hashes(spark, d))
     return manual_listings(checked, as_of()).select("source", "url", "title", "company", "dedupe_hash")

@@ -242,7 +242,13 @@ def html_text(spark, d):
     return page_texts(table(spark, d, "pages"))
 
 
-@check("html_links")
+@check(
+    "html_links",
+    r"""SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, href, text FROM (
+      SELECT page_id, generate_subscripts(hrefs, 1) AS pos, unnest(hrefs) AS href, trim(unnest(texts)) AS text
+      FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hrefs,
+          regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS texts FROM pages))""",
+)
 def html_links(spark, d):
     return page_links(table(spark, d, "pages"))
 
