@@ -1,4 +1,4 @@
 """All queries of the corpus operators and their SQL."""
 
-from listwright.llm import decontamination, exact_dedup, language, packing, pii, sharding, url_filter  # noqa: F401
+from listwright.llm import decontamination, exact_dedup, language, packing, pii, sharding, url_filter, warc  # noqa: F401
 from listwright.llm.common import ORACLES, QUERIES  # noqa: F401
