@@ -78,3 +78,20 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(
         F.translate(text, UPPER, LOWER)
     )
+
+#: A group with more than this share of the rows is heavy; at most 1 / share groups can be.
+HEAVY_SHARE = 0.001
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` inner-joined with the row of ``groups`` for their key; ``size`` counts a group's rows, of ``total``.
+
+    Heavy groups are few by their definition; they are broadcast, so that no task gets all rows of one. Both inputs are
+    read twice: hand over written tables.
+    """
+    least = total * HEAVY_SHARE
+    heavy = F.broadcast(groups.filter(F.col(size) > least))
+    light = groups.filter(F.col(size) <= least)
+    return rows.join(heavy, key).unionByName(
+        rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    )
