@@ -41,46 +41,44 @@ class WordTokenizer:
     """Ids of texts as the ``word_bpe_49k`` tokenizer gives them, with its answers for words kept.
 
     The tokenizer lower-cases, drops white space, splits into words by a pattern and encodes each by itself, so a text's
-    ids are its words' ids in a row. Only words that were not met before go through the tokenizer, many at a time.
+    ids are its words' ids in a row. Only words that are not known yet go through the tokenizer's model.
     """
 
     # The tokenizer's word pattern (its white space is Unicode's), and what it takes as special tokens.
     _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
     _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-    _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
+
+    # The same for texts of ASCII and of the letters up to U+017F, which composing leaves as they are and whose lower
+    # case is among them (but for U+0130): the standard library's patterns are faster.
+    _LATIN = re.compile(r"[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
+    _LATIN_WORDS = re.compile(
+        r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[0-9]"
+        r"|[^\x09-\x0d\x20a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+"
+    )
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self._any = regex.compile(self._PATTERN)
-        vocabulary = self._tokenizer.get_vocab()
-        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        ids = np.array(self._tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self._ends[ids]) + 1
-        if len(ends) != len(words):
-            for word in words:
-                self._known[word] = self._whole(word)
-            return
-        data, at = ids.tobytes(), 0
-        for word, end in zip(words, (ends * 4).tolist()):
-            self._known[word] = data[at:end]
-            at = end
+    def _word(self, word: str) -> bytes:
+        # The model knows bytes by stand-in characters, printable ASCII by itself.
+        spelled = word if word.isascii() and word.isprintable() else self._bytes.pre_tokenize_str(word)[0][0]
+        return np.array([t.id for t in self._tokenizer.model.tokenize(spelled)], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids, four bytes each, little-endian."""
         if any(s in text for s in self._SPECIAL):
             return self._whole(text)
-        if text.isascii():
-            words = self._ASCII.findall(text.lower())
+        if self._LATIN.fullmatch(text):
+            words = self._LATIN_WORDS.findall(text.lower())
         else:
             text = unicodedata.normalize("NFC", text)
             # str.lower() looks at a sigma's place in its word, the tokenizer does not.
@@ -89,9 +87,13 @@ class WordTokenizer:
         known = self._known
         if len(known) > CACHE_WORDS:
             known.clear()
-        if missing := [w for w in set(words) if w not in known]:
-            self._learn(missing)
-        return b"".join(map(known.__getitem__, words))
+        found = list(map(known.get, words))
+        if None in found:
+            for word, data in zip(words, found):
+                if data is None and word not in known:
+                    known[word] = self._word(word)
+            found = map(known.__getitem__, words)
+        return b"".join(found)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
