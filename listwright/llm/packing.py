@@ -31,6 +31,8 @@ SEQUENCE = 2048
 END_ID = 0
 #: Steps of the least-squares fit.
 FIT_STEPS = 300
+#: How much of the fitted repeat counts is followed.
+SHARES = (1.0, 0.5, 0.25, 0.1)
 #: Pieces of a length are numbered in groups of about so many.
 GROUP_ROWS = 256
 #: Words whose ids a worker keeps; then it starts over.
@@ -160,9 +162,8 @@ def enumerate_patterns(present: np.ndarray, size: int) -> np.ndarray:
     for a in lengths[lengths <= size // 3]:
         b = lengths[(lengths >= a) & (lengths <= (size - a) // 2)]
         c = size - a - b
-        good = have[c]
-        rows.append(np.stack([np.full(good.sum(), a), b[good], c[good]], axis=1))
-    return np.concatenate(rows).astype(np.int64) if rows else np.zeros((0, 3), np.int64)
+        rows.append(np.stack([np.full(len(b), a), b, c], axis=1)[have[c]])
+    return np.concatenate(rows).astype(np.int64)
 
 
 def fit_repeats(patterns: np.ndarray, histogram: np.ndarray, steps: int = FIT_STEPS) -> np.ndarray:
@@ -246,11 +247,19 @@ def best_fit(histogram: np.ndarray, size: int) -> list[Group]:
 
 
 def plan(histogram: np.ndarray, size: int = SEQUENCE) -> list[Group]:
-    """The packing of a histogram of piece lengths (index: length, 0 to ``size``)."""
-    left = histogram.astype(np.int64)
-    patterns = enumerate_patterns(np.flatnonzero(left), size)
-    groups = round_repeats(patterns, fit_repeats(patterns, left), left)
-    return groups + best_fit(left, size)
+    """The packing of a histogram of piece lengths (index: length, 0 to ``size``).
+
+    Where the patterns cannot fit the histogram, following them to the end can use up the pieces that the rest would need.
+    So they are followed for each of SHARES, and the plan of the fewest sequences is taken.
+    """
+    patterns = enumerate_patterns(np.flatnonzero(histogram), size)
+    repeats = fit_repeats(patterns, histogram)
+    plans = []
+    for share in SHARES:
+        left = histogram.astype(np.int64)
+        groups = round_repeats(patterns, repeats * share, left)
+        plans.append(groups + best_fit(left, size))
+    return min(plans, key=lambda groups: sum(g.repeats for g in groups))
 
 
 class Slots:
