@@ -277,12 +277,18 @@ def kept_text(text: Column, dropped: Column) -> Column:
     return F.when(dropped.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
-def with_dropped(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the column dropped_lines: the numbers of the lines that go, null where all stay."""
+def _joined(docs: DataFrame, edits: int, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    """``docs`` and, in a second column set, the numbers of the lines that go."""
     gone = written(repeated_lines(docs, edits, id_col, text_col), "dropped-lines")
-    gone = gone.select(F.col("key").alias("dropped_key"), F.col("dropped").alias("dropped_lines"))
-    docs = docs.drop("dropped_lines", "dropped_key")
-    return docs.join(gone.hint("shuffle_hash"), F.xxhash64(id_col, text_col) == F.col("dropped_key"), "left").drop("dropped_key")
+    joined = docs.join(gone.hint("shuffle_hash"), F.xxhash64(docs[id_col], docs[text_col]) == gone["key"], "left")
+    return joined, gone["dropped"]
+
+
+def with_dropped(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the column dropped_lines: the numbers of the lines that go, null where all stay. A column of that
+    name that was there before is replaced."""
+    joined, dropped = _joined(docs, edits, id_col, text_col)
+    return joined.select(*[docs[c] for c in docs.columns if c != "dropped_lines"], dropped.alias("dropped_lines"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,11 +296,10 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", tex
 
     Same columns. Null and empty texts, texts without repeated lines, and lines shorter than LEAST_CHARS stay as they are.
     """
-    names = docs.columns
-    found = with_dropped(docs, edits, id_col, text_col)
-    text = kept_text(F.col(text_col), F.col("dropped_lines"))
-    found = found.withColumn("kept_text", text).filter(F.col("dropped_lines").isNull() | (F.btrim("kept_text", F.lit(BLANKS + "\n")) != ""))
-    return found.withColumn(text_col, F.col("kept_text")).select(*names)
+    joined, dropped = _joined(docs, edits, id_col, text_col)
+    text = kept_text(docs[text_col], dropped)
+    left = joined.filter(dropped.isNull() | (F.btrim(text, F.lit(BLANKS + "\n")) != ""))
+    return left.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 @query("op6_line_dedup")

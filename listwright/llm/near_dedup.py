@@ -356,9 +356,8 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col:
     """
     found = near_duplicates(docs, threshold, id_col, text_col)
     gone = found.filter(~F.col("id").eqNullSafe(F.col("class_id"))).select("key").distinct()
-    gone = written(gone, "dropped").withColumnRenamed("key", "dropped_key")
-    names = docs.columns
-    return docs.join(gone.hint("shuffle_hash"), F.xxhash64(id_col, text_col) == F.col("dropped_key"), "left_anti").select(*names)
+    gone = written(gone, "dropped")
+    return docs.join(gone.hint("shuffle_hash"), F.xxhash64(docs[id_col], docs[text_col]) == gone["key"], "left_anti")
 
 
 @query("op9_near_duplicates")
