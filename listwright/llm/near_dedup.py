@@ -102,14 +102,16 @@ def _node(grams: np.ndarray) -> bytes:
 def _signatures(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, signatures = [], []
+            nodes, sizes, signatures = [], [], []
             for text in batch.column(2):
                 grams = ngrams(text.as_py())
+                sizes.append(len(grams))
                 nodes.append(_node(grams) if len(grams) else None)
                 signatures.append(band_hashes(grams, bands, rows).tobytes() if len(grams) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(signatures, pa.binary())],
-                names=["id", "key", "node", "signature"],
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()),
+                 pa.array(signatures, pa.binary())],
+                names=["id", "key", "node", "n_grams", "signature"],
             )
 
     return run
@@ -172,24 +174,27 @@ def _first_common_large(a: np.ndarray, b: np.ndarray, large: np.ndarray) -> np.n
     return np.where(same.any(axis=2), same.argmax(axis=2), -1)
 
 
-def _verify_pairs(threshold: float):
-    """Rows of two nodes (signature, large bands, grams each) to whether they are linked here: pairs that also meet in a
-    large bucket are left to it."""
-    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for sa, la, ga, sb, gb in batches:
+def _apart(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Whether two nodes (signatures, and the first's large bands as bits) meet in small buckets only."""
+    for one, two, large in batches:
+        bands = [np.frombuffer(b"".join(s.to_pylist()), np.int64).reshape(len(s), -1) for s in (one, two)]
+        masks = large.fill_null(0).to_numpy(zero_copy_only=False)
+        is_large = (masks[:, None] >> np.arange(bands[0].shape[1])) & 1 == 1
+        yield pa.array(~((bands[0] == bands[1]) & is_large).any(axis=1))
+
+
+def _similar(threshold: float):
+    """Whether the Jaccard similarity of two sets of n-grams is at or above the threshold."""
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for one, two in batches:
             out = []
-            for s, large, g, t, h in zip(sa, la, ga, sb, gb):
-                common = np.frombuffer(s.as_py(), np.int64) == np.frombuffer(t.as_py(), np.int64)
-                mask = large.as_py() or 0
-                if any(mask >> int(k) & 1 for k in np.flatnonzero(common)):
-                    out.append(False)
-                    continue
+            for g, h in zip(one, two):
                 x, y = _grams(g.as_py()), _grams(h.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 out.append(both / (len(x) + len(y) - both) >= threshold)
             yield pa.array(out, pa.bool_())
 
-    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     return run
 
 
@@ -278,13 +283,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     bands, rows_ = choose_bands(threshold)
     ids = F.col(id_col).cast("long").alias("id")
     source = docs.select(ids, F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    signed = written(source.mapInArrow(_signatures(bands, rows_), "id long, key long, node binary, signature binary"), "signatures")
+    signed = written(source.mapInArrow(_signatures(bands, rows_), "id long, key long, node binary, n_grams int, signature binary"), "signatures")
     rows = signed.filter(F.col("node").isNotNull()).select("id", "key", "node")
     nodes = written(
         signed.filter(F.col("node").isNotNull()).groupBy("node").agg(
             F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"), F.count(F.lit(1)).alias("n_copies"),
-            F.any_value("signature").alias("signature"),
-        ).select("node", F.col("first.id").alias("first_id"), F.col("first.key").alias("key"), "n_copies", "signature"),
+            F.min("n_grams").alias("n_grams"), F.any_value("signature").alias("signature"),
+        ).select("node", F.col("first.id").alias("first_id"), F.col("first.key").alias("key"), "n_copies", "n_grams", "signature"),
         "nodes",
     )
     members = written(
@@ -300,13 +305,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     pairs = buckets.filter("n = 2").select("a", "b").unionByName(
         few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "bucket").filter("a < b").select("a", "b")
     )
-    pairs = written(pairs.distinct(), "pairs")
+    pairs = pairs.distinct()
     crowded = buckets.filter(F.col("n") > SMALL_BUCKET).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     large = written(
         members.join(crowded, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "large-buckets"
     )
     masks = large.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("large"))
 
+    # Pairs that also meet in a large bucket are left to it, and sets of too different sizes cannot be similar: both show
+    # before any set is read.
+    thin = nodes.select("node", "n_grams", "signature").join(masks, "node", "left")
+    one = thin.select(F.col("node").alias("a"), F.col("n_grams").alias("na"), F.col("signature").alias("sa"), "large")
+    two = thin.select(F.col("node").alias("b"), F.col("n_grams").alias("nb"), F.col("signature").alias("sb"))
+    pairs = pairs.join(one, "a").join(two, "b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
+    pairs = written(pairs.filter(F.arrow_udf(_apart, "boolean")("sa", "sb", "large")).select("a", "b"), "pairs")
+
     # The n-gram sets of the nodes that have partners: their texts are read again, found by a filter of fixed size.
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node"))
     needed = written(
@@ -316,9 +329,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     sets = source.select("key", "text").mapInArrow(_candidate_sets(bits), "node binary, grams binary")
     sets = written(sets.dropDuplicates(["node"]).join(needed.drop("key"), "node"), "candidate-sets")
 
-    one = sets.select(F.col("node").alias("a"), F.col("signature").alias("sa"), F.col("large").alias("la"), F.col("grams").alias("ga"))
-    two = sets.select(F.col("node").alias("b"), F.col("signature").alias("sb"), F.col("grams").alias("gb"))
-    verified = F.arrow_udf(_verify_pairs(threshold), "boolean")("sa", "la", "ga", "sb", "gb")
+    one, two = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
+    verified = F.arrow_udf(_similar(threshold), "boolean")("ga", "gb")
     linked = written(pairs.join(one, "a").join(two, "b").filter(verified).select("a", "b"), "links")
 
     # Each node goes to the pairs of blocks that its own is in.
