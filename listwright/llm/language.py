@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,11 @@ UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
 _COUNTER_SIZE = 200_000
-_CACHE_SIZE = 200_000
+_FACTOR = 0x9E3779B97F4A7C15
+#: Texts that are answered together.
+_TOGETHER = 64
+#: Unseen words that a worker remembers.
+_CACHE_SIZE = 300_000
 
 
 def _words(text: str) -> list[str]:
@@ -55,8 +59,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = lambda: _flush(Counter({(k, w): n for k, c in counters.items() for w, n in c.items()}))
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1)):
-            counters.setdefault(lang.as_py(), Counter()).update(_words(text.as_py()))
-            if sum(map(len, counters.values())) > _COUNTER_SIZE:
+            counter = counters.setdefault(lang.as_py(), Counter())
+            counter.update(_words(text.as_py()))
+            if len(counter) > _COUNTER_SIZE or len(counters) > MOST_LANGUAGES:
                 yield out()
                 counters.clear()
     if counters:
@@ -84,6 +89,19 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _flush(counts)
 
 
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+
+
+def _gram_hashes(chars: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n characters that end at each place; the first n - 1 places have no meaning."""
+    out = chars.copy()
+    for k in range(1, n):
+        out[k:] = out[k:] + chars[:len(chars) - k] * np.uint64(pow(_FACTOR, k, 1 << 64))
+    out ^= out >> np.uint64(32)
+    return out * np.uint64(_FACTOR)
+
+
 @dataclass
 class LanguageModel:
     """Log frequencies by unit, one row of ``table`` for each; words and n-grams (framed with ^ and $) apart."""
@@ -92,47 +110,66 @@ class LanguageModel:
     words: dict[str, int]
     grams: dict[str, int]
     table: np.ndarray
-    _cache: dict = field(default_factory=dict, repr=False)
-    _rows: list = field(default_factory=list, repr=False)
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Evidence of a word that is not known: the mean over its characters of the longest known n-gram that ends
+    def __post_init__(self):
+        #: For each n, the n-grams' hashes, ascending, and their rows.
+        self._hashed = []
+        for n in range(1, LONGEST_GRAM + 1):
+            own = [g for g in self.grams if len(g) == n]
+            hashes = _gram_hashes(_code_points("".join(own)), n)[n - 1::n] if own else np.zeros(0, np.uint64)
+            order = np.argsort(hashes)
+            self._hashed.append((hashes[order], np.array([self.grams[g] for g in own], np.int64)[order]))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start anew with the rows of the known words alone."""
+        self._rows = self.table[:len(self.words)]
+        self._size, self._place = len(self.words), dict(self.words)
+
+    def _learn(self, words: list[str]) -> None:
+        """Rows for words that are not known: the mean over their characters of the longest known n-gram that ends
         there; characters without one say nothing."""
-        framed, found = f"^{word}$", []
-        for end in range(2, len(framed) + 1):
-            for n in range(min(LONGEST_GRAM, end), 0, -1):
-                row = self.grams.get(framed[end - n:end])
-                if row is not None:
-                    found.append(row)
-                    break
-        if not found:
-            return np.zeros(len(self.languages), np.float32)
-        return self.table[found].mean(axis=0)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = _words(text) if text else []
-        if not self.languages or not any(c.isalpha() for w in words for c in w):
-            return UNKNOWN, 0.0
-        cache, rows, known = self._cache, self._rows, self.words
-        if len(rows) > _CACHE_SIZE:
-            cache.clear()
-            rows.clear()
-        total = np.zeros(len(self.languages))
-        seen, new = [], []
-        for word in words:
-            row = known.get(word)
-            if row is not None:
-                seen.append(row)
+        sizes = np.array([len(w) + 2 for w in words])
+        chars = _code_points("".join([f"^{w}$" for w in words]))
+        word = np.repeat(np.arange(len(words)), sizes)
+        depth = np.arange(len(chars)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        found = np.full(len(chars), -1, np.int64)
+        for n in range(LONGEST_GRAM, 0, -1):
+            hashes, places = self._hashed[n - 1]
+            open_ = np.flatnonzero((found < 0) & (depth >= max(n - 1, 1)))
+            if not len(hashes) or not len(open_):
                 continue
-            row = cache.get(word)
-            if row is None:
-                row = cache[word] = len(rows)
-                rows.append(self.unseen(word))
-            new.append(row)
-        if seen:
-            total += self.table[seen].sum(axis=0, dtype=np.float64)
-        if new:
-            total += np.sum([rows[r] for r in new], axis=0, dtype=np.float64)
+            own = _gram_hashes(chars, n)[open_]
+            at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+            hit = hashes[at] == own
+            found[open_[hit]] = places[at[hit]]
+        hits = found >= 0
+        word, found = word[hits], found[hits]
+        counts = np.maximum(np.bincount(word, minlength=len(words)), 1)
+        rows = np.empty((len(words), len(self.languages)), np.float32)
+        for k in range(len(self.languages)):
+            rows[:, k] = np.bincount(word, self.table[found, k], len(words)) / counts
+        if self._size + len(words) > len(self._rows):
+            self._rows = np.concatenate([self._rows[:self._size], np.zeros_like(rows), self._rows[:self._size]])
+        self._rows[self._size:self._size + len(words)] = rows
+        self._place.update(zip(words, range(self._size, self._size + len(words))))
+        self._size += len(words)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if self._size > len(self.words) + _CACHE_SIZE:
+            self._forget()
+        split = [_words(text) if text and self.languages else [] for text in texts]
+        place = self._place
+        missing = {w: None for words in split for w in words if w not in place}
+        if missing:
+            self._learn(list(missing))
+        return [self._answer(words) for words in split]
+
+    def _answer(self, words: list[str]) -> tuple[str, float]:
+        if not any(c.isalpha() for w in words for c in w):
+            return UNKNOWN, 0.0
+        places = np.fromiter(map(self._place.__getitem__, words), np.int64, len(words))
+        total = self._rows[places].sum(axis=0, dtype=np.float64)
         logits = total / len(words) * min(len(words), SURE_WORDS)
         shares = np.exp(logits - logits.max())
         shares /= shares.sum()
@@ -212,7 +249,9 @@ def predicted(spark: SparkSession, model: LanguageModel, text: Column) -> Column
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value
         for batch in batches:
-            answers = [known.predict(t.as_py()) for t in batch]
+            answers = []
+            for start in range(0, len(batch), _TOGETHER):
+                answers += known.predict(batch.slice(start, _TOGETHER).to_pylist())
             yield pa.array([{"lang": a, "score": s} for a, s in answers], kind)
 
     return predict(text)
