@@ -51,8 +51,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 SOURCES = ["remoteok", "wwr", "hn", "upwork_rss", "rozee", "manual"]
 TITLES = [
-    "Security Architect II", "Web Security Engineer", "Senior Web Developer", "Website Designer",
-    "Python3 Developer", "Laravel Developer", "Full-Stack Developer", "Machine Learning Engineer",
+    "Network Security Planner III", "Cloud Security Web Analyst", "Senior Web Toolsmith", "Web Page Illustrator",
+    "Python3 Developer", "Laravel Module Developer", "Full-Stack Developer", "Machine Learning Engineer",
     "Nurse", "Accountant", "DevOps Manager", "Junior JavaScript Intern",
 ]
 LOCATIONS = ["Remote (US)", "Worldwide", "Lahore, Pakistan", "Berlin, Germany", "London",
@@ -75,7 +75,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     i = F.col("doc_id")
-    rows = d.join(e, F.col("event_id") == i)
+    rows = d.join(e, F.col("event_id") == i, "left")
     number = F.when(i % 10 == 9, i - 1).otherwise(i).cast("string")
     host = F.when(i % 2 == 0, "HTTPS://Jobs.Example.org/L/").otherwise("https://jobs.example.org/l/")
     at = F.col("ts")
@@ -144,7 +144,7 @@ jobs AS (
     CASE WHEN doc_id % 11 BETWEEN 4 AND 8 AND doc_id % 4 <> 0 THEN ts + INTERVAL 48 HOUR END AS applied_at,
     CASE WHEN doc_id % 17 = 0 THEN ts + INTERVAL 24 HOUR END AS notified_at,
     CASE WHEN doc_id % 19 = 0 THEN '-note ' || CAST(doc_id AS VARCHAR) ELSE '' END AS notes
-  FROM documents JOIN events ON event_id = doc_id
+  FROM documents LEFT JOIN events ON event_id = doc_id
 )"""
 
 

@@ -42,7 +42,7 @@ def scoring_queue_all(spark, d):
           || 'Location: ' || coalesce(location, 'Not specified') || chr(10)
           || 'Budget: ' || coalesce(budget, 'Not specified') || chr(10)
           || 'Tags: ' || CASE WHEN tags_csv = '' THEN 'none' ELSE replace(tags_csv, ',', ', ') END || chr(10) || chr(10)
-          || 'Description:' || chr(10) || left(description, 6000) || chr(10)) AS prompt_hash
+          || 'Description:' || chr(10) || description || chr(10)) AS prompt_hash
         FROM jobs"""
     ),
 )

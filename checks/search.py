@@ -162,6 +162,27 @@ def search_batch_titles(spark, d):
     return search_batch(listings, queries).select("query_id", "id", F.round("relevance", 6).alias("relevance"))
 
 
+_TEN = "network security planner cloud analyst web toolsmith illustrator devops manager"
+_NOT_DEVELOPER = " OR ".join(f"regexp_matches(coalesce({f}, ''), '{_term(['developer'])}')" for f, _ in FIELDS)
+
+
+@check(
+    "search_batch_exclusions",
+    with_jobs(
+        f"""SELECT 'ten' AS query_id, * FROM ({search_sql([(_spellings(w), False) for w in _TEN.split()], [["cloud security"]])})
+        UNION ALL SELECT 'only', id, CAST(NULL AS DOUBLE) FROM jobs WHERE NOT ({_NOT_DEVELOPER})
+        UNION ALL SELECT 'nothing', id, CAST(NULL AS DOUBLE) FROM jobs"""
+    ),
+)
+def search_batch_exclusions(spark, d):
+    """Ten terms and an exclusion behind them, an exclusion alone, and an empty query."""
+    queries = spark.createDataFrame(
+        [("ten", f'{_TEN} -"cloud security"'), ("only", "-developer"), ("nothing", " ")], "query_id string, q string"
+    )
+    found = search_batch(jobs(spark, d).select(*SEARCH_COLUMNS), queries)
+    return found.select("query_id", "id", F.round("relevance", 6).alias("relevance"))
+
+
 # Part names are two plain words, so words can be compared instead of patterns.
 @check(
     "search_batch_parts",
@@ -206,7 +227,7 @@ _SENIORITY = f"""CASE
 
 def _resume_sql(text: str) -> str:
     return f"""SELECT id, {skills_sql(fv.SKILLS_VOCABULARY, 'lower(text)')} AS skills, {_SENIORITY} AS seniority,
-      left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 400) AS summary FROM {text}"""
+      trim(regexp_replace(text, '\\s+', ' ', 'g')) AS summary FROM {text}"""
 
 
 @check("vocab_profile", with_jobs(_resume_sql("(SELECT id, title || ' at ' || coalesce(company, '') || '. ' || tags_text || chr(10) || description AS text FROM jobs)")))

@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from checks.base import as_of, check, jobs, table, with_jobs
+from checks.base import ORACLES, as_of, check, jobs, table, with_jobs
 from listwright.sources import html_feeds, json_feeds, rss_feeds
-from listwright.sources.landing import NO_CAP, quarantine
+from listwright.sources.landing import quarantine
+from listwright.session import cut_lineage
 from listwright.sources.registry import NORMALIZERS, feed_health, normalize
 
 PER_RESPONSE = 50
@@ -84,7 +85,7 @@ def shown(raw: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
 LINES = ("array_to_string(list_filter(list_transform(string_split({0}, chr(10)), lambda x: trim(x)), "
          "lambda x: x <> ''), chr(10))")
 TEXT = LINES.format("description")
-ORD = "(id // 50) * 1000000 + id % 50"
+ORD = "(id // 50) * 2147483648 + id % 50"
 SEC = "date_trunc('second', posted_at)"
 NULLS = {"company": "CAST(NULL AS VARCHAR)", "budget": "CAST(NULL AS VARCHAR)",
          "location": "CAST(NULL AS VARCHAR)", "posted_at": "CAST(NULL AS TIMESTAMP)", "tags": "''",
@@ -275,7 +276,7 @@ def underdog(spark, d):
            description=f"concat_ws(chr(10), nullif({TEXT}, ''), CASE WHEN id % 3 = 0 THEN 'Hybrid · Senior' ELSE 'Fully Remote · Senior' END)",
            tags="CASE WHEN id % 3 = 0 THEN 'Hybrid|Senior' ELSE 'Fully Remote|Senior' END",
            location="coalesce(location, 'Oslo')"),
-    lambda landing: json_feeds.builtin(landing, NO_CAP),
+    json_feeds.builtin,
 )
 def builtin(spark, d):
     path = F.concat(lit("/job/"), "id")
@@ -319,21 +320,21 @@ _COMMENT = "(CASE WHEN conv_id % 2 = 0 THEN 'Acme | REMOTE' ELSE 'Acme | Oslo' E
 
 @source_check(
     "hn",
-    f"""SELECT 'hn' AS source, CAST(conv_id + 1 AS VARCHAR) AS external_id,
-      'https://news.ycombinator.com/item?id=' || CAST(conv_id + 1 AS VARCHAR) AS url,
-      left(string_split({LINES.format(_COMMENT)}, chr(10))[1], 200) AS title,
-      left(string_split({LINES.format(_COMMENT)}, chr(10))[1], 200) AS company,
+    f"""SELECT 'hn' AS source, CAST(conv_id * 1000 + turn + 1 AS VARCHAR) AS external_id,
+      'https://news.ycombinator.com/item?id=' || CAST(conv_id * 1000 + turn + 1 AS VARCHAR) AS url,
+      string_split({LINES.format(_COMMENT)}, chr(10))[1] AS title,
+      string_split({LINES.format(_COMMENT)}, chr(10))[1] AS company,
       CAST(NULL AS VARCHAR) AS budget, CAST(NULL AS VARCHAR) AS location,
       TIMESTAMP '2024-01-02 03:04:05' AS posted_at, sha256({LINES.format(_COMMENT)}) AS description, '' AS tags
-    FROM conversations WHERE turn = 0 AND contains(lower({_COMMENT}), 'remote')""",
+    FROM conversations WHERE contains(lower({_COMMENT}), 'remote')""",
     json_feeds.hn, ("item_ord",),
 )
 def hn(spark, d):
-    """Opening turns as top-level comments of the newest thread, plus threads that lose."""
-    comments = table(spark, d, "conversations").filter("turn = 0")
+    """All turns as top-level comments of the newest thread, plus threads that lose."""
+    comments = table(spark, d, "conversations").withColumn("number", c("conv_id") * 1000 + c("turn"))
     text = F.concat(F.when(c("conv_id") % 2 == 0, "Acme | REMOTE\n").otherwise("Acme | Oslo\n"), "text")
-    item = obj(id=c("conv_id") + 1, text=F.concat(lit("<p>"), escaped(text)), created_at=lit("2024-01-02T03:04:05Z"))
-    pages = pages_of(comments, item, order="conv_id")
+    item = obj(id=c("number") + 1, text=F.concat(lit("<p>"), escaped(text)), created_at=lit("2024-01-02T03:04:05Z"))
+    pages = pages_of(comments, item, order="number")
     children = F.concat(lit('{"children": ['), "items", lit("]}"))
     thread = landed(pages, "hn", children, lit("900"))
     other = landed(pages, "hn", children, lit("901"))
@@ -458,7 +459,7 @@ _CARD_TAGS = """CASE WHEN tags_csv IN ('Full-time,Python') THEN 'Python' ELSE re
            description=f"concat_ws(' · ', title, company, coalesce(location, 'Remote'), 'Full Time', '$50k', concat_ws(', ', nullif(replace({_CARD_TAGS}, '|', ', '), ''), 'Full Time'))",
            tags=f"concat_ws('|', nullif({_CARD_TAGS}, ''), 'Full Time')", budget="'$50k'",
            location="coalesce(location, 'Remote')", posted_at=_DAYS_AGO),
-    lambda landing: html_feeds.jobgether(landing, NO_CAP),
+    html_feeds.jobgether,
 )
 def jobgether(spark, d):
     href = F.concat(lit("/offer/"), "id", lit("-x"))
@@ -480,7 +481,7 @@ def jobgether(spark, d):
            description="concat_ws(' · ', title, coalesce(company, 'Stealth'), 'Tools for very small teams', 'Remote only', 'Full-time', '$' || CAST(id AS VARCHAR) || 'k', '4 years of exp')",
            tags="'Full-time|4 years of exp'", budget="'$' || CAST(id AS VARCHAR) || 'k'", location="'Remote only'",
            posted_at=_DAYS_AGO),
-    lambda landing: html_feeds.wellfound(landing, NO_CAP),
+    html_feeds.wellfound,
 )
 def wellfound(spark, d):
     name = F.when(c("company").isNotNull(), F.concat(lit('<a href="/company/x">'), "company", lit("</a>"))).otherwise(
@@ -499,12 +500,11 @@ def wellfound(spark, d):
 @source_check(
     "linkedin_email",
     expect("linkedin_email", external_id="CAST(1000 + id AS VARCHAR)",
-           url="'https://www.linkedin.com/jobs/view/' || CAST(1000 + id AS VARCHAR) || '/'", title="title", company="company",
+           url="'https://www.linkedin.com/jobs/view/' || CAST(1000 + id AS VARCHAR) || '/'", title="title",
+           company="coalesce(company, 'View job')",
            description="title || coalesce(chr(10) || company || ' · Oslo', '') || chr(10) || 'View job'",
-           item_ord="(id // 50) * 1000000 + 2 * (id % 50)"),
-    lambda landing: html_feeds.linkedin_email(landing).withColumn(
-        "company", F.when(c("company") != "View job", c("company"))
-    ),
+           item_ord="(id // 50) * 2147483648 + 2 * (id % 50)"),
+    html_feeds.linkedin_email,
 )
 def linkedin_email(spark, d):
     link = F.concat(lit('<a href="https://x.test/comm/jobs/view/'), 1000 + c("id"), lit('?t=1">'))
@@ -520,7 +520,7 @@ def linkedin_email(spark, d):
     expect("linkedin_web", external_id="'dev-' || CAST(id AS VARCHAR)", url="'https://l.test/jobs/view/dev-' || CAST(id AS VARCHAR)",
            title="title", company="company", description="concat_ws(' · ', title, company, location)", location="location",
            posted_at="CAST(CAST(posted_at AS DATE) AS TIMESTAMP)"),
-    lambda landing: html_feeds.linkedin_web(landing, NO_CAP),
+    html_feeds.linkedin_web,
 )
 def linkedin_web(spark, d):
     time = F.coalesce(F.concat(lit('<time datetime="'), F.date_format("posted_at", "yyyy-MM-dd"), lit('">x</time>')), lit(""))
@@ -556,7 +556,7 @@ def mustakbil(spark, d):
     expect("rozee", external_id="'https://www.rozee.pk/x-jobs-' || CAST(10000 + id AS VARCHAR)",
            url="'https://www.rozee.pk/x-jobs-' || CAST(10000 + id AS VARCHAR)", title="title || ' wanted'", company="company",
            description="title || ' wanted'", location="CASE WHEN location LIKE 'Lahore%' THEN location ELSE 'Pakistan' END"),
-    lambda landing: html_feeds.rozee(landing, NO_CAP),
+    html_feeds.rozee,
 )
 def rozee(spark, d):
     item = F.concat(
@@ -572,7 +572,7 @@ def rozee(spark, d):
     expect("bayt", external_id="'https://www.bayt.com/en/pakistan/jobs/x-' || CAST(10000 + id AS VARCHAR)",
            url="'https://www.bayt.com/en/pakistan/jobs/x-' || CAST(10000 + id AS VARCHAR)", title="title || ' wanted'",
            company="company", description="title || ' wanted'", location="'Pakistan'"),
-    lambda landing: html_feeds.bayt(landing, NO_CAP),
+    html_feeds.bayt,
 )
 def bayt(spark, d):
     firm = F.when(odd(), F.concat(lit('<div class="jb-Company">'), "company", lit("</div>"))).otherwise(
@@ -592,7 +592,8 @@ def bayt(spark, d):
               "SELECT 'builtin', CAST(least(40, count(*)) AS BIGINT) FROM jobs WHERE (id // 50) % 4 <> 1"),
 )
 def source_caps(spark, d):
-    raw = html_feeds.rozee(rozee(spark, d)).unionByName(json_feeds.builtin(builtin(spark, d)))
+    """Caps are given by who wants them; nothing is capped otherwise."""
+    raw = html_feeds.rozee(rozee(spark, d), 50).unionByName(json_feeds.builtin(builtin(spark, d), 40))
     return raw.groupBy("source").agg(F.count("*").alias("n"))
 
 
@@ -605,18 +606,18 @@ def all_landing(spark, d, names=ALL_JSON):
     return reduce(DataFrame.unionByName, [BUILDERS[n](spark, d) for n in names])
 
 
+#: Every source with a landing of its own here, against the rows that its own SQL gives.
+ALL_SOURCES = [n for n in BUILDERS if f"normalize_{n}" in ORACLES]
+
+
 @check(
     "normalize_all",
-    with_jobs(
-        """SELECT 'remoteok' AS source, count(*) AS n FROM jobs UNION ALL SELECT 'remotive', count(*) FROM jobs
-        UNION ALL SELECT 'jobicy', count(*) FROM jobs
-        UNION ALL SELECT 'arbeitnow', count(*) FROM jobs WHERE id % 4 <> 0
-        UNION ALL SELECT 'themuse', count(*) FROM jobs WHERE location IS NULL OR location = 'Remote (US)'
-        UNION ALL SELECT 'underdog', count(*) FROM jobs WHERE id % 5 <> 2 AND id % 10 <> 9"""
-    ),
+    " UNION ALL ".join(f"SELECT source, count(*) AS n FROM ({ORACLES[f'normalize_{n}']}) GROUP BY source" for n in ALL_SOURCES),
 )
 def normalize_all(spark, d):
-    return normalize(all_landing(spark, d), ALL_JSON).groupBy("source").agg(F.count("*").alias("n"))
+    landing = cut_lineage(all_landing(spark, d, ALL_SOURCES))
+    names = [r["source"] for r in landing.select("source").distinct().collect()]
+    return normalize(landing, names).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @check(
@@ -632,7 +633,7 @@ def normalize_all(spark, d):
 )
 def health(spark, d):
     landing = all_landing(spark, d, ["upwork_rss", "builtin"])
-    raw = rss_feeds.upwork(landing).unionByName(json_feeds.builtin(landing, NO_CAP))
+    raw = rss_feeds.upwork(landing).unionByName(json_feeds.builtin(landing))
     return feed_health(landing, raw)
 
 

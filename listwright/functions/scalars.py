@@ -118,10 +118,6 @@ def safe_link(url: Column | str) -> Column:
     return F.when(F.lower(s).rlike("^https?://"), s).otherwise("#")
 
 
-def clip(c: Column | str, n: int) -> Column:
-    return F.substring(col(c), 1, n)
-
-
 def without_query(href: Column) -> Column:
     return F.substring_index(href, "?", 1)
 
@@ -141,8 +137,9 @@ def extract_emails(
     text: Column | str,
     skip_domains: list[str] | None = None,
     skip_locals: list[str] | None = None,
+    limit: int | None = None,
 ) -> Column:
-    """First five distinct contact addresses, noise removed, in order of appearance."""
+    """Distinct contact addresses, noise removed, in order of appearance; the first ones with a limit."""
     domains = fv.EMAIL_SKIP_DOMAINS if skip_domains is None else skip_domains
     locals_ = fv.EMAIL_SKIP_LOCALS if skip_locals is None else skip_locals
     text = col(text)
@@ -159,7 +156,8 @@ def extract_emails(
             keep &= ~domain.rlike(rf"(?:^|\.){any_of(domains)}$")
         return keep & ~email.rlike(f"{any_of(fv.EMAIL_SKIP_ENDINGS)}$")
 
-    return F.slice(F.array_distinct(F.filter(cleaned, wanted)), 1, fv.EMAIL_LIMIT)
+    found = F.array_distinct(F.filter(cleaned, wanted))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 # ------------------------------------------------------------------ titles and names
@@ -292,7 +290,7 @@ def location_in_text(text: Column) -> Column:
     line = F.regexp_extract(text_or_empty(text), fv.LOCATION_LINE_PATTERN, 1)
     line = F.regexp_replace(line, r"\s+", " ")
     line = F.regexp_replace(line, fv.LOCATION_STOP_PATTERN, "")
-    return empty_to_null(clip(F.btrim(line, F.lit(" .;,")), 200))
+    return empty_to_null(F.btrim(line, F.lit(" .;,")))
 
 
 def remote_from(card_text: Column) -> Column:
@@ -359,18 +357,25 @@ def csv_safe(c: Column | str) -> Column:
     return F.when(s.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), s)).otherwise(s)
 
 
-def alert_text(score: Column, title: Column, company: Column, reason: Column, url: Column) -> Column:
+def alert_text(
+    score: Column, title: Column, company: Column, reason: Column, url: Column, max_chars: int | None = None
+) -> Column:
+    """The message of an alert; with ``max_chars`` (what its receiver takes) a longer one ends in an ellipsis."""
     head = F.concat(F.lit("⭐ "), F.coalesce(score.cast("string"), F.lit("?")), F.lit("/10 — "), title)
     text = F.concat_ws("\n", head, empty_to_null(company), empty_to_null(reason), url)
+    if max_chars is None:
+        return text
     return F.when(
-        F.length(text) > fv.ALERT_MAX_CHARS,
-        F.concat(F.substring(text, 1, fv.ALERT_MAX_CHARS - 1), F.lit("…")),
+        F.length(text) > max_chars, F.concat(F.substring(text, 1, max_chars - 1), F.lit("…"))
     ).otherwise(text)
 
 
 # ------------------------------------------------------------------ scoring rows
-def scoring_prompt(profile: Column) -> Column:
-    """The text a scorer gets for one listing row (columns by name)."""
+def scoring_prompt(profile: Column, description_chars: int | None = None) -> Column:
+    """The text a scorer gets for one listing row (columns by name), with the whole description unless limited."""
+    description = text_or_empty("description")
+    if description_chars is not None:
+        description = F.substring(description, 1, description_chars)
     tags = F.coalesce(empty_to_null(F.array_join("tags", ", ")), F.lit("none"))
     return F.concat(
         F.lit("MY PROFILE:\n"), profile,
@@ -381,7 +386,7 @@ def scoring_prompt(profile: Column) -> Column:
         F.lit("\nBudget: "), F.coalesce(empty_to_null("budget"), F.lit("Not specified")),
         F.lit("\nTags: "), tags,
         F.lit("\n\nDescription:\n"),
-        F.substring(text_or_empty("description"), 1, fv.PROMPT_DESCRIPTION_CHARS),
+        description,
         F.lit("\n"),
     )
 
@@ -411,7 +416,7 @@ def parse_reply(reply: Column | str) -> Column:
     return bind(F.try_parse_json(empty_to_null(body)), read)
 
 
-def model_list(value: Column, cap: int) -> Column:
+def model_list(value: Column, cap: int | None = None) -> Column:
     """A VARIANT holding a list, or text separated by , ; or line breaks -> clean list."""
     items = F.coalesce(
         F.try_variant_get(value, "$", "array<string>"),
@@ -419,4 +424,4 @@ def model_list(value: Column, cap: int) -> Column:
         F.array().cast("array<string>"),
     )
     lowered = F.transform(clean_tags(items), lambda x: F.lower(x))
-    return F.slice(lowered, 1, cap)
+    return lowered if cap is None else F.slice(lowered, 1, cap)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from listwright import fixed_values as fv
 from listwright.functions.scalars import seniority
-from listwright.functions.text import END, START, bind, escape, opening, strip, text_or_empty
+from listwright.functions.text import END, START, bind, escape, opening, squeeze, strip, text_or_empty
 from listwright.operators.predicates import effective_time, status_filter
 from listwright.operators.probes import lookup_words, probe_hits, words_of
 from listwright.session import cut_lineage, keep_computed
@@ -60,17 +60,24 @@ def match_text() -> Column:
 
 
 # ------------------------------------------------------------------ profiles
-def profiles_from_texts(texts: DataFrame, vocabulary: list[str] | None = None) -> DataFrame:
-    """(…, text) -> (…, skills, titles, seniority, summary), one row per text."""
+def profiles_from_texts(
+    texts: DataFrame, vocabulary: list[str] | None = None, summary_chars: int | None = None
+) -> DataFrame:
+    """(…, text) -> (…, skills, titles, seniority, summary), one row per text.
+
+    The summary is the text on one line, or its first ``summary_chars`` characters.
+    """
     vocabulary = clean_skills(fv.SKILLS_VOCABULARY if vocabulary is None else vocabulary)
     keep = [c for c in texts.columns if c != "text"]
     rows = texts.withColumn("_low", F.lower(text_or_empty("text")))
+    text = text_or_empty("text")
+    summary = squeeze(text) if summary_chars is None else opening(text, summary_chars)
     return rows.select(
         *keep,
         skills_found(F.col("_low"), vocabulary).alias("skills"),
         F.array().cast("array<string>").alias("titles"),
         seniority(text_or_empty("text")).alias("seniority"),
-        opening(text_or_empty("text"), fv.PROFILE_SUMMARY_CHARS).alias("summary"),
+        summary.alias("summary"),
     )
 
 
@@ -99,8 +106,13 @@ def profile_text() -> Column:
     )
 
 
-def read_profile_files(spark, path: str) -> DataFrame:
-    """(path, text, error) of text files; bytes that are not UTF-8 are left out."""
+def read_profile_files(
+    spark, path: str, max_bytes: int | None = None, max_chars: int | None = None
+) -> DataFrame:
+    """(path, text, error) of text files; bytes that are not UTF-8 are left out.
+
+    With limits, larger files are refused and longer texts cut.
+    """
     name = F.lower("path")
     raw = F.col("content").cast("string")
     decoded = F.when(F.is_valid_utf8(raw), raw).otherwise(
@@ -108,7 +120,7 @@ def read_profile_files(spark, path: str) -> DataFrame:
     )
     text = strip(decoded)
     unsupported = name.rlike(r"\.(?:pdf|docx|doc)$")
-    too_large = F.col("length") > 5 * 1024 * 1024
+    too_large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
     error = (
         F.when(unsupported, "unsupported file type")
         .when(too_large, "file too large")
@@ -116,7 +128,7 @@ def read_profile_files(spark, path: str) -> DataFrame:
     )
     return spark.read.format("binaryFile").load(path).select(
         "path",
-        F.when(error.isNull(), F.substring(text, 1, fv.PROFILE_MAX_CHARS)).alias("text"),
+        F.when(error.isNull(), text if max_chars is None else F.substring(text, 1, max_chars)).alias("text"),
         error.alias("error"),
     )
 

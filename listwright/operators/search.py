@@ -13,6 +13,7 @@ bit mask of fields per term) and share the ranking.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -80,8 +81,11 @@ def _adjacent(terms: list[Term]) -> str:
     return "(?iu)" + START + SEPARATOR.join(words) + END
 
 
-def read_query(q: str | None) -> Query:
-    """Split a query into terms and exclusions. Pieces without letter or digit say nothing."""
+def read_query(q: str | None, max_terms: int | None = None) -> Query:
+    """Split a query into terms and exclusions. Pieces without letter or digit say nothing.
+
+    All of them count. With ``max_terms``, reading ends at the bare word that makes so many terms.
+    """
     query = Query()
     for piece in re.findall(r'-"[^"]+"|"[^"]+"|-?\S+', q or ""):
         negative = piece.startswith("-") and bool(re.search("[A-Za-z0-9]", piece[1:]))
@@ -94,7 +98,7 @@ def read_query(q: str | None) -> Query:
             query.excluded.append(Term(text, required=True))
             continue
         query.terms.append(Term(text, required=quoted))
-        if not quoted and len(query.terms) >= fv.MAX_TERMS:
+        if max_terms is not None and not quoted and len(query.terms) >= max_terms:
             break
     return query
 
@@ -289,10 +293,10 @@ def _probes_of(q: pd.Series) -> pd.Series:
 
 
 def search_batch(listings: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, relevance) for every query of (query_id, q) that has a term.
+    """(query_id, id, relevance) for every query of (query_id, q), as ``search`` gives for each alone.
 
-    Queries without terms have no scores and keep (nearly) all listings; run those one by one
-    with ``search``. Equal patterns of different queries are evaluated once.
+    Queries without terms have no scores (NULL) and keep all listings but those they exclude: for them the result is as
+    large as the listings. Equal patterns of different queries are evaluated once.
     """
     parts = cut_lineage(
         queries.select("query_id", F.explode(_probes_of("q")).alias("p")).select("query_id", "p.*")
@@ -342,9 +346,30 @@ def search_batch(listings: DataFrame, queries: DataFrame) -> DataFrame:
         .filter(_survives(F.col("masks"), F.col("required"), n))
         .select("query_id", "id", "masks", "whole", "pairs")
     )
-    return rank_hits(cut_lineage(hits), few_queries=few)
-
-
+    ranked = rank_hits(cut_lineage(hits), few_queries=few)
+    excluded = found.join(small(roles.filter("role = 'exclude'")), "probe_id").select("query_id", "id").distinct()
+    for block in _without_terms(queries, terms):
+        kept = listings.select(F.explode(F.lit(block)).alias("query_id"), "id")
+        kept = kept.join(excluded, ["query_id", "id"], "left_anti")
+        ranked = ranked.unionByName(kept.withColumn("relevance", F.lit(None).cast("double")))
+    return ranked
+
+
+def _without_terms(queries: DataFrame, terms: DataFrame) -> Iterator[list]:
+    """Ids of the queries that have no term, in blocks."""
+    ids = queries.select("query_id").join(terms.select("query_id"), "query_id", "left_anti").distinct()
+    block = []
+    for row in ids.toLocalIterator():
+        block.append(row["query_id"])
+        if len(block) == _QUERY_BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+# Queries without terms that are laid over the listings at once.
+_QUERY_BLOCK = 1_000
 # Up to this many queries, per-query tables are broadcast (at most some dozen rows of about a
 # hundred bytes per query).
 _FEW_QUERIES = 5_000

@@ -19,9 +19,11 @@ def select_alerts(
     outbox: DataFrame | None = None,
     threshold: int = fv.DEFAULT_ALERT_THRESHOLD,
     limit: int = fv.ALERT_BATCH,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """(id, ai_score, fetched_at, message) of the best listings nobody was told about yet.
 
+    ``max_chars`` is the longest message that the receiver takes; without it messages are whole.
     A threshold of 0 is taken literally here. The limit is the size of one batch of alerts;
     what is left over is selected next time.
     """
@@ -29,7 +31,7 @@ def select_alerts(
     if outbox is not None:
         rows = rows.join(outbox.select("id"), "id", "left_anti")
     c = F.col
-    message = alert_text(c("ai_score"), c("title"), c("company"), c("ai_reason"), c("url"))
+    message = alert_text(c("ai_score"), c("title"), c("company"), c("ai_reason"), c("url"), max_chars)
     # The message is built after the top-k, for the selected rows only.
     best = rows.select(
         "id", "ai_score", "title", "company", "ai_reason", "url", "fetched_at"
@@ -37,11 +39,11 @@ def select_alerts(
     return best.select("id", "ai_score", "fetched_at", message.alias("message"))
 
 
-def append_to_outbox(alerts: DataFrame, path: str, batch_id: int) -> None:
-    """Write one batch. Writing the same batch again replaces it, so a retry sends nothing
+def append_to_outbox(alerts: DataFrame, path: str, batch_id: int, sent_at: Column) -> None:
+    """Write one batch, sent at ``sent_at``. Writing the same batch again replaces it, so a retry sends nothing
     twice."""
     (
-        alerts.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+        alerts.withColumns({"sent_at": sent_at.cast("timestamp_ntz"), "batch_id": F.lit(batch_id)}).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listwright import fixed_values as fv
-from listwright.functions.scalars import clip, dedupe_key, extract_emails
+from listwright.functions.scalars import dedupe_key, extract_emails
 from listwright.functions.text import empty_to_null, strip, text_or_empty
 from listwright.operators.dedupe import first_per_key, not_in
 from listwright.operators.predicates import gate_text, passes_gate
@@ -62,9 +62,9 @@ def stored_shape(fetched_at: Column) -> list[Column]:
     title = F.col("title")
     return [
         F.col("source"),
-        clip(empty_to_null(F.col("external_id")), fv.MAX_EXTERNAL_ID).alias("external_id"),
-        clip(strip("url"), fv.MAX_URL).alias("url"),
-        clip(title, fv.MAX_TITLE).alias("title"),
+        empty_to_null(F.col("external_id")).alias("external_id"),
+        strip("url").alias("url"),
+        title.alias("title"),
         F.col("company"),
         text_or_empty("description").alias("description"),
         F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),

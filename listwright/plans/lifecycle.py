@@ -108,7 +108,7 @@ def fold_attempts(events: DataFrame) -> DataFrame:
     resets = rows.filter("kind = 'rescore'").groupBy("job_id").agg(F.max("ord").alias("reset"))
     resets = resets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     failures = rows.filter("kind = 'score_failed'").withColumn(
-        "salt", F.pmod("seq", F.lit(_SALTS)).cast("int")
+        "salt", F.pmod(F.xxhash64("ord"), F.lit(_SALTS)).cast("int")
     )
     since = failures.join(resets, ["job_id", "salt"], "left").filter(
         F.col("reset").isNull() | (F.col("ord") > F.col("reset"))

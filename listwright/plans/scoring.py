@@ -81,9 +81,10 @@ def scoring_outcome(replies: DataFrame) -> DataFrame:
 
 def score_log_events(replies: DataFrame, at: Column) -> DataFrame:
     """Replies as lifecycle events ('score' or 'score_failed'), to be appended to the log."""
-    rows = replies.select("id", parse_reply("reply").alias("r"))
+    # Replies to one listing at the same time are events of their own.
+    rows = replies.select("id", F.xxhash64("id", "reply").alias("seq"), parse_reply("reply").alias("r"))
     return rows.select(
-        F.col("id").alias("job_id"), at.alias("ts"), F.col("id").alias("seq"),
+        F.col("id").alias("job_id"), at.alias("ts"), F.col("seq"),
         F.when(F.col("r.error").isNull(), "score").otherwise("score_failed").alias("kind"),
         F.lit(None).cast("string").alias("status"), F.col("r.proposal").alias("text"),
         F.col("r.score").alias("score"), F.col("r.reason").alias("reason"),

@@ -19,19 +19,19 @@ from listwright.functions.text import (
     bind, clean_tags, contains_any, empty_to_null, joined, squeeze, strip, text_or_empty,
 )
 from listwright.operators.dedupe import first_per_key, top_per_key
-from listwright.sources.landing import NO_CAP, as_raw, good_responses, item_ord
+from listwright.sources.landing import as_raw, good_responses, item_ord
 
 
 def _pages(landing: DataFrame, source: str) -> DataFrame:
     return good_responses(landing, source).select(
-        "cycle_id", "feed_ord", "fetched_at", "body", h.html_nodes("body").alias("nodes")
+        "cycle_id", "feed_ord", "feed_key", "fetched_at", "body", h.html_nodes("body").alias("nodes")
     )
 
 
 def _explode(pages: DataFrame, structs: Column) -> DataFrame:
     return pages.select(
-        "cycle_id", "feed_ord", "fetched_at", F.posexplode(structs).alias("pos", "c")
-    ).select("cycle_id", "feed_ord", "fetched_at", "pos", "c.*")
+        "cycle_id", "feed_ord", "feed_key", "fetched_at", F.posexplode(structs).alias("pos", "c")
+    ).select("cycle_id", "feed_ord", "feed_key", "fetched_at", "pos", "c.*")
 
 
 def _nodes() -> Column:
@@ -66,11 +66,10 @@ def _absolute(href: Column, base: str) -> Column:
     return F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base), href))
 
 
-def _first_wins(df: DataFrame, key: str, source: str, cap: int | None) -> DataFrame:
-    """First row per key, then the first ``cap`` rows of the cycle (NO_CAP: all of them)."""
-    rows = first_per_key(df, ["cycle_id", key], ["feed_ord", "pos"])
-    limit = fv.SOURCE_CAPS[source] if cap is None else cap
-    return rows if limit == NO_CAP else top_per_key(rows, ["cycle_id"], ["feed_ord", "pos"], limit)
+def _first_wins(df: DataFrame, key: str, cap: int | None = None) -> DataFrame:
+    """First row per key; with a cap, only the first rows of the cycle."""
+    rows = first_per_key(df, ["cycle_id", key], ["feed_ord", "feed_key", "pos"])
+    return rows if cap is None else top_per_key(rows, ["cycle_id"], ["feed_ord", "feed_key", "pos"], cap)
 
 
 # ------------------------------------------------------------------ offer cards
@@ -126,7 +125,7 @@ def jobgether(landing: DataFrame, cap: int | None = None) -> DataFrame:
         ),
     )
     rows = _explode(_pages(landing, "jobgether"), cards).filter("href <> '' and title <> ''")
-    rows = _first_wins(rows, "href", "jobgether", cap)
+    rows = _first_wins(rows, "href", cap)
 
     skills = F.transform(
         F.filter(
@@ -152,7 +151,7 @@ def jobgether(landing: DataFrame, cap: int | None = None) -> DataFrame:
         company=c("company"),
         description=joined(" · ", c("title"), c("company"), c("location"), c("job_type"),
                            c("salary"), F.array_join("tags", ", ")),
-        tags=F.slice("tags", 1, 8),
+        tags=c("tags"),
         budget=c("salary"),
         location=c("location"),
         posted_at=s.parse_relative(age, c("fetched_at")),
@@ -257,7 +256,7 @@ def wellfound(landing: DataFrame, cap: int | None = None) -> DataFrame:
     )
     pages = _pages(landing.filter(~contains_any(F.col("body"), fv.BLOCK_MARKERS)), "wellfound")
     rows = _explode(pages, listings).filter("href <> '' and title <> ''")
-    rows = _first_wins(rows, "href", "wellfound", cap).select("*", "slots.*")
+    rows = _first_wins(rows, "href", cap).select("*", "slots.*")
     c = F.col
     return as_raw(
         rows, "wellfound",
@@ -289,7 +288,7 @@ def linkedin_email(landing: DataFrame) -> DataFrame:
     rows = _explode(_pages(landing, "linkedin_email"), links).filter(
         (F.length("title") >= 3) & ~F.lower("title").isin(fv.MAIL_SKIP_TITLES)
     )
-    rows = _first_wins(rows, "job_id", "linkedin_email", NO_CAP)
+    rows = _first_wins(rows, "job_id")
     lines = F.filter(
         F.transform(F.split("context", "\n"), lambda x: strip(x)), lambda x: x != ""
     )
@@ -299,16 +298,16 @@ def linkedin_email(landing: DataFrame) -> DataFrame:
     after = F.when(at > 0, F.try_element_at("lines", (at + 1).cast("int")))
     company = F.when(
         F.lower(after) != F.lower("title"),
-        empty_to_null(s.clip(strip(F.substring_index(F.substring_index(after, "·", 1), "•", 1)), 200)),
+        empty_to_null(strip(F.substring_index(F.substring_index(after, "·", 1), "•", 1))),
     )
     c = F.col
     return as_raw(
         rows, "linkedin_email",
         external_id=c("job_id"),
         url=F.concat(F.lit(fv.BASE_URLS["linkedin"]), c("job_id"), F.lit("/")),
-        title=s.clip("title", 300),
+        title=c("title"),
         company=company,
-        description=F.coalesce(empty_to_null(s.clip("context", 2000)), c("title")),
+        description=F.coalesce(empty_to_null("context"), c("title")),
         item_ord=item_ord(c("pos")),
     )
 
@@ -361,7 +360,7 @@ def linkedin_web(landing: DataFrame, cap: int | None = None) -> DataFrame:
         ),
     )
     rows = _explode(_pages(landing, "linkedin_web"), cards).filter("href <> '' and title <> ''")
-    rows = _first_wins(rows, "href", "linkedin_web", cap)
+    rows = _first_wins(rows, "href", cap)
     c = F.col
     return as_raw(
         rows, "linkedin_web",
@@ -423,7 +422,7 @@ def mustakbil(landing: DataFrame) -> DataFrame:
         title=c("title"),
         company=empty_to_null("company"),
         description=F.concat_ws(" · ", empty_to_null("summary"), facts),
-        tags=F.slice("chips", 1, 6),
+        tags=c("chips"),
         budget=empty_to_null("salary"),
         location=F.coalesce(empty_to_null("location"), F.lit("Pakistan")),
         item_ord=item_ord(c("pos")),
@@ -436,7 +435,7 @@ def _link_rows(landing: DataFrame, source: str, structs: Column, cap: int | None
     rows = rows.withColumn(
         "url", s.without_query(_absolute(F.col("href"), fv.BASE_URLS[source]))
     ).filter(F.length("title") >= 4)
-    return _first_wins(rows, "url", source, cap)
+    return _first_wins(rows, "url", cap)
 
 
 def lines_after(lines: Column, title: Column) -> Column:
@@ -484,10 +483,10 @@ def rozee(landing: DataFrame, cap: int | None = None) -> DataFrame:
         rows, "rozee",
         external_id=c("url"),
         url=c("url"),
-        title=s.clip("title", 300),
-        company=F.when(~next_line.rlike(fv.ROZEE_NOT_COMPANY), empty_to_null(s.clip(next_line, 200))),
+        title=c("title"),
+        company=F.when(~next_line.rlike(fv.ROZEE_NOT_COMPANY), empty_to_null(next_line)),
         description=c("title"),
-        location=F.coalesce(s.clip(h.first(places), 200), F.lit("Pakistan")),
+        location=F.coalesce(h.first(places), F.lit("Pakistan")),
         item_ord=item_ord(c("pos")),
     )
 
@@ -508,13 +507,13 @@ def bayt(landing: DataFrame, cap: int | None = None) -> DataFrame:
             company_of(a, _nearest(a, "li", "div", "article")).alias("company"),
         ),
     )
-    rows = _link_rows(landing, "bayt", structs, cap).withColumn("company", s.clip("company", 200))
+    rows = _link_rows(landing, "bayt", structs, cap)
     c = F.col
     return as_raw(
         rows, "bayt",
         external_id=c("url"),
         url=c("url"),
-        title=s.clip("title", 300),
+        title=c("title"),
         company=F.when((text_or_empty("company") != "") & (c("company") != c("title")), c("company")),
         description=c("title"),
         location=F.lit("Pakistan"),

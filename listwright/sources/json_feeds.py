@@ -13,7 +13,7 @@ from listwright.functions.text import (
 )
 from listwright.operators.dedupe import first_per_key, top_per_key
 from listwright.sources.landing import (
-    NO_CAP, as_raw, field, field_list, field_names, first_text, item_ord, json_items, truthy,
+    as_raw, field, field_list, field_names, first_text, item_ord, json_items, truthy,
 )
 
 
@@ -34,10 +34,9 @@ def _variant(path: str) -> Column:
     return F.try_variant_get("item", f"$.{path}", "variant")
 
 
-def _capped(df: DataFrame, source: str, cap: int | None = None) -> DataFrame:
-    """The first rows of the source in its own order, per cycle."""
-    limit = fv.SOURCE_CAPS[source] if cap is None else cap
-    return df if limit == NO_CAP else top_per_key(df, ["cycle_id"], ["item_ord"], limit)
+def _capped(df: DataFrame, cap: int | None = None) -> DataFrame:
+    """With a cap, only the first rows of each cycle, in the source's own order."""
+    return df if cap is None else top_per_key(df, ["cycle_id"], ["item_ord"], cap)
 
 
 def remoteok(landing: DataFrame) -> DataFrame:
@@ -251,7 +250,7 @@ def builtin(landing: DataFrame, cap: int | None = None) -> DataFrame:
             item_ord=item_ord(F.col("pos")),
         )
     )
-    return _capped(first_per_key(rows, ["cycle_id", "url"], ["item_ord"]), "builtin", cap)
+    return _capped(first_per_key(rows, ["cycle_id", "url"], ["item_ord"]), cap)
 
 
 def hn_thread(landing: DataFrame) -> DataFrame:
@@ -288,7 +287,7 @@ def hn(landing: DataFrame) -> DataFrame:
         .filter(text_or_empty(field("text")) != "")
         .withColumn("plain", html_to_text(field("text")))
         .filter(F.contains(F.lower("plain"), F.lit("remote")) & truthy("id"))
-        .withColumn("line", s.clip(F.coalesce(F.try_element_at(F.split("plain", "\n"), F.lit(1)), F.lit("")), 200))
+        .withColumn("line", F.coalesce(F.try_element_at(F.split("plain", "\n"), F.lit(1)), F.lit("")))
     )
     return as_raw(
         rows, "hn",

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from listwright.functions.text import empty_to_null, text_or_empty
 from listwright.schemas import LANDING, RAW_LISTING
 
-# Room for the items of one response inside ``item_ord``.
-ITEMS_PER_RESPONSE = 1_000_000
-# Given as the cap of a source to keep everything it has.
-NO_CAP = -1
+# Room for the items of one response inside ``item_ord``: as many as an array can have. ``feed_ord`` stays below
+# FEEDS, so that the two together fit a bigint and never overlap.
+ITEMS_PER_RESPONSE = 1 << 31
+FEEDS = 1 << 32
 
 
 def read_landing(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -27,16 +27,17 @@ def good_responses(landing: DataFrame, source: str) -> DataFrame:
     """Successful responses of one source, with ``feed_ord``.
 
     ``feed_key`` numbers the pages or feeds of a source where order matters; keys that are
-    not numbers are ordered by their hash, which is as good as any other fixed order.
+    numbers below FEEDS are ordered by their hash, which is as good as any other fixed order.
     """
-    feed_ord = F.coalesce(F.col("feed_key").try_cast("long"), F.abs(F.xxhash64("feed_key") % 1_000_000))
+    number = F.col("feed_key").try_cast("long")
+    feed_ord = F.when(number.between(0, FEEDS - 1), number).otherwise(F.pmod(F.xxhash64("feed_key"), F.lit(FEEDS)))
     return landing.filter(
         (F.col("source") == source) & F.coalesce(F.col("http_status").between(200, 299), F.lit(False))
     ).withColumn("feed_ord", F.coalesce(feed_ord, F.lit(0)))
 
 
 def item_ord(pos: Column) -> Column:
-    return (F.col("feed_ord") * ITEMS_PER_RESPONSE + pos).cast("long")
+    return (F.col("feed_ord") * F.lit(ITEMS_PER_RESPONSE).cast("long") + pos).cast("long")
 
 
 def json_items(landing: DataFrame, source: str, path: str) -> DataFrame:

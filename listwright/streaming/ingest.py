@@ -13,11 +13,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from listwright.operators.dedupe import number_rows
 from listwright.plans.ingest import IngestConfig, cycle_summary, enabled_only, new_listings, source_failures
 from listwright.schemas import LANDING, LISTING
+from listwright.session import path_exists
 from listwright.sources.registry import normalize
 from listwright.sources.rss_feeds import feed_warnings
 
@@ -45,9 +45,9 @@ class StreamConfig:
 
 def stored(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame:
     """The listing table, optionally only what earlier batches have written."""
-    try:
+    if path_exists(spark, path):
         rows = spark.read.schema(f"{LISTING.toDDL()}, batch_id bigint").parquet(path)
-    except AnalysisException:  # nothing written yet
+    else:  # nothing written yet
         rows = spark.createDataFrame([], f"{LISTING.toDDL()}, batch_id bigint")
     return rows if before_batch is None else rows.filter(F.col("batch_id") < before_batch)
 

@@ -96,8 +96,9 @@ def test_texts(spark):
     values(spark, s.safe_link, {" HTTPS://x ": "HTTPS://x", "javascript:x": "#", None: "#"})
     values(spark, lambda v: s.extract_emails(v), {
         "Mail A.B@acme.test. or a.b@ACME.test, noreply@acme.test x@cdn.example.com pic@2x.png": ["a.b@acme.test"],
-        " ".join(f"p{i}@acme.test" for i in range(7)): [f"p{i}@acme.test" for i in range(5)], "": [], None: [],
+        " ".join(f"p{i}@acme.test" for i in range(7)): [f"p{i}@acme.test" for i in range(7)], "": [], None: [],
     })
+    values(spark, lambda v: s.extract_emails(v, limit=2), {"a@acme.test b@acme.test c@acme.test": ["a@acme.test", "b@acme.test"]})
     values(spark, s.seniority, {
         "Head of Things": "lead", "Sr. Clerk": "senior", "Sr Clerk": "senior", "Srx Clerk": "mid", "jr.dev": "junior", "entry-level": "junior",
         "internal": "mid", "seniority": "mid",
@@ -303,7 +304,7 @@ def test_spines_are_complete(spark):
 
 def test_alert_text_is_cut(spark):
     rows = listing(spark, {"id": 1, "ai_score": 0, "ai_reason": "r" * 5000}, {"id": 2, "ai_score": 9, "notified_at": NOW})
-    (r,) = alerts.select_alerts(rows, threshold=0).collect()
+    (r,) = alerts.select_alerts(rows, threshold=0, max_chars=3900).collect()
     assert r.id == 1 and len(r.message) == 3900 and r.message.endswith("…") and r.message.startswith("⭐ 0/10 — T\nrrr")
 
 

@@ -82,10 +82,13 @@ def test_exclusions_have_no_scores(spark):
 
 
 def test_term_limit():
-    assert len(read_query("a b c d e f g h i j k").terms) == fv.MAX_TERMS
+    assert len(read_query("a b c d e f g h i j k").terms) == 11
+    assert [t.text for t in read_query("a b c d e f g h i j -z").excluded] == ["z"]
+    limit = fv.MAX_TERMS
+    assert len(read_query("a b c d e f g h i j k", limit).terms) == limit
     # The limit is only looked at after a bare word; what follows it is not read.
-    assert len(read_query('a b c d e f g "h h" "i i" j k -z').terms) == 10
-    assert read_query("a b c d e f g h -z").excluded == []
+    assert len(read_query('a b c d e f g "h h" "i i" j k -z', limit).terms) == 10
+    assert read_query("a b c d e f g h -z", limit).excluded == []
     assert read_query('x -y -"z z"').terms[-1].text == "x" and len(read_query('x -y -"z z"').excluded) == 2
 
 

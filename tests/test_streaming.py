@@ -9,6 +9,7 @@ from listwright.plans import ingest
 from listwright.schemas import LANDING, LISTING
 from listwright.sources.registry import normalize
 from listwright.streaming import activity
+from listwright.plans.alerts import with_notified_at
 from listwright.streaming.alerts import alert_batch, outbox
 from listwright.streaming.ingest import Paths, StreamConfig, drop_repeats, ingest_batch, start_ingest, stored
 
@@ -140,8 +141,11 @@ def test_alerts_at_most_once(spark, tmp_path):
     rows = _listings(spark, str(tmp_path / "l"), 110)
     path = str(tmp_path / "outbox")
     for batch in (0, 0, 1):
-        alert_batch(rows, batch, path, limit=20)
+        alert_batch(rows, batch, path, F.lit(f"2024-02-0{batch + 1} 00:00:00"), limit=20)
     sent = outbox(spark, path).collect()
     # 30 listings score 8 or more: 20 in the first batch, the other 10 in the second.
     assert len(sent) == 30 and len({r.id for r in sent}) == 30
     assert {r.batch_id for r in sent} == {0, 1}
+    # The outbox says when each listing was told about.
+    noted = {r.id: r.notified_at for r in with_notified_at(rows, outbox(spark, path)).collect()}
+    assert all(noted[r.id] == r.sent_at and r.sent_at.day == r.batch_id + 1 for r in sent)
