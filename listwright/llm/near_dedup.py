@@ -301,15 +301,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     buckets = written(buckets, "shared-buckets")
 
     # Pairs of small buckets; two nodes are the least and the greatest, more meet in a self join within the bucket.
-    few = members.join(buckets.filter(F.col("n").between(3, SMALL_BUCKET)).select("bucket"), "bucket").select("bucket", "node")
+    more = written(members.join(buckets.filter("n > 2").select("bucket", "n"), "bucket"), "shared-members")
+    few = more.filter(F.col("n") <= SMALL_BUCKET).select("bucket", "node")
     pairs = buckets.filter("n = 2").select("a", "b").unionByName(
         few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "bucket").filter("a < b").select("a", "b")
     )
     pairs = pairs.distinct()
-    crowded = buckets.filter(F.col("n") > SMALL_BUCKET).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    large = written(
-        members.join(crowded, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "large-buckets"
-    )
+    large = more.filter(F.col("n") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
+    large = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     masks = large.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("large"))
 
     # Pairs that also meet in a large bucket are left to it, and sets of too different sizes cannot be similar: both show
