@@ -13,6 +13,7 @@ from listwright.functions.text import empty_to_null, strip, text_or_empty
 from listwright.operators.dedupe import first_per_key, not_in
 from listwright.operators.predicates import gate_text, passes_gate
 from listwright.schemas import source_order
+from listwright.session import cut_lineage, keep_computed
 
 
 @dataclass(frozen=True)
@@ -95,7 +96,9 @@ def new_listings(
     ``raw`` carries RAW_LISTING columns, ``cycle_id`` and ``item_ord``; ``known`` has
     ``dedupe_hash``. First means earliest cycle, then source order, then item order.
     """
-    eligible = judge(raw, config).filter("verdict = 'eligible'")
+    # The verdict is computed once: a plain filter on it would be pushed into the scan as a second copy.
+    judged = judge(raw, config)
+    eligible = keep_computed(judged, "verdict", F.when(F.col("verdict") == "eligible", F.col("verdict")))
     winners = first_per_key(
         eligible.withColumn("_source_ord", source_order(F.col("source"))),
         ["dedupe_hash"], ["cycle_id", "_source_ord", "item_ord"],
@@ -135,8 +138,11 @@ def cycle_summary(raw: DataFrame, known: DataFrame | None, config: IngestConfig)
         "cycle_id", "source", "verdict", "item_ord",
         F.when(F.col("verdict") == "eligible", F.col("dedupe_hash")).alias("dedupe_hash"),
     )
-    per_source_hash = thin.groupBy("cycle_id", "source", "verdict", "dedupe_hash").agg(
-        F.count("*").alias("n"), F.min("item_ord").alias("item_ord")
+    # Both branches below read this, and it is thin: the texts are scanned and gated once.
+    per_source_hash = cut_lineage(
+        thin.groupBy("cycle_id", "source", "verdict", "dedupe_hash").agg(
+            F.count("*").alias("n"), F.min("item_ord").alias("item_ord")
+        )
     )
     rejected = per_source_hash.filter("verdict <> 'eligible'").select(
         "cycle_id", "source", "verdict", "n", F.lit(0).alias("inserted")

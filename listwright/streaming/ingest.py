@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from listwright.functions.scalars import dedupe_key
 from listwright.operators.dedupe import number_rows
 from listwright.plans.ingest import IngestConfig, cycle_summary, enabled_only, new_listings, source_failures
 from listwright.schemas import LANDING, LISTING
-from listwright.session import path_exists
+from listwright.session import cut_lineage, path_exists
 from listwright.sources.registry import normalize
 from listwright.sources.rss_feeds import feed_warnings
 
@@ -60,16 +61,21 @@ def _replace(rows: DataFrame, path: str, *partitions: str) -> None:
 
 
 def ingest_batch(landing: DataFrame, batch_id: int, paths: Paths, config: StreamConfig) -> None:
-    """One cycle. A source with a failed response contributes nothing, neither rows nor
-    counts; it is logged with its error and tried again with the next responses."""
+    """One cycle. Failed responses are logged with their source's error; good responses of the same source count, as a
+    landed file is not read again.
+
+    Pages are parsed once. Of the stored table only the column of hashes is read, and only the hashes that the batch has
+    go on, so the table is not shuffled while a batch is small.
+    """
     spark = landing.sparkSession
     landing = enabled_only(landing, config.enabled).persist()
     try:
         failures = source_failures(landing)
-        good = landing.join(failures, ["cycle_id", "source"], "left_anti")
-        raw = normalize(good, config.sources)
+        raw = cut_lineage(normalize(landing, config.sources))
         before = stored(spark, paths.listings, batch_id)
-        known = before.select("dedupe_hash")
+        # The batch is the small side, which adaptive execution sends to the scan of the table if its size allows that.
+        here = raw.select(dedupe_key("url").alias("dedupe_hash")).distinct()
+        known = cut_lineage(before.select("dedupe_hash").join(here, "dedupe_hash", "left_semi").distinct())
         top = before.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         fresh = new_listings(raw, known, config.ingest, F.lit(None).cast("timestamp_ntz"))
         fetched = landing.groupBy("cycle_id").agg(F.max("fetched_at").alias("_at"))
@@ -80,16 +86,12 @@ def ingest_batch(landing: DataFrame, batch_id: int, paths: Paths, config: Stream
             numbered.select(*LISTING.fieldNames()).withColumn("batch_id", F.lit(batch_id)),
             paths.listings, "batch_id", "source",
         )
-        runs = cycle_summary(raw, known, config.ingest).select(
-            "cycle_id", "source", "fetched", "inserted", "skipped",
-            F.lit(None).cast("string").alias("error_class"), F.lit(None).cast("string").alias("error"),
-        )
-        nothing = F.lit(0).cast("long")
-        failed = failures.select(
-            "cycle_id", "source", nothing.alias("fetched"), nothing.alias("inserted"),
-            nothing.alias("skipped"), "error_class", "error",
+        counts = ["fetched", "inserted", "skipped"]
+        runs = cycle_summary(raw, known, config.ingest).select("cycle_id", "source", *counts)
+        runs = runs.join(failures, ["cycle_id", "source"], "full_outer").select(
+            "cycle_id", "source", *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in counts], "error_class", "error"
         )
-        _replace(runs.unionByName(failed).withColumn("batch_id", F.lit(batch_id)), paths.runs, "batch_id")
+        _replace(runs.withColumn("batch_id", F.lit(batch_id)), paths.runs, "batch_id")
         if paths.warnings:
             feed_warnings(landing).write.mode("overwrite").parquet(paths.warnings)
     finally:

@@ -75,6 +75,15 @@ def test_batch_can_be_run_again(spark, tmp_path):
     assert stored(spark, paths.listings).count() == 2
 
 
+def test_good_responses_of_a_failing_source_count(spark, tmp_path):
+    paths = paths_in(tmp_path)
+    landing = land(spark, paths.landing, [(1, "remotive", 200, remotive(1, 2)), (1, "remotive", 500, "oops")])
+    ingest_batch(landing, 0, paths, CONFIG)
+    assert {r.url for r in stored(spark, paths.listings).collect()} == {"https://j.test/1", "https://j.test/2"}
+    runs = {r.source: r for r in spark.read.parquet(paths.runs).collect()}
+    assert (runs["remotive"].fetched, runs["remotive"].inserted, runs["remotive"].error) == (2, 2, "HTTP 500")
+
+
 def test_disabled_source_is_not_read(spark, tmp_path):
     paths = paths_in(tmp_path)
     landing = land(spark, paths.landing, [(1, "remotive", 200, remotive(1)), (1, "arbeitnow", 200, arbeitnow(5))])
