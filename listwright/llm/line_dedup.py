@@ -117,8 +117,13 @@ def _lines(text: str | None) -> Iterator[tuple[bytes, str]]:
             yield hashlib.md5(line.encode(), usedforsecurity=False).digest(), line
 
 
+def _short(nodes: list[bytes]) -> np.ndarray:
+    """The first half of each node. What meets by it is verified with the whole lines, so two lines may share it."""
+    return np.frombuffer(b"".join(nodes), ">i8")[::2].astype(np.int64)
+
+
 def _keys(edits: int):
-    """(text) to (key, node, indexed): a row for each segment key of each line, indexed or only looked for."""
+    """(text) to (key, short, indexed): a row for each segment key of each line, indexed or only looked for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -141,26 +146,28 @@ def _keys(edits: int):
                         indexed += [True] * len(own) + [False] * len(looked)
                         nodes.append(node)
                         counts.append(len(own) + len(looked))
-                repeated = pa.array(nodes, pa.binary()).take(pa.array(np.repeat(np.arange(len(nodes)), counts)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(keys, np.uint64).view(np.int64)), repeated, pa.array(indexed, pa.bool_())],
-                    names=["key", "node", "indexed"],
+                    [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(_short(nodes), counts)),
+                     pa.array(indexed, pa.bool_())],
+                    names=["key", "short", "indexed"],
                 )
 
     return run
 
 
 def _found_lines(bits):
-    """(text) to (node, line) of the lines whose node is in the filter."""
+    """(text) to (short, node, line) of the lines whose short is in the filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 found = {node: line for text in batch.column(0).slice(start, 256) for node, line in _lines(text.as_py())}
                 nodes = list(found)
-                keys = np.frombuffer(b"".join(nodes), ">i8")[::2].astype(np.int64)
-                nodes = [nodes[k] for k in np.flatnonzero(in_filter(bits.value, keys))]
+                short = _short(nodes)
+                hits = np.flatnonzero(in_filter(bits.value, short))
+                nodes = [nodes[k] for k in hits]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.binary()), pa.array([found[n] for n in nodes], pa.string())], names=["node", "line"]
+                    [pa.array(short[hits]), pa.array(nodes, pa.binary()), pa.array([found[n] for n in nodes], pa.string())],
+                    names=["short", "node", "line"],
                 )
 
     return run
@@ -213,38 +220,37 @@ def _near_in_block(edits: int):
 def near_lines(texts: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): edges that connect the lines (MD5 of each) of ``texts`` (column text) that are within ``edits`` edits."""
     spark = texts.sparkSession
-    keys = written(texts.select("text").mapInArrow(_keys(edits), "key long, node binary, indexed boolean"), "line-keys")
+    keys = written(texts.select("text").mapInArrow(_keys(edits), "key long, short long, indexed boolean"), "line-keys")
     shared = keys.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.bool_or("indexed").alias("any"),
+        F.count(F.lit(1)).alias("n"), F.min("short").alias("a"), F.max("short").alias("b"), F.bool_or("indexed").alias("any"),
     )
     shared = written(shared.filter("any and a < b").drop("any"), "line-buckets")
     # n counts rows; a node that tasks met apart counts more than once, which at worst sends it the longer way.
     few = keys.join(shared.filter(F.col("n").between(3, SMALL_BUCKET)).select("key"), "key").distinct()
-    other = few.select("key", F.col("node").alias("b"), F.col("indexed").alias("other"))
+    other = few.select("key", F.col("short").alias("b"), F.col("indexed").alias("other"))
     pairs = shared.filter("n = 2").select("a", "b").unionByName(
-        few.withColumnRenamed("node", "a").join(other, "key").filter("a < b and (indexed or other)").select("a", "b")
+        few.withColumnRenamed("short", "a").join(other, "key").filter("a < b and (indexed or other)").select("a", "b")
     )
     pairs = written(pairs.distinct(), "line-pairs")
     crowded = shared.filter(F.col("n") > SMALL_BUCKET).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    large = keys.join(crowded, "key").groupBy("key", "node", "blocks").agg(F.bool_or("indexed").alias("indexed"))
-    large = written(large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "line-blocks")
+    large = keys.join(crowded, "key").groupBy("key", "short", "blocks").agg(F.bool_or("indexed").alias("indexed"))
+    large = written(large.withColumn("block", F.pmod(F.xxhash64("short"), F.col("blocks")).cast("int")), "line-blocks")
 
     # Candidates' texts are read again, found by a filter of fixed size.
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node"))
+    needed = pairs.select(F.col("a").alias("short")).unionByName(pairs.select(F.col("b").alias("short"))).unionByName(large.select("short"))
     needed = written(needed.distinct(), "line-candidates")
-    first8 = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")
-    bits = spark.sparkContext.broadcast(key_filter(needed.select(first8.alias("key"))))
-    lines = texts.select("text").mapInArrow(_found_lines(bits), "node binary, line string")
-    lines = written(lines.dropDuplicates(["node"]).join(needed, "node"), "candidate-lines")
+    bits = spark.sparkContext.broadcast(key_filter(needed.select(F.col("short").alias("key"))))
+    lines = texts.select("text").mapInArrow(_found_lines(bits), "short long, node binary, line string")
+    lines = written(lines.dropDuplicates(["short", "node"]).join(needed, "short"), "candidate-lines")
 
     near = F.arrow_udf(_near(edits), "boolean")("line_a", "line_b")
-    verified = pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a").join(
-        lines.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b"
-    ).filter(near).select("a", "b")
+    verified = pairs.join(lines.select(F.col("short").alias("a"), F.col("node").alias("node_a"), F.col("line").alias("line_a")), "a").join(
+        lines.select(F.col("short").alias("b"), F.col("node").alias("node_b"), F.col("line").alias("line_b")), "b"
+    ).filter(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     spread = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "node", "indexed", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        "key", "short", "indexed", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
-    in_blocks = spread.join(lines, "node").groupBy("key", "i", "j").applyInArrow(_near_in_block(edits), "a binary, b binary")
+    in_blocks = spread.join(lines, "short").groupBy("key", "i", "j").applyInArrow(_near_in_block(edits), "a binary, b binary")
     return written(verified.unionByName(in_blocks).distinct(), "near-lines")
 
 
