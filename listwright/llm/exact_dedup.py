@@ -12,10 +12,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm.common import LOWER, UPPER, ascii_lower, new_path, query, table, written
-
-#: A digest with more than this share of a batch's rows is heavy; at most 1/share digests can be.
-HEAVY_SHARE = 0.001
+from listwright.llm.common import LOWER, UPPER, ascii_lower, join_groups, new_path, query, table, written
 
 
 def digest_of(text: Column) -> Column:
@@ -65,14 +62,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
         groups.join(seen.hint("merge"), "digest", "left_anti").select("digest", F.col("newest").alias("keep_id"))
     )
     answers = groups.join(index.rows().hint("merge"), "digest").select("digest", "keep_id", "group_size")
-
-    # Heavy digests are few by their definition; they are broadcast, so that no task gets all rows of one.
-    least = rows.count() * HEAVY_SHARE
-    heavy = F.broadcast(answers.filter(F.col("group_size") > least))
-    light = answers.filter(F.col("group_size") <= least)
-    result = rows.join(heavy, "digest").unionByName(
-        rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").join(light, "digest")
-    )
+    result = join_groups(rows, written(answers, "digest-answers"), "digest", "group_size", rows.count())
     return result.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
