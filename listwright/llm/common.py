@@ -67,7 +67,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and no executor's loss undoes it."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table_ = df.sparkSession.read.schema(df.schema).parquet(path)
+    table_.written_to = path
+    return table_
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` once everything that reads them has been written itself."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def ascii_lower(text: Column) -> Column:

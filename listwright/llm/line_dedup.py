@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm.common import join_groups, query, table, written
+from listwright.llm.common import discard, join_groups, query, table, written
 from listwright.llm.components import components
 from listwright.llm.near_dedup import in_filter, key_filter
 
@@ -251,7 +251,9 @@ def near_lines(texts: DataFrame, edits: int = EDITS) -> DataFrame:
         "key", "short", "indexed", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
     in_blocks = spread.join(lines, "short").groupBy("key", "i", "j").applyInArrow(_near_in_block(edits), "a binary, b binary")
-    return written(verified.unionByName(in_blocks).distinct(), "near-lines")
+    near_ = written(verified.unionByName(in_blocks).distinct(), "near-lines")
+    discard(keys, shared, pairs, large, needed, lines)
+    return near_
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,11 +270,13 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id",
         lines.filter(F.length(line) >= LEAST_CHARS).select(place.alias("place"), F.unhex(F.md5(line)).alias("node")), "lines"
     )
     nodes = written(lines.groupBy("node").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")), "line-nodes")
-    found = written(components(near_lines(source, edits)).join(nodes, "node"), "line-classes")
+    edges = near_lines(source, edits)
+    found = written(components(edges).join(nodes, "node"), "line-classes")
     classes = written(found.groupBy("component").agg(F.min("first").alias("stays"), F.count(F.lit(1)).alias("n_nodes")), "line-class-firsts")
     classed = join_groups(found.select("node", "component"), classes, "component", "n_nodes", found.count()).select("node", "stays")
     groups = nodes.join(classed, "node", "left").withColumn("stays", F.coalesce("stays", "first"))
     groups = written(groups.filter((F.col("n") > 1) | (F.col("stays") != F.col("first"))).select("node", "stays", "n"), "line-groups")
+    discard(edges, nodes, found, classes)
     dropped = join_groups(lines, groups, "node", "n", lines.count()).filter(F.col("place") != F.col("stays"))
     # A row's own lines only.
     return dropped.groupBy(F.col("place.key").alias("key")).agg(F.sort_array(F.collect_set("place.number")).alias("dropped"))

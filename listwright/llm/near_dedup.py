@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm.common import WORD, join_groups, query, table, written
+from listwright.llm.common import WORD, discard, join_groups, query, table, written
 from listwright.llm.components import components
 
 NGRAM = 5
@@ -353,6 +353,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
     answers = written(answers, "answers")
+    discard(nodes, members, buckets, more, pairs, needed, sets, linked, blocks, found, classes)
     result = join_groups(rows, answers, "node", "n_copies", rows.count()).select("id", "key", "class_id", "n_links", "n_copies")
     alone = signed.filter(F.col("node").isNull()).select(
         "id", "key", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")
