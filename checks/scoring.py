@@ -33,18 +33,19 @@ def scoring_queue_all(spark, d):
     return scoring.scoring_queue(jobs(spark, d)).select("id")
 
 
+def _prompt_sql(profile: str) -> str:
+    return f"""'MY PROFILE:' || chr(10) || '{profile}' || chr(10) || chr(10)
+      || 'JOB TO EVALUATE:' || chr(10) || 'Title: ' || title || chr(10)
+      || 'Company: ' || coalesce(company, 'Unknown') || chr(10) || 'Source: ' || source || chr(10)
+      || 'Location: ' || coalesce(location, 'Not specified') || chr(10)
+      || 'Budget: ' || coalesce(budget, 'Not specified') || chr(10)
+      || 'Tags: ' || CASE WHEN tags_csv = '' THEN 'none' ELSE replace(tags_csv, ',', ', ') END || chr(10) || chr(10)
+      || 'Description:' || chr(10) || description || chr(10)"""
+
+
 @check(
     "scoring_prompt",
-    with_jobs(
-        """SELECT id, sha256('MY PROFILE:' || chr(10) || 'Maintainer of small things' || chr(10) || chr(10)
-          || 'JOB TO EVALUATE:' || chr(10) || 'Title: ' || title || chr(10)
-          || 'Company: ' || coalesce(company, 'Unknown') || chr(10) || 'Source: ' || source || chr(10)
-          || 'Location: ' || coalesce(location, 'Not specified') || chr(10)
-          || 'Budget: ' || coalesce(budget, 'Not specified') || chr(10)
-          || 'Tags: ' || CASE WHEN tags_csv = '' THEN 'none' ELSE replace(tags_csv, ',', ', ') END || chr(10) || chr(10)
-          || 'Description:' || chr(10) || description || chr(10)) AS prompt_hash
-        FROM jobs"""
-    ),
+    with_jobs(f"SELECT id, sha256({_prompt_sql('Maintainer of small things')}) AS prompt_hash FROM jobs"),
 )
 def prompt_rows(spark, d):
     prompt = scoring_prompt(F.lit("Maintainer of small things"))
@@ -141,9 +142,15 @@ def overlap_scores(spark, d):
     return parsed.select("id", "r.score", "r.reason")
 
 
-@check("scorer_plugin")
+@check(
+    "scorer_plugin",
+    with_jobs(
+        f"""SELECT id, CAST(length({_prompt_sql('profile')}) % 11 AS INTEGER) AS score, 'by length' AS reason
+        FROM jobs WHERE ai_score IS NULL AND ai_attempts < 5"""
+    ),
+)
 def scorer_plugin(spark, d):
-    """A scorer that runs inside the tasks; rows only, because what it says is up to it."""
+    """A scorer that runs inside the tasks and goes by the length of what it is asked."""
 
     def by_length(batches):
         import json
