@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from listwright.llm.common import table, written
 from listwright.llm.decontamination import decontaminate
-from listwright.llm.language import UNKNOWN, learn, predicted
+from listwright.llm.language import SURE_WORDS, UNKNOWN, learn, predicted
 from listwright.llm.line_dedup import dedup_lines
 from listwright.llm.near_dedup import drop_near_duplicates
 from listwright.llm.packing import pack
 from listwright.session import ship_package
 
-#: Documents whose language is less sure than this are rejected; what is in one language is far above it.
+#: Documents of at least SURE_WORDS words whose language is less sure than this are rejected; what is in one language is
+#: far above it. Shorter ones are unsure for want of evidence, which is no reason to reject them.
 LEAST_SCORE = 0.5
 
 
@@ -27,12 +28,13 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter or text, and those whose language is not sure."""
+    """Rejects documents without a letter or text, and longer ones whose language is not sure."""
     ship_package(spark)
     answer = predicted(spark, learn(docs), F.col("text"))
     names = docs.columns
+    short = F.size(F.split("text", r"\s+")) < SURE_WORDS
     return docs.withColumn("language_answer", answer).filter(
-        (F.col("language_answer.lang") != UNKNOWN) & (F.col("language_answer.score") >= LEAST_SCORE)
+        (F.col("language_answer.lang") != UNKNOWN) & (short | (F.col("language_answer.score") >= LEAST_SCORE))
     ).select(*names)
 
 
