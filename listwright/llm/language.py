@@ -44,28 +44,25 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _flush(counts: Counter) -> pa.RecordBatch:
-    keys = list(counts)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-         pa.array([counts[k] for k in keys], pa.int64())],
-        names=["lang", "unit", "n"],
-    )
+def _flush(counters: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    """A batch for each language; the counters are empty afterwards."""
+    while counters:
+        lang, counts = counters.popitem()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(counts), pa.string()), pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())],
+            names=["lang", "unit", "n"],
+        )
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to (lang, word, n); a word comes again when the counter was full in between."""
     counters: dict[str, Counter] = {}
-    out = lambda: _flush(Counter({(k, w): n for k, c in counters.items() for w, n in c.items()}))
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1)):
-            counter = counters.setdefault(lang.as_py(), Counter())
-            counter.update(_words(text.as_py()))
-            if len(counter) > _COUNTER_SIZE or len(counters) > MOST_LANGUAGES:
-                yield out()
-                counters.clear()
-    if counters:
-        yield out()
+            counters.setdefault(lang.as_py(), Counter()).update(_words(text.as_py()))
+            if sum(map(len, counters.values())) > _COUNTER_SIZE:
+                yield from _flush(counters)
+    yield from _flush(counters)
 
 
 def _grams(word: str) -> Iterator[str]:
@@ -77,16 +74,15 @@ def _grams(word: str) -> Iterator[str]:
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) to (lang, gram, n)."""
-    counts: Counter = Counter()
+    counters: dict[str, Counter] = {}
     for batch in batches:
         for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            counts = counters.setdefault(lang, Counter())
             for gram in _grams(word):
-                counts[lang, gram] += n
+                counts[gram] += n
             if len(counts) > _COUNTER_SIZE:
-                yield _flush(counts)
-                counts.clear()
-    if counts:
-        yield _flush(counts)
+                yield from _flush(counters)
+    yield from _flush(counters)
 
 
 def _code_points(text: str) -> np.ndarray:
@@ -253,6 +249,7 @@ def predicted(spark: SparkSession, model: LanguageModel, text: Column) -> Column
             for start in range(0, len(batch), _TOGETHER):
                 answers += known.predict(batch.slice(start, _TOGETHER).to_pylist())
             yield pa.array([{"lang": a, "score": s} for a, s in answers], kind)
+        known._forget()  # the worker goes on to other tasks
 
     return predict(text)
 

@@ -34,7 +34,7 @@ BLOCK = 512
 #: Bits of the filter that finds the texts of candidates again: fixed, so that what is broadcast is 2 MB at any size.
 #: When many candidates fill it, more texts are read again than needed, and the join after it drops them.
 FILTER_BITS = 1 << 24
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: N-grams compared at once in a block.
 COLUMNS = 4096
 
@@ -113,6 +113,7 @@ def _signatures(bands: int, rows: int):
                  pa.array(signatures, pa.binary())],
                 names=["id", "key", "node", "n_grams", "signature"],
             )
+        _hashes.clear()  # the worker goes on to other tasks
 
     return run
 
@@ -160,6 +161,7 @@ def _candidate_sets(bits):
                     nodes.append(_node(grams))
                     sets.append(grams.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "grams"])
+        _hashes.clear()
 
     return run
 

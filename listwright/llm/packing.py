@@ -36,7 +36,7 @@ SHARES = (1.0, 0.5, 0.25, 0.1)
 #: Pieces of a length are numbered in groups of about so many.
 GROUP_ROWS = 256
 #: Words whose ids a worker keeps; then it starts over.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 class WordTokenizer:
@@ -75,6 +75,9 @@ class WordTokenizer:
         spelled = word if word.isascii() and word.isprintable() else self._bytes.pre_tokenize_str(word)[0][0]
         return np.array([t.id for t in self._tokenizer.model.tokenize(spelled)], "<u4").tobytes()
 
+    def forget(self) -> None:
+        self._known.clear()
+
     def encode(self, text: str) -> bytes:
         """The ids, four bytes each, little-endian."""
         if any(s in text for s in self._SPECIAL):
@@ -139,6 +142,7 @@ def pieces_of(text: Column, path: str | None = None, length: int = SEQUENCE, kee
                     pieces.append({"start": start, "length": len(part) // 4, "ids_crc32": zlib.crc32(part), "ids": ids})
                 out.append(pieces)
             yield pa.array(out, _PIECE_ARROW)
+        tokenizer.forget()  # the worker goes on to other tasks
 
     cut.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(cut, _PIECE)(text)
