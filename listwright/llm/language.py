@@ -1,9 +1,9 @@
 """Language identification: words first, shorter and shorter character n-grams for words that are not known.
 
-The model has the log frequency, per language, of known words and of character n-grams. A word counts as known if it
-makes up at least WORD_SHARE of some language's words, an n-gram if it makes up at least GRAM_SHARE of some language's
-n-grams of its length. A share can be reached by 1 / share of them at most for each language, so the model's size has a
-bound that does not depend on the corpus. The counts behind it cover all labelled texts.
+The model has the log frequency, per language, of every word and every character n-gram of the labelled texts, for every
+label. While it is small (MODEL_BYTES) it is broadcast whole. A larger one stays in written tables: the most frequent
+words, as many as the bytes allow, are broadcast, and the texts' other words are looked up by joins, each once, those that
+were never seen by their n-grams. Both ways give the same answers.
 """
 
 from __future__ import annotations
@@ -18,13 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm.common import query, table, written
+from listwright.llm.common import discard, join_groups, query, table, written
 
-WORD_SHARE = 1e-5
-GRAM_SHARE = 1e-5
 LONGEST_GRAM = 5
-#: The most frequent labels are learned, up to so many.
-MOST_LANGUAGES = 200
+#: Words take so many bytes of what is broadcast at most, and n-grams as many; a unit takes UNIT_BYTES and four for each
+#: language.
+MODEL_BYTES, UNIT_BYTES = 32 << 20, 160
 #: Added to each count.
 SMOOTHING = 0.5
 #: A text of more words than this is as sure as one of this many with the same average.
@@ -98,14 +97,32 @@ def _gram_hashes(chars: np.ndarray, n: int) -> np.ndarray:
     return out * np.uint64(_FACTOR)
 
 
+@dataclass
+class Rest:
+    """Written tables of all units, (unit, n, counts MAP<lang, n>), and the log frequencies, by language, of a word and of
+    n-grams of 1 to LONGEST_GRAM characters without a count."""
+
+    words: DataFrame
+    grams: DataFrame
+    base: np.ndarray
+
+
 @dataclass
 class LanguageModel:
-    """Log frequencies by unit, one row of ``table`` for each; words and n-grams (framed with ^ and $) apart."""
+    """Log frequencies by unit, one row of ``table`` for each; words and n-grams (framed with ^ and $) apart.
+
+    If it has a ``rest`` it is not whole: it has the frequent words alone, and for each how far its log frequency is above
+    that of a word without a count.
+    """
 
     languages: list[str]
     words: dict[str, int]
     grams: dict[str, int]
     table: np.ndarray
+    rest: Rest | None = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "rest": None}
 
     def __post_init__(self):
         #: For each n, the n-grams' hashes, ascending, and their rows.
@@ -120,11 +137,13 @@ class LanguageModel:
     def _forget(self) -> None:
         """Start anew with the rows of the known words alone."""
         self._rows = self.table[:len(self.words)]
+        self._letters = np.zeros(len(self.words), np.int64)
+        self._letters[list(self.words.values())] = list(map(len, self.words))
         self._size, self._place = len(self.words), dict(self.words)
 
     def _learn(self, words: list[str]) -> None:
         """Rows for words that are not known: the mean over their characters of the longest known n-gram that ends
-        there; characters without one say nothing."""
+        there; characters without one say nothing, and words without a known character neither."""
         sizes = np.array([len(w) + 2 for w in words])
         chars = _code_points("".join([f"^{w}$" for w in words]))
         word = np.repeat(np.arange(len(words)), sizes)
@@ -140,6 +159,8 @@ class LanguageModel:
             hit = hashes[at] == own
             found[open_[hit]] = places[at[hit]]
         hits = found >= 0
+        letters = np.bincount(word[hits & (depth < np.repeat(sizes, sizes) - 1)], minlength=len(words))
+        hits &= letters[word] > 0
         word, found = word[hits], found[hits]
         counts = np.maximum(np.bincount(word, minlength=len(words)), 1)
         rows = np.empty((len(words), len(self.languages)), np.float32)
@@ -148,10 +169,11 @@ class LanguageModel:
         if self._size + len(words) > len(self._rows):
             self._rows = np.concatenate([self._rows[:self._size], np.zeros_like(rows), self._rows[:self._size]])
         self._rows[self._size:self._size + len(words)] = rows
+        self._letters = np.concatenate([self._letters[:self._size], letters])
         self._place.update(zip(words, range(self._size, self._size + len(words))))
         self._size += len(words)
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, int, int, int]]:
         if self._size > len(self.words) + _CACHE_SIZE:
             self._forget()
         split = [_words(text) if text and self.languages else [] for text in texts]
@@ -161,18 +183,38 @@ class LanguageModel:
             self._learn(list(missing))
         return [self._answer(words) for words in split]
 
-    def _answer(self, words: list[str]) -> tuple[str, float]:
-        if not any(c.isalpha() for w in words for c in w):
-            return UNKNOWN, 0.0
+    def _answer(self, words: list[str]) -> tuple[str, float, int, int, int]:
+        if not _lettered(words):
+            return UNKNOWN, 0.0, 0, 0, 0
         places = np.fromiter(map(self._place.__getitem__, words), np.int64, len(words))
         total = self._rows[places].sum(axis=0, dtype=np.float64)
-        logits = total / len(words) * min(len(words), SURE_WORDS)
+        return *self.surest(total, len(words)), len(words), sum(map(len, words)), int(self._letters[places].sum())
+
+    def surest(self, total: np.ndarray, n_words: int) -> tuple[str, float]:
+        """The language and its share for a text's sum of log frequencies."""
+        logits = np.round(total / n_words * min(n_words, SURE_WORDS), 9)  # sums may come in any order
         shares = np.exp(logits - logits.max())
         shares /= shares.sum()
         best = int(shares.argmax())
         return self.languages[best], float(shares[best])
 
 
+def _lettered(words: list[str]) -> bool:
+    return any(c.isalpha() for w in words for c in w)
+
+
+def _most(units: DataFrame, most: int) -> DataFrame:
+    """The units that come most often, ``most`` of them or fewer: classes of about the same n go in or stay out whole."""
+    size = F.floor(F.log2("n") * 8)
+    left, least = most, None
+    for row in units.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("size")).collect():
+        left -= row["n"]
+        if left < 0:
+            break
+        least = row["size"]
+    return units.filter(size >= F.lit(least)) if least is not None else units.limit(0)
+
+
 def fit(texts: DataFrame) -> LanguageModel:
     """Learn from (lang, text) rows without nulls. Without rows the model knows no language and answers ``und``."""
     words = written(
@@ -180,44 +222,49 @@ def fit(texts: DataFrame) -> LanguageModel:
         .groupBy("lang", "unit").agg(F.sum("n").alias("n")),
         "language-words",
     )
-    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    totals = dict(totals.orderBy(F.desc("total"), "lang").limit(MOST_LANGUAGES).collect())
+    totals = dict(words.groupBy("lang").agg(F.sum("n").alias("total")).collect())
     languages = sorted(totals)
     if not languages:
         return LanguageModel([], {}, {}, np.zeros((0, 0), np.float32))
-    words = words.filter(F.col("lang").isin(languages))
     grams = words.mapInArrow(_count_grams, "lang string, unit string, n long").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
     grams = written(grams, "language-grams")
     order = F.length("unit")
     gram_totals = {(r["lang"], r["k"]): r["n"] for r in grams.groupBy("lang", order.alias("k")).agg(F.sum("n").alias("n")).collect()}
 
-    def model_rows(counts: DataFrame, total: Column, share: float) -> list:
-        """All languages' counts of the units that reach the share in one."""
+    def by_unit(counts: DataFrame, label: str) -> DataFrame:
         pairs = F.map_from_entries(F.collect_list(F.struct("lang", "n")))  # as many as there are languages
-        return (
-            counts.withColumn("reaches", F.col("n") >= total * share)
-            .groupBy("unit").agg(F.bool_or("reaches").alias("known"), pairs.alias("counts")).filter("known")
-            .select("unit", "counts").collect()
-        )
-
-    def choose(values: dict, keys: Column) -> Column:
-        return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), keys)
-
-    word_rows = sorted(model_rows(words, choose(totals, F.col("lang")), WORD_SHARE))
-    gram_rows = sorted(model_rows(
-        grams, choose({f"{l} {k}": n for (l, k), n in gram_totals.items()}, F.concat_ws(" ", "lang", order)), GRAM_SHARE
-    ))
-    sizes = np.array([totals[l] for l in languages], float) + SMOOTHING * len(word_rows)
-    lines = [np.log((np.array([c.get(l, 0) for l in languages]) + SMOOTHING) / sizes) for _, c in word_rows]
-    per_order = Counter(len(g) for g, _ in gram_rows)
-    gram_sizes = {
-        k: np.array([gram_totals.get((l, k), 0) for l in languages], float) + SMOOTHING * n for k, n in per_order.items()
-    }
-    lines += [np.log((np.array([c.get(l, 0) for l in languages]) + SMOOTHING) / gram_sizes[len(g)]) for g, c in gram_rows]
-    matrix = np.array(lines, np.float32).reshape(len(lines), len(languages))
+        return written(counts.groupBy("unit").agg(F.sum("n").alias("n"), pairs.alias("counts")), label)
+
+    word_units, gram_units = by_unit(words, "language-word-units"), by_unit(grams, "language-gram-units")
+    discard(words, grams)
+    n_words = word_units.count()
+    per_order = dict(gram_units.groupBy(order.alias("k")).count().collect())
+    sizes = [np.array([totals[l] for l in languages], float) + SMOOTHING * n_words] + [
+        np.array([gram_totals.get((l, k), 0) for l in languages], float) + SMOOTHING * max(per_order.get(k, 0), 1)
+        for k in range(1, LONGEST_GRAM + 1)
+    ]
+    base = np.log(SMOOTHING / np.array(sizes))
+    at = {l: k for k, l in enumerate(languages)}
+    most = MODEL_BYTES // (UNIT_BYTES + 4 * len(languages))
+
+    def rows_of(units: DataFrame) -> tuple[list[str], np.ndarray]:
+        """Units, and how far each is above one without a count."""
+        rows = sorted(units.select("unit", "counts").collect())
+        above = np.zeros((len(rows), len(languages)), np.float64)
+        for k, (_, counts) in enumerate(rows):
+            for lang, n in counts.items():
+                above[k, at[lang]] = np.log((n + SMOOTHING) / SMOOTHING)
+        return [unit for unit, _ in rows], above
+
+    if n_words > most or sum(per_order.values()) > most:
+        known, above = rows_of(_most(word_units, most))
+        return LanguageModel(languages, dict(zip(known, range(len(known)))), {}, above.astype(np.float32), Rest(word_units, gram_units, base))
+    known, above = rows_of(word_units)
+    parts, gram_rows = rows_of(gram_units)
+    matrix = np.concatenate([above + base[0], gram_rows + base[[len(g) for g in parts]]]) if parts else above + base[0]
+    discard(word_units, gram_units)
     return LanguageModel(
-        languages, {w: i for i, (w, _) in enumerate(word_rows)},
-        {g: i + len(word_rows) for i, (g, _) in enumerate(gram_rows)}, matrix,
+        languages, dict(zip(known, range(len(known)))), {g: k + len(known) for k, g in enumerate(parts)}, matrix.astype(np.float32)
     )
 
 
@@ -232,32 +279,190 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
 
 
+_ANSWER = "lang string, score double, n_words long, n_letters long, n_known long"
+_ANSWER_ARROW = pa.struct([
+    ("lang", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()), ("n_letters", pa.int64()), ("n_known", pa.int64()),
+])
+
+
+def _as_answers(answers: list[tuple]) -> pa.Array:
+    return pa.array([dict(zip(_ANSWER_ARROW.names, a)) for a in answers], _ANSWER_ARROW)
+
+
 def predicted(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
-    """STRUCT<lang, score> of each text, over its whole length.
+    """STRUCT<lang, score, n_words, n_letters, n_known> of each text, over its whole length, by a whole model.
 
     ``und`` with score 0 for null texts, texts without a letter, and where nothing was learned. Ties go to the first
-    language by name.
+    language by name. n_letters are those of the words, n_known those of seen words and those of other words at which a
+    known n-gram ends.
     """
+    if model.rest is not None:
+        raise ValueError("the model is too large to broadcast whole; use identified()")
     shared = spark.sparkContext.broadcast(model)
-    kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf(_ANSWER)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value
         for batch in batches:
             answers = []
             for start in range(0, len(batch), _TOGETHER):
                 answers += known.predict(batch.slice(start, _TOGETHER).to_pylist())
-            yield pa.array([{"lang": a, "score": s} for a, s in answers], kind)
+            yield _as_answers(answers)
         known._forget()  # the worker goes on to other tasks
 
     return predict(text)
 
 
+_PART = "n_words long, n_letters long, n_frequent long, langs array<string>, above array<double>, words array<string>, times array<long>"
+
+
+def _frequent_part(spark: SparkSession, model: LanguageModel):
+    """What the broadcast words say of a text, and its other words, each with how often it comes."""
+    shared = spark.sparkContext.broadcast(model)
+    kind = pa.struct([
+        ("n_words", pa.int64()), ("n_letters", pa.int64()), ("n_frequent", pa.int64()), ("langs", pa.list_(pa.string())),
+        ("above", pa.list_(pa.float64())), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64())),
+    ])
+
+    @F.arrow_udf(_PART)
+    def part(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = shared.value
+        names, place = known.languages, known.words
+        for batch in batches:
+            out = []
+            for text in batch:
+                words = _words(text.as_py() or "")
+                if not _lettered(words):
+                    words = []
+                places = list(map(place.get, words))
+                rest = Counter([w for w, k in zip(words, places) if k is None])
+                places = [k for k in places if k is not None]
+                total = known.table[places].sum(axis=0, dtype=np.float64)
+                hit = np.flatnonzero(total)
+                out.append({
+                    "n_words": len(words), "n_letters": sum(map(len, words)), "n_frequent": len(places),
+                    "langs": [names[k] for k in hit], "above": total[hit], "words": list(rest), "times": list(rest.values()),
+                })
+            yield pa.array(out, kind)
+
+    return part
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word) to (word, place, letter, k, unit): the n-grams that end at each place, longest first; the end mark is no letter."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1000):
+            out = [
+                (word, end, end <= len(word), k, f"^{word}$"[end - k + 1:end + 1])
+                for word in batch.column(0).slice(start, 1000).to_pylist()
+                for end in range(1, len(word) + 2) for k in range(min(LONGEST_GRAM, end + 1), 0, -1)
+            ]
+            yield pa.RecordBatch.from_pylist(
+                [dict(zip(("word", "place", "letter", "k", "unit"), row)) for row in out],
+                pa.schema([("word", pa.string()), ("place", pa.int32()), ("letter", pa.bool_()), ("k", pa.int32()), ("unit", pa.string())]),
+            )
+
+
+def _looked_up(asked: DataFrame, rest: Rest) -> DataFrame:
+    """(word, size, weights, letters, pairs) of the asked words (word, size): how much of each base counts, the known
+    letters, and what is above it by language. Words of which nothing is known are not there."""
+    def above(n: Column) -> Column:
+        return F.log((n + SMOOTHING) / SMOOTHING)
+
+    found = written(asked.join(rest.words.select(F.col("unit").alias("word"), "counts"), "word", "left"), "asked-words")
+    pairs = F.transform(F.map_entries("counts"), lambda e: F.struct(e["key"].alias("lang"), above(e["value"]).alias("above")))
+    weights = F.array(F.lit(1.0), *[F.lit(0.0)] * LONGEST_GRAM)
+    seen = found.filter(F.col("counts").isNotNull()).select(
+        "word", "size", weights.alias("weights"), F.length("word").cast("long").alias("letters"), pairs.alias("pairs")
+    )
+    unseen = found.filter(F.col("counts").isNull()).select("word", "size")
+    places = written(
+        unseen.select("word").mapInArrow(_places, "word string, place int, letter boolean, k int, unit string"), "unseen-places"
+    )
+    wanted = places.groupBy("unit").agg(F.count(F.lit(1)).alias("n_places")).join(rest.grams.select("unit", "counts"), "unit")
+    wanted = written(wanted, "wanted-grams")
+    hits = join_groups(places, wanted, "unit", "n_places", places.count())
+    hits = hits.groupBy("word", "place").agg(F.max(F.struct("k", "unit", "letter")).alias("hit"))
+    hits = written(hits.select("word", "hit.*"), "unseen-hits")  # the longest n-gram of each place
+    orders = hits.groupBy("word").agg(
+        F.count(F.lit(1)).alias("m"), F.count_if("letter").alias("letters"),
+        F.array(F.lit(0.0), *[F.count_if(F.col("k") == k) / F.count(F.lit(1)) for k in range(1, LONGEST_GRAM + 1)]).alias("weights"),
+    ).filter("letters > 0")
+    said = join_groups(hits.select("word", "unit"), wanted, "unit", "n_places", places.count())
+    said = said.select("word", F.explode("counts").alias("lang", "n")).groupBy("word", "lang").agg(F.sum(above(F.col("n"))).alias("above"))
+    said = said.groupBy("word").agg(F.collect_list(F.struct("lang", "above")).alias("pairs"))
+    pairs = F.transform("pairs", lambda e: F.struct(e["lang"].alias("lang"), (e["above"] / F.col("m")).alias("above")))
+    by_grams = unseen.join(orders, "word").join(said, "word").select("word", "size", "weights", "letters", pairs.alias("pairs"))
+    looked = written(seen.unionByName(by_grams), "looked-up-words")
+    discard(found, places, wanted, hits)
+    return looked
+
+
+def _finished(spark: SparkSession, model: LanguageModel):
+    """The answer for a text's frequent part and what was looked up for its other words."""
+    shared = spark.sparkContext.broadcast((model.languages, model.rest.base))
+
+    @F.arrow_udf(_ANSWER)
+    def finish(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        languages, base = shared.value
+        at = {l: k for k, l in enumerate(languages)}
+        choose = LanguageModel(languages, {}, {}, np.zeros((0, len(languages)), np.float32)).surest
+        for columns in batches:
+            answers = []
+            for n_words, n_letters, n_frequent, known, langs, above, rest in zip(*(c.to_pylist() for c in columns)):
+                if not n_words:
+                    answers.append((UNKNOWN, 0.0, 0, 0, 0))
+                    continue
+                weights, total = np.zeros(len(base)), np.zeros(len(languages))
+                weights[0] = n_frequent
+                total[[at[l] for l in langs]] = above
+                for word in rest or []:
+                    weights += word["times"] * np.array(word["weights"])
+                    known += word["times"] * word["letters"]
+                    for pair in word["pairs"]:
+                        total[at[pair["lang"]]] += word["times"] * pair["above"]
+                answers.append((*choose(total + weights @ base, n_words), n_words, n_letters, known))
+            yield _as_answers(answers)
+
+    return finish
+
+
+def identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """(row, answer) for each row of ``docs``: its columns as a struct, and the answer of ``predicted`` for its text.
+
+    A model that is not whole takes two joins, of the texts' distinct words that are not broadcast and of what was found
+    for them; words that come in many texts are spread over the tasks.
+    """
+    spark = docs.sparkSession
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    if model.rest is None:
+        return docs.select(row, predicted(spark, model, docs[text_col]).alias("answer"))
+    part = _frequent_part(spark, model)(docs[text_col]).alias("part")
+    scanned = written(docs.select(row, F.monotonically_increasing_id().alias("row_id"), part), "scanned-texts")
+    rest = scanned.select("row_id", F.explode(F.arrays_zip("part.words", "part.times")).alias("w")).select(
+        "row_id", F.col("w.words").alias("word"), F.col("w.times").alias("times")
+    )
+    rest = written(rest, "other-words")
+    looked = _looked_up(rest.groupBy("word").agg(F.count(F.lit(1)).alias("size")), model.rest)
+    gathered = join_groups(rest, looked, "word", "size", rest.count()).groupBy("row_id").agg(
+        F.collect_list(F.struct("times", "weights", "letters", "pairs")).alias("rest")
+    )
+    gathered = written(gathered, "gathered-words")
+    n_other = F.aggregate(
+        F.arrays_zip("part.words", "part.times"), F.lit(0).cast("long"), lambda n, w: n + F.length(w["words"]) * w["times"]
+    )
+    scanned_ = scanned.select("row", "row_id", "part", (F.col("part.n_letters") - n_other).alias("known"))
+    discard(rest, looked)
+    answer = _finished(spark, model)(
+        "part.n_words", "part.n_letters", "part.n_frequent", "known", "part.langs", "part.above", "rest"
+    )
+    return scanned_.join(gathered, "row_id", "left").select("row", answer.alias("answer"))
+
+
 @query("op3_language_id")
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    answer = predicted(spark, learn(docs), F.col("text"))
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), answer.alias("answer")).select(
-        "doc_id", "held_out", F.col("answer.lang").alias("lang_pred"), F.col("answer.score").alias("score")
+    found = identified(docs.select("doc_id", "text"), learn(docs))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id")).alias("held_out"), F.col("answer.lang").alias("lang_pred"), F.col("answer.score").alias("score")
     )
