@@ -103,15 +103,15 @@ def _signatures(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sizes, signatures = [], [], []
-            for text in batch.column(2):
+            for text in batch.column(3):
                 grams = ngrams(text.as_py())
                 sizes.append(len(grams))
                 nodes.append(_node(grams) if len(grams) else None)
                 signatures.append(band_hashes(grams, bands, rows).tobytes() if len(grams) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()),
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()),
                  pa.array(signatures, pa.binary())],
-                names=["id", "key", "node", "n_grams", "signature"],
+                names=["id", "key", "number", "node", "n_grams", "signature"],
             )
         _hashes.clear()  # the worker goes on to other tasks
 
@@ -271,12 +271,15 @@ def _verify_block(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, class_id, n_links, n_copies), a row for each row of ``docs``.
+def near_duplicates(
+    docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", number_col: str | None = None
+) -> DataFrame:
+    """(id, key, number, class_id, n_links, n_copies, kept), a row for each row of ``docs``.
 
     Texts are linked if the Jaccard similarity of their n-gram sets is at or above the threshold; a class is what links
     connect, named by its smallest id. n_links counts the different sets linked to the row's own, n_copies the rows with
-    the same set. ``key`` is xxhash64(id, text), to find rows again.
+    the same set. ``key`` is xxhash64(id, text). ``number`` tells rows apart: that of ``number_col``, or one made here. One
+    row of each class is ``kept``, that with the smallest (id, key, number), rows without an id last.
 
     Texts without words, null ones among them, link to nothing and are each a class. A row without an id takes part; a
     class of such rows alone has a null class_id. Repeated rows are copies of each other. Other columns are not read.
@@ -284,14 +287,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     spark = docs.sparkSession
     bands, rows_ = choose_bands(threshold)
     ids = F.col(id_col).cast("long").alias("id")
-    source = docs.select(ids, F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    signed = written(source.mapInArrow(_signatures(bands, rows_), "id long, key long, node binary, n_grams int, signature binary"), "signatures")
-    rows = signed.filter(F.col("node").isNotNull()).select("id", "key", "node")
+    number = F.col(number_col) if number_col else F.monotonically_increasing_id()
+    source = docs.select(ids, F.xxhash64(id_col, text_col).alias("key"), number.alias("number"), F.col(text_col).alias("text"))
+    signed = written(source.mapInArrow(
+        _signatures(bands, rows_), "id long, key long, number long, node binary, n_grams int, signature binary"
+    ), "signatures")
+    rows = signed.filter(F.col("node").isNotNull()).select("id", "key", "number", "node")
     nodes = written(
         signed.filter(F.col("node").isNotNull()).groupBy("node").agg(
-            F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"), F.count(F.lit(1)).alias("n_copies"),
+            F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "number")).alias("first"), F.count(F.lit(1)).alias("n_copies"),
             F.min("n_grams").alias("n_grams"), F.any_value("signature").alias("signature"),
-        ).select("node", F.col("first.id").alias("first_id"), F.col("first.key").alias("key"), "n_copies", "n_grams", "signature"),
+        ).select("node", "first", F.col("first.key").alias("key"), "n_copies", "n_grams", "signature"),
         "nodes",
     )
     members = written(
@@ -347,36 +353,41 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
         blocks.filter(F.col("b").isNull()).select(F.col("a").alias("node"), "links")
     ).groupBy("node").agg(F.sum("links").alias("n_links"))
 
-    found = written(components(edges).join(nodes.select("node", "first_id"), "node"), "components")
-    classes = written(found.groupBy("component").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("n")), "classes")
-    classed = join_groups(found.select("node", "component"), classes, "component", "n", found.count()).select("node", "class_id")
-    answers = nodes.select("node", "first_id", "n_copies").join(classed.withColumn("in_class", F.lit(True)), "node", "left").join(counts, "node", "left").select(
-        "node", "n_copies", F.when(F.col("in_class"), F.col("class_id")).otherwise(F.col("first_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    found = written(components(edges).join(nodes.select("node", "first"), "node"), "components")
+    classes = written(found.groupBy("component").agg(F.min("first").alias("stays"), F.count(F.lit(1)).alias("n")), "classes")
+    classed = join_groups(found.select("node", "component"), classes, "component", "n", found.count()).select("node", "stays")
+    stays = F.coalesce("stays", "first")
+    answers = nodes.select("node", "first", "n_copies").join(classed, "node", "left").join(counts, "node", "left").select(
+        "node", "n_copies", stays["id"].alias("class_id"), stays["number"].alias("stays"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
     answers = written(answers, "answers")
     discard(nodes, members, buckets, more, pairs, needed, sets, linked, blocks, found, classes)
-    result = join_groups(rows, answers, "node", "n_copies", rows.count()).select("id", "key", "class_id", "n_links", "n_copies")
+    result = join_groups(rows, answers, "node", "n_copies", rows.count()).select(
+        "id", "key", "number", "class_id", "n_links", "n_copies", (F.col("number") == F.col("stays")).alias("kept")
+    )
     alone = signed.filter(F.col("node").isNull()).select(
-        "id", "key", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")
+        "id", "key", "number", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
+        F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("kept"),
     )
     return result.unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class, that with the smallest id; same columns.
+    """``docs`` with one row of each class, one with the smallest id; same columns.
 
-    Rows repeated with the same id and text stay or go together. Rows without an id go if their class has one.
+    Of rows repeated with the same id one stays at most. Of a class without ids one row stays.
     """
-    found = near_duplicates(docs, threshold, id_col, text_col)
-    gone = found.filter(~F.col("id").eqNullSafe(F.col("class_id"))).select("key").distinct()
-    gone = written(gone, "dropped")
-    return docs.join(gone.hint("shuffle_hash"), F.xxhash64(docs[id_col], docs[text_col]) == gone["key"], "left_anti")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    numbered = written(docs.select(row, F.monotonically_increasing_id().alias("number")), "numbered")
+    source = numbered.select(F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text"), "number")
+    found = near_duplicates(source, threshold, "id", "text", "number")
+    gone = written(found.filter(~F.col("kept")).select("number"), "dropped")
+    return numbered.join(gone.hint("shuffle_hash"), "number", "left_anti").select("row.*")
 
 
 @query("op9_near_duplicates")
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
-        F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies", (F.col("id") == F.col("class_id")).alias("kept")
+        F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies", "kept"
     )
