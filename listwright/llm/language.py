@@ -2,14 +2,14 @@
 
 The model has the log frequency, per language, of every word and every character n-gram of the labelled texts, for every
 label. While it is small (MODEL_BYTES) it is broadcast whole. A larger one stays in written tables: the most frequent
-words, as many as the bytes allow, are broadcast, and the texts' other words are looked up by joins, each once, those that
-were never seen by their n-grams. Both ways give the same answers.
+words and n-grams, as many as the bytes allow, are broadcast, and what else the texts have is looked up by joins, each word
+and n-gram once. Both ways give the same answers.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwright.llm.common import discard, join_groups, query, table, written
+from listwright.llm.near_dedup import in_filter, key_filter
 
 LONGEST_GRAM = 5
 #: Words take so many bytes of what is broadcast at most, and n-grams as many; a unit takes UNIT_BYTES and four for each
@@ -111,8 +112,8 @@ class Rest:
 class LanguageModel:
     """Log frequencies by unit, one row of ``table`` for each; words and n-grams (framed with ^ and $) apart.
 
-    If it has a ``rest`` it is not whole: it has the frequent words alone, and for each how far its log frequency is above
-    that of a word without a count.
+    If it has a ``rest`` it is not whole: it has the frequent units alone, and for each how far its log frequency is above
+    that of a unit without a count.
     """
 
     languages: list[str]
@@ -258,7 +259,11 @@ def fit(texts: DataFrame) -> LanguageModel:
 
     if n_words > most or sum(per_order.values()) > most:
         known, above = rows_of(_most(word_units, most))
-        return LanguageModel(languages, dict(zip(known, range(len(known)))), {}, above.astype(np.float32), Rest(word_units, gram_units, base))
+        parts, gram_rows = rows_of(_most(gram_units, most))
+        return LanguageModel(
+            languages, dict(zip(known, range(len(known)))), {g: k + len(known) for k, g in enumerate(parts)},
+            np.concatenate([above, gram_rows]).astype(np.float32), Rest(word_units, gram_units, base),
+        )
     known, above = rows_of(word_units)
     parts, gram_rows = rows_of(gram_units)
     matrix = np.concatenate([above + base[0], gram_rows + base[[len(g) for g in parts]]]) if parts else above + base[0]
@@ -348,27 +353,69 @@ def _frequent_part(spark: SparkSession, model: LanguageModel):
     return part
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word) to (word, place, letter, k, unit): the n-grams that end at each place, longest first; the end mark is no letter."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 1000):
-            out = [
-                (word, end, end <= len(word), k, f"^{word}$"[end - k + 1:end + 1])
-                for word in batch.column(0).slice(start, 1000).to_pylist()
-                for end in range(1, len(word) + 2) for k in range(min(LONGEST_GRAM, end + 1), 0, -1)
-            ]
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("word", "place", "letter", "k", "unit"), row)) for row in out],
-                pa.schema([("word", pa.string()), ("place", pa.int32()), ("letter", pa.bool_()), ("k", pa.int32()), ("unit", pa.string())]),
-            )
-
-
-def _looked_up(asked: DataFrame, rest: Rest) -> DataFrame:
+_UNSEEN = ("word string, letters long, orders array<long>, langs array<string>, above array<double>, "
+           "open array<struct<place:int,letter:boolean,unit:string>>")
+_UNSEEN_ARROW = pa.schema([
+    ("word", pa.string()), ("letters", pa.int64()), ("orders", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())),
+    ("above", pa.list_(pa.float64())),
+    ("open", pa.list_(pa.struct([("place", pa.int32()), ("letter", pa.bool_()), ("unit", pa.string())]))),
+])
+
+
+def _by_broadcast_grams(model, bits):
+    """(word) to _UNSEEN: what the broadcast n-grams say of the places whose longest one is surely among them, and the
+    n-grams that may be the longest of the other places. The filter has the bits of all n-grams."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        known, filter_ = model.value, bits.value
+        grams = known.grams
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                words = batch.column(0).slice(start, 1000).to_pylist()
+                best: list[dict[int, str]] = [{} for _ in words]
+                longer = []
+                for i, word in enumerate(words):
+                    framed = f"^{word}$"
+                    for end in range(1, len(framed)):
+                        for k in range(min(LONGEST_GRAM, end + 1), 0, -1):
+                            unit = framed[end - k + 1:end + 1]
+                            if unit in grams:
+                                best[i][end] = unit
+                                break
+                            longer.append((i, end, unit))
+                keys = np.array([xxhash.xxh64_intdigest(unit.encode(), 42) for _, _, unit in longer], np.uint64).view(np.int64)
+                open_: dict[int, dict[int, list[str]]] = defaultdict(lambda: defaultdict(list))
+                for at in np.flatnonzero(in_filter(filter_, keys)):
+                    i, end, unit = longer[at]
+                    open_[i][end].append(unit)
+                out = []
+                for i, word in enumerate(words):
+                    last, wide = len(word) + 1, open_.get(i, {})
+                    closed = {end: unit for end, unit in best[i].items() if end not in wide}
+                    total = known.table[[grams[u] for u in closed.values()]].sum(axis=0, dtype=np.float64)
+                    hit = np.flatnonzero(total)
+                    out.append({
+                        "word": word, "letters": sum(end < last for end in closed),
+                        "orders": np.bincount(np.array([len(u) for u in closed.values()], np.int64), minlength=LONGEST_GRAM + 1).tolist(),
+                        "langs": [known.languages[k] for k in hit], "above": total[hit].tolist(),
+                        "open": [
+                            {"place": end, "letter": end < last, "unit": u}
+                            for end, units in wide.items() for u in units + ([best[i][end]] if end in best[i] else [])
+                        ],
+                    })
+                yield pa.RecordBatch.from_pylist(out, _UNSEEN_ARROW)
+
+    return run
+
+
+def _looked_up(asked: DataFrame, model: LanguageModel) -> DataFrame:
     """(word, size, weights, letters, pairs) of the asked words (word, size): how much of each base counts, the known
-    letters, and what is above it by language. Words of which nothing is known are not there."""
+    letters, and what is above it by language. Words of which no letter is known are not there."""
     def above(n: Column) -> Column:
         return F.log((n + SMOOTHING) / SMOOTHING)
 
+    rest, context = model.rest, asked.sparkSession.sparkContext
     found = written(asked.join(rest.words.select(F.col("unit").alias("word"), "counts"), "word", "left"), "asked-words")
     pairs = F.transform(F.map_entries("counts"), lambda e: F.struct(e["key"].alias("lang"), above(e["value"]).alias("above")))
     weights = F.array(F.lit(1.0), *[F.lit(0.0)] * LONGEST_GRAM)
@@ -376,25 +423,36 @@ def _looked_up(asked: DataFrame, rest: Rest) -> DataFrame:
         "word", "size", weights.alias("weights"), F.length("word").cast("long").alias("letters"), pairs.alias("pairs")
     )
     unseen = found.filter(F.col("counts").isNull()).select("word", "size")
-    places = written(
-        unseen.select("word").mapInArrow(_places, "word string, place int, letter boolean, k int, unit string"), "unseen-places"
-    )
+    bits = context.broadcast(key_filter(rest.grams.select(F.xxhash64("unit").alias("key"))))
+    split = written(unseen.select("word").mapInArrow(_by_broadcast_grams(context.broadcast(model), bits), _UNSEEN), "unseen-words")
+    places = written(split.select("word", F.explode("open").alias("o")).select("word", "o.*"), "unseen-places")
     wanted = places.groupBy("unit").agg(F.count(F.lit(1)).alias("n_places")).join(rest.grams.select("unit", "counts"), "unit")
     wanted = written(wanted, "wanted-grams")
-    hits = join_groups(places, wanted, "unit", "n_places", places.count())
-    hits = hits.groupBy("word", "place").agg(F.max(F.struct("k", "unit", "letter")).alias("hit"))
-    hits = written(hits.select("word", "hit.*"), "unseen-hits")  # the longest n-gram of each place
+    n_places = places.count()
+    hits = join_groups(places, wanted.select("unit", "n_places"), "unit", "n_places", n_places)
+    hits = hits.groupBy("word", "place").agg(F.max(F.struct(F.length("unit"), "unit", "letter")).alias("hit"))
+    hits = written(hits.select("word", "hit.unit", "hit.letter"), "unseen-hits")  # the longest n-gram of each place
     orders = hits.groupBy("word").agg(
-        F.count(F.lit(1)).alias("m"), F.count_if("letter").alias("letters"),
-        F.array(F.lit(0.0), *[F.count_if(F.col("k") == k) / F.count(F.lit(1)) for k in range(1, LONGEST_GRAM + 1)]).alias("weights"),
-    ).filter("letters > 0")
-    said = join_groups(hits.select("word", "unit"), wanted, "unit", "n_places", places.count())
+        F.count_if("letter").alias("more_letters"),
+        F.array(F.lit(0).cast("long"), *[F.count_if(F.length("unit") == k) for k in range(1, LONGEST_GRAM + 1)]).alias("more_orders"),
+    )
+    said = join_groups(hits.select("word", "unit"), wanted, "unit", "n_places", n_places)
     said = said.select("word", F.explode("counts").alias("lang", "n")).groupBy("word", "lang").agg(F.sum(above(F.col("n"))).alias("above"))
-    said = said.groupBy("word").agg(F.collect_list(F.struct("lang", "above")).alias("pairs"))
-    pairs = F.transform("pairs", lambda e: F.struct(e["lang"].alias("lang"), (e["above"] / F.col("m")).alias("above")))
-    by_grams = unseen.join(orders, "word").join(said, "word").select("word", "size", "weights", "letters", pairs.alias("pairs"))
+    said = said.groupBy("word").agg(F.collect_list(F.struct("lang", "above")).alias("more"))
+    both = split.drop("open").join(orders, "word", "left").join(said, "word", "left")
+    both = both.withColumn("letters", F.col("letters") + F.coalesce("more_letters", F.lit(0))).filter("letters > 0")
+    none = F.array([F.lit(0).cast("long")] * (LONGEST_GRAM + 1))
+    both = both.withColumn("orders", F.zip_with("orders", F.coalesce("more_orders", none), lambda a, b: a + b))
+    both = both.withColumn("m", F.aggregate("orders", F.lit(0).cast("long"), lambda a, b: a + b))
+    own = F.zip_with("langs", "above", lambda l, a: F.struct(l.alias("lang"), (a / F.col("m")).alias("above")))
+    more = F.transform("more", lambda e: F.struct(e["lang"].alias("lang"), (e["above"] / F.col("m")).alias("above")))
+    by_grams = both.select(
+        "word", F.transform("orders", lambda n: n / F.col("m")).alias("weights"), "letters",
+        F.when(F.col("more").isNull(), own).otherwise(F.concat(own, more)).alias("pairs"),
+    )
+    by_grams = unseen.join(by_grams, "word").select("word", "size", "weights", "letters", "pairs")
     looked = written(seen.unionByName(by_grams), "looked-up-words")
-    discard(found, places, wanted, hits)
+    discard(found, split, places, wanted, hits)
     return looked
 
 
@@ -430,8 +488,8 @@ def _finished(spark: SparkSession, model: LanguageModel):
 def identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """(row, answer) for each row of ``docs``: its columns as a struct, and the answer of ``predicted`` for its text.
 
-    A model that is not whole takes two joins, of the texts' distinct words that are not broadcast and of what was found
-    for them; words that come in many texts are spread over the tasks.
+    A model that is not whole takes joins of the texts' distinct words that are not broadcast, of their n-grams, and of
+    what was found for them; words and n-grams that come often are spread over the tasks.
     """
     spark = docs.sparkSession
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
@@ -443,7 +501,7 @@ def identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") ->
         "row_id", F.col("w.words").alias("word"), F.col("w.times").alias("times")
     )
     rest = written(rest, "other-words")
-    looked = _looked_up(rest.groupBy("word").agg(F.count(F.lit(1)).alias("size")), model.rest)
+    looked = _looked_up(rest.groupBy("word").agg(F.count(F.lit(1)).alias("size")), model)
     gathered = join_groups(rest, looked, "word", "size", rest.count()).groupBy("row_id").agg(
         F.collect_list(F.struct("times", "weights", "letters", "pairs")).alias("rest")
     )
