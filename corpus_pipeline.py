@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from listwright.llm.common import table, written
 from listwright.llm.decontamination import decontaminate
-from listwright.llm.language import SURE_WORDS, UNKNOWN, learn, predicted
+from listwright.llm.language import SURE_WORDS, UNKNOWN, identified, learn
 from listwright.llm.line_dedup import dedup_lines
 from listwright.llm.near_dedup import drop_near_duplicates
 from listwright.llm.packing import pack
@@ -20,6 +20,9 @@ from listwright.session import ship_package
 #: Documents of at least SURE_WORDS words whose language is less sure than this are rejected; what is in one language is
 #: far above it. Shorter ones are unsure for want of evidence, which is no reason to reject them.
 LEAST_SCORE = 0.5
+#: Documents of at least SURE_WORDS words or SURE_LETTERS letters, of whose letters the model knows a smaller share, are
+#: rejected. This does not depend on how many languages were learned, nor on white space.
+LEAST_KNOWN, SURE_LETTERS = 0.5, 5 * SURE_WORDS
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -28,14 +31,14 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter or text, and longer ones whose language is not sure."""
+    """Rejects documents without a letter or text, and longer ones whose language is not sure or whose letters are not
+    known. Words are those of the model, runs of letters."""
     ship_package(spark)
-    answer = predicted(spark, learn(docs), F.col("text"))
-    names = docs.columns
-    short = F.size(F.split("text", r"\s+")) < SURE_WORDS
-    return docs.withColumn("language_answer", answer).filter(
-        (F.col("language_answer.lang") != UNKNOWN) & (short | (F.col("language_answer.score") >= LEAST_SCORE))
-    ).select(*names)
+    found = identified(docs, learn(docs))
+    words, letters, known = (F.col(f"answer.{c}") for c in ("n_words", "n_letters", "n_known"))
+    sure = (words < SURE_WORDS) | (F.col("answer.score") >= LEAST_SCORE)
+    is_known = ((words < SURE_WORDS) & (letters < SURE_LETTERS)) | (known >= letters * LEAST_KNOWN)
+    return found.filter((F.col("answer.lang") != UNKNOWN) & sure & is_known).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
