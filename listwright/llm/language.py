@@ -24,7 +24,7 @@ from listwright.llm.near_dedup import in_filter, key_filter
 LONGEST_GRAM = 5
 #: Words take so many bytes of what is broadcast at most, and n-grams as many; a unit takes UNIT_BYTES and four for each
 #: language.
-MODEL_BYTES, UNIT_BYTES = 32 << 20, 160
+MODEL_BYTES, UNIT_BYTES = 16 << 20, 160
 #: Added to each count.
 SMOOTHING = 0.5
 #: A text of more words than this is as sure as one of this many with the same average.
