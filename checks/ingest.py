@@ -12,7 +12,9 @@ from listwright.functions.scalars import dedupe_key, extract_emails
 from listwright.operators import predicates as p
 from listwright.operators.dedupe import first_per_key, not_in, number_rows
 from listwright.plans import ingest
+from listwright.session import scratch_path
 from listwright.sources.manual import check_manual, manual_listings
+from listwright.streaming.ingest import Paths, store_batch, stored
 
 CONFIG = ingest.IngestConfig(
     keywords=["laravel", "php", "python", "next.js", "react", "node", "full stack", "api", "ai",
@@ -116,6 +118,24 @@ def ingest_new_listings(spark, d):
     )
 
 
+@check(
+    "ingest_replay",
+    with_jobs(
+        """SELECT row_number() OVER (ORDER BY cycle, source_ord, id) AS id, cycle - 1 AS batch_id, source, external_id, dedupe_hash
+        FROM (SELECT *, row_number() OVER (PARTITION BY dedupe_hash ORDER BY cycle, source_ord, id) AS rn
+              FROM (SELECT *, 1 + id % 3 AS cycle FROM judged WHERE verdict = 'eligible')) WHERE rn = 1""",
+        JUDGED,
+    ),
+)
+def ingest_replay(spark, d):
+    """Three cycles over the listings, the second one run twice: each stores what no earlier one has."""
+    raw = jobs(spark, d).withColumn("cycle_id", 1 + F.col("id") % 3)
+    paths = Paths(*[scratch_path(spark, name) for name in ("landing", "listings", "runs", "stream")])
+    for batch_id in (0, 1, 1, 2):
+        store_batch(raw.filter(F.col("cycle_id") == batch_id + 1), batch_id, paths, CONFIG)
+    return stored(spark, paths.listings).select("id", "batch_id", "source", "external_id", "dedupe_hash")
+
+
 @check(
     "ingest_cycle_summary",
     with_jobs(

@@ -96,10 +96,10 @@ _search(
     "search_multi_term", "website security",
     [(["website", "web site", "web"], False), (["security", "cybersecurity", "infosec"], False)],
 )
-_search("search_phrase", '"full stack" developer', [(["full stack"], True), (["developer"], False)])
+_search("search_phrase", '"full stack" mentor', [(["full stack"], True), (["mentor"], False)])
 _search(
-    "search_exclude", 'developer engineer -laravel -"web developer"',
-    [(["developer"], False), (["engineer"], False)], [["laravel"], ["web developer"]],
+    "search_exclude", 'cloud auditor analyst -pipeline -"cloud cost"',
+    [(["cloud"], False), (["auditor"], False), (["analyst"], False)], [["pipeline"], ["cloud cost"]],
 )
 _search(
     "search_aliases", "js k8s ml full-stack",
@@ -112,12 +112,12 @@ _search(
     "search_exclusion_only",
     with_jobs(
         "SELECT id FROM jobs WHERE NOT (" + " OR ".join(
-            f"regexp_matches(coalesce({f}, ''), '{_term(['developer'])}')" for f, _ in FIELDS
+            f"regexp_matches(coalesce({f}, ''), '{_term(['cloud'])}')" for f, _ in FIELDS
         ) + ")"
     ),
 )
 def search_exclusion_only(spark, d):
-    return search(jobs(spark, d).select(*SEARCH_COLUMNS), "-developer").select("id")
+    return search(jobs(spark, d).select(*SEARCH_COLUMNS), "-cloud").select("id")
 
 
 def part_listings(spark, d):
@@ -162,22 +162,22 @@ def search_batch_titles(spark, d):
     return search_batch(listings, queries).select("query_id", "id", F.round("relevance", 6).alias("relevance"))
 
 
-_TEN = "network security planner cloud analyst web toolsmith illustrator devops manager"
-_NOT_DEVELOPER = " OR ".join(f"regexp_matches(coalesce({f}, ''), '{_term(['developer'])}')" for f, _ in FIELDS)
+_TEN = "cloud security auditor analyst web shop operator data pipeline lead"
+_WITH_WEB = " OR ".join(f"regexp_matches(coalesce({f}, ''), '{_term(['web'])}')" for f, _ in FIELDS)
 
 
 @check(
     "search_batch_exclusions",
     with_jobs(
-        f"""SELECT 'ten' AS query_id, * FROM ({search_sql([(_spellings(w), False) for w in _TEN.split()], [["cloud security"]])})
-        UNION ALL SELECT 'only', id, CAST(NULL AS DOUBLE) FROM jobs WHERE NOT ({_NOT_DEVELOPER})
+        f"""SELECT 'ten' AS query_id, * FROM ({search_sql([(_spellings(w), False) for w in _TEN.split()], [["cloud cost"]])})
+        UNION ALL SELECT 'only', id, CAST(NULL AS DOUBLE) FROM jobs WHERE NOT ({_WITH_WEB})
         UNION ALL SELECT 'nothing', id, CAST(NULL AS DOUBLE) FROM jobs"""
     ),
 )
 def search_batch_exclusions(spark, d):
     """Ten terms and an exclusion behind them, an exclusion alone, and an empty query."""
     queries = spark.createDataFrame(
-        [("ten", f'{_TEN} -"cloud security"'), ("only", "-developer"), ("nothing", " ")], "query_id string, q string"
+        [("ten", f'{_TEN} -"cloud cost"'), ("only", "-web"), ("nothing", " ")], "query_id string, q string"
     )
     found = search_batch(jobs(spark, d).select(*SEARCH_COLUMNS), queries)
     return found.select("query_id", "id", F.round("relevance", 6).alias("relevance"))

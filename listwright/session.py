@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -57,21 +58,36 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if it is not there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share; see ``cut_lineage`` for which one that is."""
+    return f"{_shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = os.path.join(spark.conf.get("spark.local.dir", "/tmp"), "listwright-checkpoints")
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage, so that it is computed once.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
     session without that setting gets a folder of its own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = os.path.join(spark.conf.get("spark.local.dir", "/tmp"), "listwright-checkpoints")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(_shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

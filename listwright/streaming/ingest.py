@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from listwright.functions.scalars import dedupe_key
+from listwright.operators.address_index import AddressIndex
 from listwright.operators.dedupe import number_rows
 from listwright.plans.ingest import IngestConfig, cycle_summary, enabled_only, new_listings, source_failures
 from listwright.schemas import LANDING, LISTING
@@ -34,6 +35,11 @@ class Paths:
     # Where the warnings about saved searches go; each cycle replaces those of the last.
     warnings: str | None = None
 
+    @property
+    def addresses(self) -> str:
+        """The index of known addresses, beside the listing table."""
+        return self.listings.rstrip("/") + "-addresses"
+
 
 @dataclass(frozen=True)
 class StreamConfig:
@@ -60,38 +66,77 @@ def _replace(rows: DataFrame, path: str, *partitions: str) -> None:
     )
 
 
+def address_index(spark: SparkSession, paths: Paths, buckets: int = 64) -> AddressIndex:
+    """The index that goes with a listing table; made from the table if that is older than the index."""
+    is_new = not path_exists(spark, paths.addresses)
+    index = AddressIndex(spark, paths.addresses, buckets)
+    if is_new and path_exists(spark, paths.listings):
+        index.rebuild(stored(spark, paths.listings))
+    return index
+
+
+def last_id(spark: SparkSession, runs: str, before_batch: int) -> int | None:
+    """The largest id that batches before this one have given, from the run log; None if it does not say."""
+    if not path_exists(spark, runs):
+        return None
+    rows = spark.read.schema("last_id bigint, batch_id bigint").parquet(runs)
+    return rows.filter(F.col("batch_id") < before_batch).agg(F.max("last_id")).first()[0]
+
+
+def store_batch(
+    raw: DataFrame, batch_id: int, paths: Paths, config: IngestConfig, failures: DataFrame | None = None,
+    fetched: DataFrame | None = None,
+) -> None:
+    """Gate, dedupe, number and store one batch of raw rows (with ``cycle_id``), and log what became of them.
+
+    Rows are compared with the index of addresses, where only the batch's addresses are looked up; the listing table is
+    not read. The order of writing is rows, addresses, log: a batch that failed in between and is run again finds its own
+    addresses under its own number, which do not count, and replaces its rows.
+
+    ``fetched`` has (cycle_id, _at); without it, rows keep their own ``fetched_at``.
+    """
+    spark = raw.sparkSession
+    index = address_index(spark, paths)
+    known = cut_lineage(
+        index.lookup(raw.select(dedupe_key("url").alias("dedupe_hash")))
+        .filter(F.col("batch_id") < batch_id).select("dedupe_hash").distinct()
+    )
+    top = last_id(spark, paths.runs, batch_id)
+    if top is None:  # the first batch, or a table that is older than this column of the log
+        top = stored(spark, paths.listings, batch_id).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = new_listings(raw, known, config, F.lit(None).cast("timestamp_ntz") if fetched is not None else F.col("fetched_at"))
+    if fetched is not None:
+        # One row per cycle of the batch.
+        fresh = fresh.join(F.broadcast(fetched), "cycle_id").withColumn("fetched_at", F.col("_at"))
+    numbered = number_rows(fresh, ["cycle_id", "_source_ord", "item_ord"], "id", start=top + 1)
+    _replace(
+        numbered.select(*LISTING.fieldNames()).withColumn("batch_id", F.lit(batch_id)),
+        paths.listings, "batch_id", "source",
+    )
+    index.append(numbered.select("dedupe_hash"), batch_id)
+    counts = ["fetched", "inserted", "skipped"]
+    runs = cycle_summary(raw, known, config).select("cycle_id", "source", *counts)
+    if failures is None:
+        failures = spark.createDataFrame([], "cycle_id bigint, source string, error_class string, error string")
+    last = numbered.agg(F.coalesce(F.max("id"), F.lit(top))).first()[0]
+    runs = runs.join(failures, ["cycle_id", "source"], "full_outer").select(
+        "cycle_id", "source", *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in counts], "error_class", "error",
+        F.lit(last).cast("long").alias("last_id"),
+    )
+    _replace(runs.withColumn("batch_id", F.lit(batch_id)), paths.runs, "batch_id")
+
+
 def ingest_batch(landing: DataFrame, batch_id: int, paths: Paths, config: StreamConfig) -> None:
     """One cycle. Failed responses are logged with their source's error; good responses of the same source count, as a
-    landed file is not read again.
-
-    Pages are parsed once. Of the stored table only the column of hashes is read, and only the hashes that the batch has
-    go on, so the table is not shuffled while a batch is small.
+    landed file is not read again. Pages are parsed once.
     """
-    spark = landing.sparkSession
     landing = enabled_only(landing, config.enabled).persist()
     try:
-        failures = source_failures(landing)
-        raw = cut_lineage(normalize(landing, config.sources))
-        before = stored(spark, paths.listings, batch_id)
-        # The batch is the small side, which adaptive execution sends to the scan of the table if its size allows that.
-        here = raw.select(dedupe_key("url").alias("dedupe_hash")).distinct()
-        known = cut_lineage(before.select("dedupe_hash").join(here, "dedupe_hash", "left_semi").distinct())
-        top = before.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        fresh = new_listings(raw, known, config.ingest, F.lit(None).cast("timestamp_ntz"))
         fetched = landing.groupBy("cycle_id").agg(F.max("fetched_at").alias("_at"))
-        # One row per cycle of the batch.
-        fresh = fresh.join(F.broadcast(fetched), "cycle_id").withColumn("fetched_at", F.col("_at"))
-        numbered = number_rows(fresh, ["cycle_id", "_source_ord", "item_ord"], "id", start=top + 1)
-        _replace(
-            numbered.select(*LISTING.fieldNames()).withColumn("batch_id", F.lit(batch_id)),
-            paths.listings, "batch_id", "source",
-        )
-        counts = ["fetched", "inserted", "skipped"]
-        runs = cycle_summary(raw, known, config.ingest).select("cycle_id", "source", *counts)
-        runs = runs.join(failures, ["cycle_id", "source"], "full_outer").select(
-            "cycle_id", "source", *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in counts], "error_class", "error"
+        store_batch(
+            cut_lineage(normalize(landing, config.sources)), batch_id, paths, config.ingest,
+            source_failures(landing), fetched,
         )
-        _replace(runs.withColumn("batch_id", F.lit(batch_id)), paths.runs, "batch_id")
         if paths.warnings:
             feed_warnings(landing).write.mode("overwrite").parquet(paths.warnings)
     finally:
