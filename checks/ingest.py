@@ -130,7 +130,7 @@ def ingest_new_listings(spark, d):
 def ingest_replay(spark, d):
     """Three cycles over the listings, the second one run twice: each stores what no earlier one has."""
     raw = jobs(spark, d).withColumn("cycle_id", 1 + F.col("id") % 3)
-    paths = Paths(*[scratch_path(spark, name) for name in ("landing", "listings", "runs", "stream")])
+    paths = Paths(*[scratch_path(spark, name) for name in ("landing", "listings", "runs", "stream")], address_buckets=8)
     for batch_id in (0, 1, 1, 2):
         store_batch(raw.filter(F.col("cycle_id") == batch_id + 1), batch_id, paths, CONFIG)
     return stored(spark, paths.listings).select("id", "batch_id", "source", "external_id", "dedupe_hash")

@@ -68,9 +68,13 @@ class AddressIndex:
             found = self.rows().join(wanted.repartition(self.buckets, "digest").hint("shuffle_hash"), "digest", "left_semi")
         return found.select(F.lower(F.hex("digest")).alias("dedupe_hash"), "batch_id")
 
-    def append(self, hashes: DataFrame, batch_id: int) -> None:
-        """Store the digests of ``hashes`` for ``batch_id``; what an earlier attempt of the batch has stored stays once."""
-        stored = self.lookup(hashes).filter(F.col("batch_id") == batch_id).select("dedupe_hash")
+    def append(self, hashes: DataFrame, batch_id: int, looked_up: DataFrame | None = None) -> None:
+        """Store the digests of ``hashes`` for ``batch_id``; what an earlier attempt of the batch has stored stays once.
+
+        ``looked_up`` is what ``lookup`` gave for them, if that is known already.
+        """
+        stored = self.lookup(hashes) if looked_up is None else looked_up
+        stored = stored.filter(F.col("batch_id") == batch_id).select("dedupe_hash")
         rows = hashes.select("dedupe_hash").distinct().join(stored, "dedupe_hash", "left_anti")
         (
             rows.select(F.unhex("dedupe_hash").alias("digest"), F.lit(batch_id).cast("long").alias("batch_id"))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from listwright import fixed_values as fv
 from listwright.functions.scalars import seniority
 from listwright.functions.text import END, START, bind, escape, opening, squeeze, strip, text_or_empty
 from listwright.operators.predicates import effective_time, status_filter
-from listwright.operators.probes import lookup_words, probe_hits, words_of
-from listwright.session import cut_lineage, keep_computed
+from listwright.operators.dedupe import top_per_key
+from listwright.operators.postings import FREE, find_forms, find_marks, postings
+from listwright.operators.probes import lookup_words, words_of
+from listwright.session import keep_computed, written
 
 
 def skill_pattern(skill: str) -> str:
@@ -151,47 +151,58 @@ def match_order() -> list[Column]:
     ]
 
 
-_PROBES = T.StructType(
-    [T.StructField("pattern", T.StringType()), T.StructField("keys", T.ArrayType(T.StringType()))]
-)
+# Listings with one skill that meet the profiles with it in one task; a skill of more listings is split.
+SPLIT_ROWS = 100_000
 
 
-@F.pandas_udf(_PROBES)
-def _skill_probe(skill: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(
-        {"pattern": skill.map(skill_pattern), "keys": skill.map(lookup_words)}
-    )
-
-
-# Up to this many (profile, skill) rows the profile side is broadcast.
-_FEW_PROFILE_SKILLS = 200_000
+def match_profiles(listings: DataFrame, profiles: DataFrame, min_hits: int = 1, top: int | None = None) -> DataFrame:
+    """(profile_id, id, hits, hit_count) for every profile and active listing that share ``min_hits`` skills or more.
 
+    ``profiles`` has (profile_id, skills), a row per profile. With ``top``, only each profile's first listings in the order
+    of ``match_order`` stay.
 
-def match_profiles(listings: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(profile_id, id, hits, hit_count) for every profile and active listing that share a skill.
-
-    ``profiles`` has (profile_id, skills). Each distinct skill is searched once, whatever the
-    number of profiles that have it.
+    A set join by the rarest skill: each skill is searched once, skills are ordered by the number of listings that have
+    them, and a pair comes up only at the rarest skill it shares, with all that it shares at hand. So pairs are neither
+    repeated nor brought together afterwards. Profiles with the same skills are one class until the end. Of a class, only
+    as many rare skills are joined as a pair cannot do without. Skills of many listings are counted and split.
     """
-    skills = cut_lineage(
-        profiles.select("profile_id", F.posexplode("skills").alias("pos", "skill"))
-        .withColumn("skill", F.lower(strip("skill")))
-        .filter("skill <> ''")
-        .groupBy("profile_id", "skill").agg(F.min("pos").alias("pos"))
+    cleaned = F.array_distinct(F.filter(F.transform("skills", lambda s: F.lower(strip(s))), lambda s: s.isNotNull() & (s != "")))
+    classed = profiles.select("profile_id", cleaned.alias("wanted")).filter(F.size("wanted") >= max(1, min_hits))
+    classed = written(classed.withColumn("class", F.sha2(F.to_json("wanted"), 256)), "match-profiles")
+    classes = classed.select("class", "wanted").distinct()
+    forms = classes.select(F.explode("wanted").alias("form")).distinct()
+    active = listings.filter(status_filter(None))
+    forms = written(forms.select(F.col("form").alias("unit"), "form", F.lit(FREE).alias("mode")), "match-forms")
+    texts = active.select("id", match_text().alias("text"))
+    found = find_forms(postings(texts, {1: "text"}), forms)
+    if not forms.filter(~F.rlike("form", F.lit(r"[\p{L}\p{N}]"))).isEmpty():
+        found = found.unionByName(find_marks(texts, "text", forms))
+    found = written(found.withColumnRenamed("unit", "skill"), "match-skills")
+    counts = found.groupBy("skill").agg(F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / SPLIT_ROWS)
+    # What a listing has, rarest first.
+    have = (
+        found.join(counts, "skill").groupBy("id")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "skill"))).alias("have")).filter(F.size("have") >= min_hits)
+    )
+    here = have.select("id", F.transform("have", lambda h: h["skill"]).alias("has"), F.explode("have").alias("h")).select(
+        "id", "has", "h.skill", F.pmod(F.xxhash64("id"), F.ceil(F.col("h.n") / SPLIT_ROWS)).alias("part")
     )
-    probes = (
-        skills.select("skill").distinct()
-        .withColumn("p", _skill_probe("skill"))
-        .select(F.col("skill").alias("probe_id"), "p.pattern", "p.keys")
+    asked = (
+        classes.select("class", "wanted", F.explode("wanted").alias("skill")).join(counts, "skill")
+        .groupBy("class", "wanted").agg(F.sort_array(F.collect_list(F.struct("n", "skill"))).alias("asked"))
+        .select("class", "wanted", F.explode(F.slice("asked", F.lit(1), F.greatest(F.size("asked") - min_hits + 1, F.lit(0)))).alias("a"))
+        .select("class", "wanted", "a.skill", F.col("a.n").alias("n"))
     )
-    texts = listings.filter(status_filter(None)).select("id", match_text().alias("low"))
-    found = probe_hits(texts, {1: "low"}, probes).select("id", F.col("probe_id").alias("skill"))
-    few = skills.limit(_FEW_PROFILE_SKILLS + 1).count() <= _FEW_PROFILE_SKILLS
-    pairs = found.join(F.broadcast(skills) if few else skills, "skill")
-    # Bounded groups: at most one entry per skill of the profile.
-    return pairs.groupBy("profile_id", "id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "skill"))), lambda x: x["skill"]
-        ).alias("hits"),
-        F.count("*").cast("int").alias("hit_count"),
+    asked = asked.select("class", "wanted", "skill", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    rarest = F.get(F.array_intersect("has", "wanted"), F.lit(0))
+    pairs = (
+        here.join(asked, ["skill", "part"]).filter(rarest == F.col("skill"))
+        .select("class", "id", F.array_intersect("wanted", "has").alias("hits"))
+        .withColumn("hit_count", F.size("hits")).filter(F.col("hit_count") >= min_hits)
     )
+    if top is not None:
+        order = active.select("id", "ai_score", "posted_at", "fetched_at")
+        # Limited in front of the shuffle as well.
+        pairs = top_per_key(pairs.join(order, "id"), ["class"], match_order(), top).select("class", "id", "hits", "hit_count")
+    return classed.select("profile_id", "class").join(pairs, "class").select("profile_id", "id", "hits", "hit_count")

@@ -1,27 +1,17 @@
-"""Matching many word patterns against many texts without comparing all with all.
+"""Words under which a text can be found, and fields as bits.
 
-A *probe* is a regular expression plus the words at least one of which any text it matches
-must contain. Texts are cut into words inside the row; only words some probe asks for are
-looked up; only the (text, probe) pairs that share a word are verified with the regular
-expression. The answer is one thin row per hit: (id, probe_id, mask of the fields hit).
+For one query or list of skills, texts are cut into words inside the row and only what shares a word runs a pattern. Tables
+of queries and profiles use the positional index (``postings``).
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from listwright.functions.text import text_or_empty
-
-# Probe tables up to this many distinct words, and up to this many (word, probe) rows (a few
-# hundred bytes each), are sent to every task. Larger ones go through a shuffled join.
-MAX_IN_ROW_WORDS = 5_000
-MAX_BROADCAST_PROBES = 100_000
-
-PROBE_SCHEMA = "probe_id string, pattern string, keys array<string>"
-# Probes that cannot be looked up by a word are found under this one, which every text has.
+# Forms that cannot be looked up by a word are found under this one, which every text has.
 NO_WORD = ""
 
 
@@ -56,49 +46,3 @@ def field_mask(fields: dict[int, Column], matches) -> Column:
     for bit, text in fields.items():
         mask = mask + F.when(matches(text), F.lit(bit)).otherwise(F.lit(0))
     return mask
-
-
-def probe_hits(listings: DataFrame, fields: dict[int, str], probes: DataFrame) -> DataFrame:
-    """(id, probe_id, mask) for every listing and probe that match in at least one field.
-
-    ``fields`` maps a bit to a text column of ``listings``; ``probes`` has PROBE_SCHEMA.
-    """
-    texts = {bit: f"_f{bit}" for bit in fields}
-    rows = listings.select(
-        "id",
-        *[text_or_empty(c).alias(texts[bit]) for bit, c in fields.items()],
-        *[F.lower(text_or_empty(c)).alias(f"_low{bit}") for bit, c in fields.items()],
-        words_of(F.concat_ws("\n", *fields.values())).alias("_words"),
-    )
-    by_word = probes.select("probe_id", "pattern", F.explode("keys").alias("word"))
-    # A field is only searched if it has the word under which the probe was found; what other
-    # words find in other fields is added up at the end.
-    mask = F.lit(0)
-    for bit, text in texts.items():
-        hit = F.contains(f"_low{bit}", F.col("word")) & F.rlike(F.col(text), F.col("pattern"))
-        mask = mask + F.when(hit, F.lit(bit)).otherwise(F.lit(0))
-    wanted = by_word.select("word").distinct().limit(MAX_IN_ROW_WORDS + 1).collect()
-    rows_to_send = by_word.limit(MAX_BROADCAST_PROBES + 1).count()
-    if len(wanted) <= MAX_IN_ROW_WORDS and rows_to_send <= MAX_BROADCAST_PROBES:
-        # The word list is small: only words asked for leave the row, so that texts are
-        # neither shuffled nor copied for words nobody wants.
-        vocabulary = F.array(*[F.lit(r["word"]) for r in wanted]).cast("array<string>")
-        found = F.array_intersect("_words", vocabulary)
-        # explode_outer: a plain explode would compute the intersection twice, once for an
-        # inferred "not empty" filter.
-        candidates = rows.withColumn("word", F.explode_outer(found)).filter("word is not null")
-        candidates = candidates.drop("_words").join(F.broadcast(by_word), "word")
-    else:
-        # Only (id, word) is shuffled by word, where adaptive execution splits the words that
-        # many texts have; texts join back once, by id.
-        words = rows.select("id", F.explode(F.array_distinct("_words")).alias("word"))
-        if by_word.filter(F.col("word") == NO_WORD).limit(1).count() == 0:
-            # Every text has this word; without a probe that needs it, it stays at home.
-            words = words.filter(F.col("word") != NO_WORD)
-        candidates = words.join(by_word, "word").join(rows.drop("_words"), "id")
-    # Filtered after the aggregate: a filter on the mask would be pushed into the join and run
-    # every expression a second time.
-    return (
-        candidates.select("id", "probe_id", mask.alias("mask"))
-        .groupBy("id", "probe_id").agg(F.bit_or("mask").alias("mask")).filter("mask > 0")
-    )

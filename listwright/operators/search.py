@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 
 from listwright import fixed_values as fv
 from listwright.functions.text import END, START, bind, escape, text_or_empty
-from listwright.operators.probes import field_mask, lookup_words, probe_hits
-from listwright.session import cut_lineage, keep_computed
+from listwright.operators.postings import LITERAL, LOOSE, SEPARATOR, postings, votes
+from listwright.operators.probes import field_mask
+from listwright.session import cut_lineage, keep_computed, written
 
-SEPARATOR = r"[\p{javaWhitespace}\x{85}\x{a0}\x{2007}\x{202f}_\-/]+"
 # One bit per field; the description is the weakest evidence.
 BITS = {"title": 8, "tags": 4, "company": 2, "description": 1}
 _WEIGHT = {bit: fv.FIELD_WEIGHTS[name] for name, bit in BITS.items()}
@@ -259,95 +259,137 @@ def search(df: DataFrame, q: str | None) -> DataFrame:
 
 
 # ------------------------------------------------------------------ a table of queries
-_QUERY_PROBES = T.ArrayType(
+_PARTS = T.ArrayType(
     T.StructType(
         [
             T.StructField("role", T.StringType()),
             T.StructField("pos", T.IntegerType()),
             T.StructField("required", T.BooleanType()),
-            T.StructField("pattern", T.StringType()),
-            T.StructField("keys", T.ArrayType(T.StringType())),
+            T.StructField("form", T.StringType()),
+            T.StructField("mode", T.StringType()),
+            T.StructField("n", T.IntegerType()),
         ]
     )
 )
 
 
-@F.pandas_udf(_QUERY_PROBES)
-def _probes_of(q: pd.Series) -> pd.Series:
+@F.pandas_udf(_PARTS)
+def _parts_of(q: pd.Series) -> pd.Series:
+    """The forms a query asks for: of its terms, of what it excludes, and of its terms as neighbours of each other."""
+
     def one(text: str | None) -> list[dict]:
         query = read_query(text)
+        n = len(query.terms)
+        asked = [("term", LOOSE, query.terms), ("exclude", LOOSE, query.excluded)]
+        if n > 1:
+            asked.append(("neighbour", LITERAL, query.terms))
+        return [
+            {"role": role, "pos": i, "required": term.required, "form": form, "mode": mode, "n": n}
+            for role, mode, terms in asked for i, term in enumerate(terms) for form in term.forms
+        ]
 
-        def row(role, pos, required, pattern, forms):
-            return {"role": role, "pos": pos, "required": required, "pattern": pattern,
-                    "keys": sorted({w for f in forms for w in lookup_words(f)})}
+    return q.map(one)
 
-        rows = [row("term", i, t.required, t.pattern, t.forms) for i, t in enumerate(query.terms)]
-        rows += [row("exclude", i, False, t.pattern, t.forms) for i, t in enumerate(query.excluded)]
-        if len(query.terms) > 1:
-            rows.append(row("whole", 0, False, query.whole_pattern, query.terms[0].forms))
-            rows += [row("pair", i, False, p, query.terms[i].forms)
-                     for i, p in enumerate(query.pair_patterns)]
-        return rows
 
-    return q.map(one)
+_VERDICT = T.StructType(
+    [
+        T.StructField("masks", T.ArrayType(T.IntegerType())),
+        T.StructField("pairs", T.ArrayType(T.IntegerType())),
+        T.StructField("whole", T.IntegerType()),
+        T.StructField("excluded", T.BooleanType()),
+    ]
+)
+_BETWEEN = re.compile(r"[\s\x85\xa0\u2007\u202f_\-/]+")
+
+
+def _judged(rows: list[dict]) -> dict:
+    """What one query finds in one listing, from the words that speak for its forms."""
+    spoken: dict[tuple, dict] = {}
+    for r in rows:
+        spoken.setdefault((r["role"], r["pos"], r["unit"], r["bit"], r["start"]), {})[r["j"]] = r
+    n = rows[0]["n"]
+    masks, excluded = [0] * n, False
+    # Of each field and term, where its spellings begin and end.
+    spans: dict[int, list[list]] = {}
+    for (role, pos, _, bit, start), words in spoken.items():
+        k = next(iter(words.values()))["k"]
+        if len(words) < k:
+            continue
+        if role == "exclude":
+            excluded = True
+        elif role == "term":
+            masks[pos] |= bit
+        else:
+            first, last = words[0], words[k - 1]
+            spans.setdefault(bit, [[] for _ in range(n)])[pos].append(
+                (start, start + k - 1, first["free_start"], last["free_end"], first["before"], first["lead_chars"], last["trail_chars"])
+            )
+    pairs, whole = [0] * max(n - 1, 0), 0
+    for bit, terms in spans.items():
+        # Ends up to which the terms so far have been found as a chain.
+        reached = {end for _, end, free, *_ in terms[0] if free}
+        for i in range(n - 1):
+            ends: dict[int, list] = {}
+            for _, end, free, _, _, _, trail in terms[i]:
+                ends.setdefault(end, []).append((free, trail))
+            here = set()
+            for start, end, _, free_end, before, lead, _ in terms[i + 1]:
+                for free, trail in ends.get(start - 1, ()):
+                    if _BETWEEN.fullmatch(before[1 + trail:len(before) - lead]):
+                        if free and free_end:
+                            pairs[i] |= bit
+                        if start - 1 in reached and (i < n - 2 or free_end):
+                            here.add(end)
+            reached = here
+        if n > 1 and reached:
+            whole |= bit
+    return {"masks": masks, "pairs": pairs, "whole": whole, "excluded": excluded}
+
+
+@F.pandas_udf(_VERDICT)
+def _judge(rows: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_judged(list(r)) for r in rows], columns=_VERDICT.names)
+
+
+def listing_index(listings: DataFrame) -> DataFrame:
+    """Postings of the fields that are searched; write them as a table to search it more than once."""
+    texts = listings.select("id", *[c.alias(f"f{bit}") for bit, c in _text_columns(listings).items()])
+    return postings(texts, {bit: f"f{bit}" for bit in BITS.values()})
 
 
-def search_batch(listings: DataFrame, queries: DataFrame) -> DataFrame:
+def search_batch(listings: DataFrame, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(query_id, id, relevance) for every query of (query_id, q), as ``search`` gives for each alone.
 
-    Queries without terms have no scores (NULL) and keep all listings but those they exclude: for them the result is as
-    large as the listings. Equal patterns of different queries are evaluated once.
+    Forms are looked up in ``index``, the postings of the listings, made here if not given: nothing is matched against
+    texts. Queries without terms have no scores (NULL) and keep all listings but those they exclude: for them the result
+    is as large as the listings. What several queries ask for is looked up once.
     """
-    parts = cut_lineage(
-        queries.select("query_id", F.explode(_probes_of("q")).alias("p")).select("query_id", "p.*")
-        .withColumn("probe_id", F.sha2("pattern", 256))
-    )
-    probes = parts.groupBy("probe_id").agg(
-        F.first("pattern").alias("pattern"), F.first("keys").alias("keys")
+    parts = written(
+        queries.select("query_id", F.inline(_parts_of("q"))).withColumn("unit", F.concat_ws(" ", "mode", "form")),
+        "search-parts",
     )
     terms = parts.filter("role = 'term'").groupBy("query_id").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "required"))), lambda x: x["required"]
+            F.array_sort(F.collect_set(F.struct("pos", "required"))), lambda x: x["required"]
         ).alias("required")
     )
-    few = parts.select("query_id").distinct().limit(_FEW_QUERIES + 1).count() <= _FEW_QUERIES
-    small = F.broadcast if few else (lambda d: d)
-
-    texts = listings.select("id", *[c.alias(f"f{bit}") for bit, c in _text_columns(listings).items()])
-    found = probe_hits(texts, {bit: f"f{bit}" for bit in BITS.values()}, probes)
-    roles = parts.select("query_id", "role", "pos", "probe_id")
-    # Bounded groups: one entry per part of the query.
-    per_listing = (
-        found.join(small(roles), "probe_id")
-        .groupBy("query_id", "id")
-        .agg(
-            F.map_from_entries(
-                F.collect_list(F.when(F.col("role") == "term", F.struct("pos", "mask")))
-            ).alias("term"),
-            F.map_from_entries(
-                F.collect_list(F.when(F.col("role") == "pair", F.struct("pos", "mask")))
-            ).alias("pair"),
-            F.coalesce(F.max(F.when(F.col("role") == "whole", F.col("mask"))), F.lit(0)).alias("whole"),
-            F.count_if(F.col("role") == "exclude").alias("excluded"),
-        )
-        .filter("excluded = 0 and size(term) > 0")
+    spoken = votes(listing_index(listings) if index is None else index, parts.select("unit", "form", "mode").distinct())
+    asked = parts.select("query_id", "unit", "role", "pos", "n")
+    rows = spoken.join(asked, "unit")
+    # A group is what one query asks for in one listing: no larger than the listing's text.
+    row = F.struct(*[c for c in rows.columns if c not in ("query_id", "id")])
+    found = written(
+        rows.groupBy("query_id", "id").agg(F.collect_list(row).alias("rows"))
+        .select("query_id", "id", _judge("rows").alias("v")).select("query_id", "id", "v.*"),
+        "search-found",
     )
-    at = lambda m, i: F.coalesce(F.try_element_at(m, i), F.lit(0))
-    n = F.size("required")
     hits = (
-        per_listing.join(small(terms), "query_id")
-        .withColumn("masks", F.transform("required", lambda _, i: at(F.col("term"), i)))
-        .withColumn(
-            "pairs",
-            F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))),
-                                      lambda i: at(F.col("pair"), i)))
-            .otherwise(F.array().cast("array<int>")),
-        )
-        .filter(_survives(F.col("masks"), F.col("required"), n))
+        found.filter("not excluded and size(masks) > 0").join(terms, "query_id")
+        .filter(_survives(F.col("masks"), F.col("required"), F.size("required")))
         .select("query_id", "id", "masks", "whole", "pairs")
     )
-    ranked = rank_hits(cut_lineage(hits), few_queries=few)
-    excluded = found.join(small(roles.filter("role = 'exclude'")), "probe_id").select("query_id", "id").distinct()
+    ranked = rank_hits(hits, few_queries=False)
+    excluded = found.filter("excluded").select("query_id", "id")
     for block in _without_terms(queries, terms):
         kept = listings.select(F.explode(F.lit(block)).alias("query_id"), "id")
         kept = kept.join(excluded, ["query_id", "id"], "left_anti")
@@ -370,6 +412,3 @@ def _without_terms(queries: DataFrame, terms: DataFrame) -> Iterator[list]:
 
 # Queries without terms that are laid over the listings at once.
 _QUERY_BLOCK = 1_000
-# Up to this many queries, per-query tables are broadcast (at most some dozen rows of about a
-# hundred bytes per query).
-_FEW_QUERIES = 5_000

@@ -34,6 +34,8 @@ class Paths:
     checkpoint: str
     # Where the warnings about saved searches go; each cycle replaces those of the last.
     warnings: str | None = None
+    # Buckets of the index of addresses.
+    address_buckets: int = 64
 
     @property
     def addresses(self) -> str:
@@ -66,10 +68,10 @@ def _replace(rows: DataFrame, path: str, *partitions: str) -> None:
     )
 
 
-def address_index(spark: SparkSession, paths: Paths, buckets: int = 64) -> AddressIndex:
+def address_index(spark: SparkSession, paths: Paths) -> AddressIndex:
     """The index that goes with a listing table; made from the table if that is older than the index."""
     is_new = not path_exists(spark, paths.addresses)
-    index = AddressIndex(spark, paths.addresses, buckets)
+    index = AddressIndex(spark, paths.addresses, paths.address_buckets)
     if is_new and path_exists(spark, paths.listings):
         index.rebuild(stored(spark, paths.listings))
     return index
@@ -97,10 +99,8 @@ def store_batch(
     """
     spark = raw.sparkSession
     index = address_index(spark, paths)
-    known = cut_lineage(
-        index.lookup(raw.select(dedupe_key("url").alias("dedupe_hash")))
-        .filter(F.col("batch_id") < batch_id).select("dedupe_hash").distinct()
-    )
+    looked_up = cut_lineage(index.lookup(raw.select(dedupe_key("url").alias("dedupe_hash"))))
+    known = looked_up.filter(F.col("batch_id") < batch_id).select("dedupe_hash").distinct()
     top = last_id(spark, paths.runs, batch_id)
     if top is None:  # the first batch, or a table that is older than this column of the log
         top = stored(spark, paths.listings, batch_id).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
@@ -113,7 +113,7 @@ def store_batch(
         numbered.select(*LISTING.fieldNames()).withColumn("batch_id", F.lit(batch_id)),
         paths.listings, "batch_id", "source",
     )
-    index.append(numbered.select("dedupe_hash"), batch_id)
+    index.append(numbered.select("dedupe_hash"), batch_id, looked_up)
     counts = ["fetched", "inserted", "skipped"]
     runs = cycle_summary(raw, known, config).select("cycle_id", "source", *counts)
     if failures is None:

@@ -391,3 +391,57 @@ def test_registry(spark, landing):
         assert normalize(landing(("remotive", "0", "{}")), ["mine"]).count() == 0
     finally:
         del NORMALIZERS["mine"]
+
+
+def _brute_match(listings, profiles, min_hits=1):
+    import re
+
+    out = {}
+    for profile_id, skills in profiles:
+        wanted = match.clean_skills(skills)
+        for i, title, description, tags, status in listings:
+            text = f"{title or ''}\n{description or ''}\n{' '.join(tags or [])}".lower()
+            hits = [s for s in wanted if re.search(
+                ("(?<!\\w)" if s[0].isalnum() else "") + re.escape(s) + ("(?!\\w)" if s[-1].isalnum() else ""), text)]
+            if status != "ignored" and len(hits) >= min_hits and hits:
+                out[profile_id, i] = hits
+    return out
+
+
+@pytest.mark.parametrize("split", [100_000, 7])
+@pytest.mark.parametrize("min_hits", [1, 2])
+def test_rarest_skill_join(spark, monkeypatch, split, min_hits):
+    """One skill in every listing, one in none, equal sets, repeated and blank skills; heavy skills split or not."""
+    import random
+
+    monkeypatch.setattr(match, "SPLIT_ROWS", split)
+    rng = random.Random(8)
+    words = ["python", "c++", ".net", "node.js", "machine learning", "365", "go", "x_y", "full-stack", "rust"]
+    listings = [
+        (i, "hot " + " ".join(rng.sample(words, rng.randint(0, 4))), rng.choice(words + ["C++11", "gopher", "machine  learning"]),
+         [rng.choice(words)] if i % 3 else None, "ignored" if i % 9 == 0 else "new")
+        for i in range(60)
+    ]
+    profiles = [(p, rng.sample(words, rng.randint(1, 6)) + ["HOT "] * (p % 3 > 0)) for p in range(12)]
+    profiles += [(100, ["hot"]), (101, ["hot"]), (102, []), (103, [" ", ""]), (104, ["cobol"]), (105, ["Go", "go", "hot"]), (106, ["+", "++", "-"])]
+    df = spark.createDataFrame(listings, "id long, title string, description string, tags array<string>, status string")
+    people = spark.createDataFrame(profiles, "profile_id long, skills array<string>")
+    got = match.match_profiles(df, people, min_hits=min_hits).collect()
+    want = _brute_match(listings, [(p, s) for p, s in profiles], min_hits)
+    assert {(r.profile_id, r.id): r.hits for r in got} == want
+    assert len(got) == len(want) and all(r.hit_count == len(r.hits) for r in got)
+
+
+def test_best_listings_of_each_profile(spark):
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, "python go" if i % 4 == 0 else "python", None, None, "new", i % 5, at, at) for i in range(40)]
+    df = spark.createDataFrame(
+        rows, "id long, title string, description string, tags array<string>, status string, ai_score int, "
+        "posted_at timestamp_ntz, fetched_at timestamp_ntz")
+    people = spark.createDataFrame([(1, ["python", "go"]), (2, ["python", "go"]), (3, ["python"])], "profile_id long, skills array<string>")
+    got = {}
+    for r in match.match_profiles(df, people, top=3).collect():
+        got.setdefault(r.profile_id, set()).add(r.id)
+    assert got[1] == got[2] == {4, 24, 8} and got[3] == {4, 9, 14}

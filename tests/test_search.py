@@ -9,8 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from listwright import fixed_values as fv
-from listwright.operators import probes
-from listwright.operators.search import read_query, search, search_batch
+from listwright.operators.search import listing_index, read_query, search, search_batch
 
 SCHEMA = "id long, title string, company string, tags array<string>, description string"
 
@@ -169,10 +168,48 @@ def test_against_brute_force(spark, rows):
     assert one == pytest.approx(brute_force(data, q))
 
 
-def test_large_word_lists_use_the_shuffled_join(spark, monkeypatch):
+def test_words_are_joined_by_shuffle_too(spark):
+    """The same answer where nothing is small enough to be broadcast."""
     data = [(i, t, None, None, None) for i, t in enumerate(["web security", "C++ developer", "365 days", "k812 api"])]
     df = spark.createDataFrame(data, SCHEMA)
     queries = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, q string")
     want = sorted(map(tuple, search_batch(df, queries).collect()))
-    monkeypatch.setattr(probes, "MAX_IN_ROW_WORDS", 2)
-    assert sorted(map(tuple, search_batch(df, queries).collect())) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, search_batch(df, queries).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+# ------------------------------------------------------------------ forms by positions
+ODD_TEXTS = [
+    "web security", "_web security", "web_security_", "web  --/ security web", "C++11 c++", ".NET ASP.NET x.net", "node.js Node.JS_",
+    "nodeXjs", "front-end frontend front  end", "365 3651 36 365s 365js", "k8 k812 k81x", "apis apies apijs api.js api2 api_2",
+    "é éai ai", "c ++ d", "a.b.c a.b c", "x", "", None, "___", "- -", "web site security", "web web site security x",
+    "½ 5½ ²", "full stack full stack developer", "security.web", "c++ developer", "c++ .net", "a c++-.net b", "٣٤ api٣",
+]
+ODD_QUERIES = [
+    "web security", "c++", ".net", "node.js", '"front end"', "365", "36 5", "k8", "api", "ai", '"c ++"', "a.b", "full stack developer",
+    "web site security", "c++ .net", "x_y", "website security x", "3", '"full stack" full', "c++ developer", '"- x"', "web -365", "5",
+]
+
+
+def test_positions_say_what_patterns_say(spark):
+    """Forms, pairs and phrases by positions against the patterns of the single search, in every field."""
+    data = [(i, t, None, None, t) for i, t in enumerate(ODD_TEXTS)]
+    df = spark.createDataFrame(data, SCHEMA).coalesce(1)
+    queries = spark.createDataFrame(list(enumerate(ODD_QUERIES)), "query_id int, q string").coalesce(1)
+    got = {i: {} for i in range(len(ODD_QUERIES))}
+    for r in search_batch(df, queries).collect():
+        got[r.query_id][r.id] = round(r.relevance, 6)
+    for i, q in enumerate(ODD_QUERIES):
+        assert got[i] == pytest.approx(brute_force(data, q)), q
+
+
+def test_a_stored_index_is_searched(spark, tmp_path):
+    data = [(i, t, None, None, t) for i, t in enumerate(ODD_TEXTS)]
+    df = spark.createDataFrame(data, SCHEMA).coalesce(1)
+    queries = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, q string").coalesce(1)
+    listing_index(df).write.parquet(str(tmp_path / "index"))
+    stored = spark.read.parquet(str(tmp_path / "index"))
+    assert sorted(map(tuple, search_batch(df, queries, stored).collect())) == sorted(map(tuple, search_batch(df, queries).collect()))
