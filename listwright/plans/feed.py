@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwright import fixed_values as fv
 from listwright.operators import predicates as p
 from listwright.operators.search import search
 from listwright.schemas import registry
+from listwright.session import written
 
 
 @dataclass(frozen=True)
@@ -79,28 +80,52 @@ def listing_feed(listings: DataFrame, request: FeedRequest, as_of: Column) -> Da
     return matching(listings, request, as_of).orderBy(*feed_order(request))
 
 
-def take_page(rows: DataFrame, order: list[Column], page: int, size: int = fv.PAGE_SIZE) -> DataFrame:
-    """Page ``page`` of the ordered rows; beyond the end it is the last page.
+# So many rows are sorted for a page at most; larger ranges are divided again.
+SORTED_ROWS = 10_000
 
-    Only the first page * size rows are kept by a top-k, and the clamping is worked out on
-    them: if there are fewer, they are all there is.
+
+def take_page(
+    rows: DataFrame, order: list[Column], page: int, size: int = fv.PAGE_SIZE, key: str = "id", reads: list[str] | None = None
+) -> DataFrame:
+    """Page ``page`` of the ordered rows, in order; beyond the end it is the last page.
+
+    The first page is a top-k. Any other is found by order statistics: rows are dealt into ranges of the order (by
+    splitters from a sample), the ranges are counted, and only the one that holds the page is divided further and at last
+    sorted. What is moved for that are ``key``, unique and not null, and the columns that the order ``reads`` (all columns
+    if not given). The rows of the page are then read by their keys.
     """
-    page = max(1, page)
-    head = rows.orderBy(*order).limit(page * size)
-    if page == 1:
-        return head
-    everything = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shown = F.least(F.lit(page), F.ceil(F.col("_total") / size))
-    return (
-        head.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
-        .withColumn("_total", F.count("*").over(everything))
-        .filter(F.ceil(F.col("_n") / size) == shown)
-        .drop("_n", "_total")
-    )
+    if page <= 1:
+        return rows.orderBy(*order).limit(size)
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    thin = rows if reads is None else rows.select(*dict.fromkeys([key, *reads]))
+    first, total = 0, None  # of the rows in ``thin``: the place of the page's first, and how many there are
+    while total is None or total > max(SORTED_ROWS, 2 * size):
+        dealt = written(thin.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "page-ranges")
+        counts = sorted((r["_range"], r["count"]) for r in dealt.groupBy("_range").count().collect())  # one row per range
+        n = sum(c for _, c in counts)
+        if total is None:
+            page = min(page, max(1, -(-n // size)))
+            first = (page - 1) * size
+        here, before, skipped = [], 0, 0
+        for k, c in counts:
+            if before + c <= first:
+                skipped += c
+            elif before < first + size:
+                here.append(k)
+            before += c
+        shrunk = sum(c for k, c in counts if k in set(here))
+        thin = dealt.filter(F.col("_range").isin(here)).drop("_range")
+        first -= skipped
+        if total is not None and shrunk >= total:  # equal rows cannot be divided
+            break
+        total = shrunk
+    keys = [r[key] for r in thin.orderBy(*order).offset(first).limit(size).select(key).collect()]
+    return rows.filter(F.col(key).isin(keys)).orderBy(*order).limit(size)
 
 
 def feed_page(listings: DataFrame, request: FeedRequest, as_of: Column) -> DataFrame:
-    return take_page(matching(listings, request, as_of), feed_order(request), request.page)
+    reads = ["relevance", "ai_score", "posted_at", "fetched_at", "id"]
+    return take_page(matching(listings, request, as_of), feed_order(request), request.page, reads=reads)
 
 
 def page_info(rows: DataFrame, page: int, size: int = fv.PAGE_SIZE) -> DataFrame:

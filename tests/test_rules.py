@@ -445,3 +445,32 @@ def test_best_listings_of_each_profile(spark):
     for r in match.match_profiles(df, people, top=3).collect():
         got.setdefault(r.profile_id, set()).add(r.id)
     assert got[1] == got[2] == {4, 24, 8} and got[3] == {4, 9, 14}
+
+
+@pytest.mark.parametrize("sorted_rows", [10_000, 10])
+def test_deep_pages(spark, monkeypatch, sorted_rows):
+    """Every page, with ties, NULLs and one value in a third of the rows; ranges are divided again or not."""
+    monkeypatch.setattr(feed, "SORTED_ROWS", sorted_rows)
+    rows = spark.range(190).select(
+        "id", F.when(F.col("id") % 3 == 0, 5).when(F.col("id") % 7 > 0, F.col("id") % 11).alias("score"), F.lit("text").alias("note")
+    )
+    order = [F.desc_nulls_last("score"), F.asc("id")]
+    want = [r.id for r in rows.orderBy(*order).collect()]
+    for page in (1, 2, 5, 8, 9):
+        got = feed.take_page(rows, order, page, size=25, reads=["score"])
+        assert [r.id for r in got.collect()] == want[25 * min(page - 1, 7):][:25]
+        assert got.columns == ["id", "score", "note"]
+    assert feed.take_page(rows.limit(0), order, 4).collect() == []
+    same = feed.take_page(rows.withColumn("score", F.lit(1)), [F.asc("score")], 3, size=25).collect()
+    assert len({r.id for r in same}) == 25
+
+
+def test_deep_pages_sort_a_range_only(spark, capfd):
+    """The plan has neither a window nor a sort over all rows: the page is read by its keys."""
+    rows = spark.range(1000).withColumn("score", F.col("id") % 10)
+    page = feed.take_page(rows, [F.desc("score"), F.asc("id")], 30, size=25)
+    capfd.readouterr()
+    page.explain()
+    plan = capfd.readouterr().out
+    assert "Window" not in plan and "TakeOrderedAndProject" in plan and "IN" in plan.upper()
+    assert page.count() == 25
