@@ -485,14 +485,16 @@ def _finished(spark: SparkSession, model: LanguageModel):
     return finish
 
 
-def identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+def identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(row, answer) for each row of ``docs``: its columns as a struct, and the answer of ``predicted`` for its text.
 
+    With ``keep`` the struct has those columns only; what is not kept, as the text, is not written in between.
+
     A model that is not whole takes joins of the texts' distinct words that are not broadcast, of their n-grams, and of
     what was found for them; words and n-grams that come often are spread over the tasks.
     """
     spark = docs.sparkSession
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    row = F.struct(*[docs[c] for c in (docs.columns if keep is None else keep)]).alias("row")
     if model.rest is None:
         return docs.select(row, predicted(spark, model, docs[text_col]).alias("answer"))
     part = _frequent_part(spark, model)(docs[text_col]).alias("part")
@@ -520,7 +522,7 @@ def identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") ->
 @query("op3_language_id")
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = identified(docs.select("doc_id", "text"), learn(docs))
+    found = identified(docs.select("doc_id", "text"), learn(docs), keep=["doc_id"])
     return found.select(
         F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id")).alias("held_out"), F.col("answer.lang").alias("lang_pred"), F.col("answer.score").alias("score")
     )
