@@ -51,19 +51,32 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     One row per input row: (id, keep_id, group_size, kept, digest). keep_id is the row that stays: the one the index
     already holds, else the largest id of the group in this batch. group_size counts the rows of this batch.
 
-    Null texts equal empty ones. A row with a null id is kept only if its text has no row with an id, in the batch or
-    the index. Rows repeated with the same id and text are one document: all say the same. An empty table appends
-    nothing. Other columns of ``docs`` are not read.
+    Null texts equal empty ones. Where only rows with a null id have a text, keep_id is null; one of them is kept if the text
+    is new, none if the index holds it, and a row with an id that comes in a later batch is a copy like any other. Rows
+    repeated with the same id and text are one document: all say the same. An empty table appends nothing. Other columns
+    of ``docs`` are not read.
     """
-    rows = written(docs.select(F.col(id_col).alias("id"), digest_of(F.col(text_col)).alias("digest")), "digests")
-    groups = rows.groupBy("digest").agg(F.max("id").alias("newest"), F.count(F.lit(1)).alias("group_size"))
-    seen = index.rows()
-    index.append(
-        groups.join(seen.hint("merge"), "digest", "left_anti").select("digest", F.col("newest").alias("keep_id"))
+    # The number tells rows without an id apart.
+    rows = written(
+        docs.select(F.col(id_col).alias("id"), digest_of(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("number")),
+        "digests",
     )
-    answers = groups.join(index.rows().hint("merge"), "digest").select("digest", "keep_id", "group_size")
-    result = join_groups(rows, written(answers, "digest-answers"), "digest", "group_size", rows.count())
-    return result.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+    groups = rows.groupBy("digest").agg(
+        F.max("id").alias("keep_id"), F.min(F.when(F.col("id").isNull(), F.col("number"))).alias("nameless"),
+        F.count(F.lit(1)).alias("group_size"),
+    )
+    seen = index.rows().hint("merge")
+    new = written(groups.join(seen, "digest", "left_anti"), "new-digests")
+    old = written(groups.drop("keep_id", "nameless").join(seen, "digest"), "old-digests")
+    index.append(new)
+    # A row without an id stays for its text if no row has one.
+    nameless = F.when(F.col("keep_id").isNull(), F.col("nameless")).alias("nameless")
+    answers = new.select("digest", "keep_id", "group_size", nameless).unionByName(
+        old.select("digest", "keep_id", "group_size", F.lit(None).cast("long").alias("nameless"))
+    )
+    result = join_groups(rows, answers, "digest", "group_size", rows.count())
+    kept = F.coalesce(F.col("id") == F.col("keep_id"), F.col("number") == F.col("nameless"), F.lit(False))
+    return result.select("id", "keep_id", "group_size", kept.alias("kept"), "digest")
 
 
 @query(

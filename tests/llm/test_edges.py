@@ -186,6 +186,44 @@ def test_exact_dedup(spark, docs):
     assert index.rows().count() == before
 
 
+def test_exact_dedup_of_batches_with_null_ids(spark):
+    """Three batches against plain Python: texts of rows with and without ids, in one batch or in several."""
+    import random
+
+    rng = random.Random(2)
+    batches = [[(None if rng.random() < 0.4 else 100 * b + i, rng.choice("abcdefghijkl") + ("X" if rng.random() < 0.3 else "x"))
+                for i in range(14)] for b in range(3)]
+    batches[0] += [(None, "only null"), (None, "Only null")]
+    batches[1] += [(None, "only null"), (7, "ONLY NULL"), (None, None), (None, "")]
+    batches[2] += [(8, ""), (None, "only null")]
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "index-batches"), 4)
+    held = {}
+    for batch in batches:
+        got = exact_dedup.exact_dedup(spark.createDataFrame(batch, "doc_id long, text string"), index).collect()
+        by_text = {}
+        for i, text in batch:
+            by_text.setdefault((text or "").lower(), []).append(i)
+        assert len(got) == len(batch)
+        by_digest = {hashlib.sha256(t.encode()).digest(): t for t in by_text}
+        kept = {}
+        for r in got:
+            text = by_digest[bytes(r["digest"])]
+            ids = [i for i in by_text[text] if i is not None]
+            keep = held[text] if text in held else max(ids, default=None)
+            assert (r["keep_id"], r["group_size"]) == (keep, len(by_text[text])), text
+            kept.setdefault(text, []).append((r["id"], r["kept"]))
+        for text, rows in kept.items():
+            if text in held:
+                assert all(k == (i is not None and i == held[text]) for i, k in rows)
+            elif any(i is not None for i, _ in rows):
+                assert all(k == (i is not None and i == max(j for j, _ in rows if j is not None)) for i, k in rows)
+            else:
+                assert sum(k for _, k in rows) == 1
+        for text, ids in by_text.items():
+            held.setdefault(text, max((i for i in ids if i is not None), default=None))
+    assert index.rows().count() == len(held)
+
+
 def test_pipeline_stages(spark, docs):
     frame = docs.select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES[:-1]:
