@@ -17,8 +17,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +31,10 @@ from listwright.llm.common import new_path, query, table, written
 SHARD_PART, SHARD_BYTES = 4096, (1 << 20, 1 << 30)
 #: Compressed bytes after which a file is full.
 ROLL_BYTES = 64 << 20
-#: Shards are cut between so many ranges of ids of equal width.
-ID_RANGES = 1 << 16
+#: Shards are cut between so many ranges of ids, which are found from about so many of them.
+ID_RANGES, SAMPLE_IDS = 1 << 16, 1 << 20
+#: Bytes of archives that a task reads.
+READ_BYTES = 64 << 20
 #: Rows without an id are dealt over so many shards.
 NULL_SHARDS = 64
 #: Stands in all records, so that archives do not depend on when they are written.
@@ -113,6 +118,8 @@ class _File:
 
     def commit(self) -> pa.RecordBatch:
         self.out.close()
+        if self.system.get_file_info(self.path).type != pa_fs.FileType.NotFound:
+            self.system.delete_file(self.path)  # of an attempt whose task was lost; not every system moves over a file
         self.system.move(self.temporary, self.path)
         row = [self.shard, self.name, self.records, self.bytes, self.sha.hexdigest(), *self.ids]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _MANIFEST)], schema=_MANIFEST)
@@ -124,6 +131,33 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(*(c.to_pylist() for c in batch.slice(start, 64).columns))
 
 
+def _id_borders(thin: DataFrame) -> list[float]:
+    """Borders of ranges of ids with about as many rows each, from up to about SAMPLE_IDS rows chosen by their hash.
+
+    Where the borders are decides about the sizes of shards alone.
+    """
+    ids = thin.filter("id is not null")
+    every = -(-ids.count() // SAMPLE_IDS) or 1
+    sample = np.sort(np.array(
+        [r["id"] for r in ids.filter(F.pmod(F.xxhash64("id", "digest"), F.lit(every)) == 0).select("id").collect()], np.int64
+    ))
+    at = np.unique(np.arange(1, ID_RANGES) * len(sample) // ID_RANGES)
+    return [-np.inf, *np.unique(sample[at].astype(float)).tolist(), np.inf] if len(sample) else [-np.inf, np.inf]
+
+
+def _with_id_range(rows: DataFrame, borders: list[float]) -> DataFrame:
+    """Adds ``id_range``, which grows with the id; rows without an id are in ranges of their own, below zero."""
+    place = rows.withColumn("id_place", F.coalesce(F.col("id").cast("double"), F.lit(0.0)))
+    if len(borders) > 2:
+        place = Bucketizer(splits=borders, inputCol="id_place", outputCol="id_bucket").transform(place)
+    else:
+        place = place.withColumn("id_bucket", F.lit(0.0))
+    nameless = -1 - F.pmod(F.xxhash64("digest"), F.lit(NULL_SHARDS))
+    return place.withColumn("id_range", F.when(F.col("id").isNull(), nameless).otherwise(F.col("id_bucket").cast("long"))).drop(
+        "id_place", "id_bucket"
+    )
+
+
 def write_warc(
     pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
     revisit_from: int = 0, shard_bytes: int | None = None, roll_bytes: int = ROLL_BYTES, date: str = DATE,
@@ -141,15 +175,10 @@ def write_warc(
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     thin = written(rows.select("id", "digest", F.octet_length("payload").cast("long").alias("bytes")), "warc-digests")
 
-    limits = thin.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
-    low, width = limits["low"] or 0, 1
-    if limits["low"] is not None:
-        width = -(-(limits["high"] - low + 1) // ID_RANGES)
-    id_range = F.coalesce(
-        F.expr(f"(id - {low}L) div {width}L"), -1 - F.pmod(F.xxhash64("digest"), F.lit(NULL_SHARDS))
-    )
+    borders = _id_borders(thin)
+    thin = _with_id_range(thin, borders)
     # One row for each range of ids: as many as there are ranges at most.
-    sizes = thin.groupBy(id_range.alias("id_range")).agg(F.sum("bytes").alias("bytes")).orderBy("id_range").collect()
+    sizes = thin.groupBy("id_range").agg(F.sum("bytes").alias("bytes")).orderBy("id_range").collect()
     if shard_bytes is None:
         shard_bytes = min(max(sum(row["bytes"] for row in sizes) // SHARD_PART, SHARD_BYTES[0]), SHARD_BYTES[1])
     shard_of, shard, filled, full = [], -1, 0, True
@@ -170,7 +199,7 @@ def write_warc(
     both = rows.withColumn("first", F.lit(None).cast("long")).withColumn("note", F.lit(False)).unionByName(
         notes.select("id", F.lit(None).cast("string").alias("url"), F.lit("").alias("payload"), "digest", "first", F.lit(True).alias("note"))
     )
-    both = both.withColumn("id_range", id_range).join(shards, "id_range")
+    both = _with_id_range(both, borders).join(shards, "id_range")
     order = ["shard", "id", "digest", F.desc("note"), "url"]
     both = both.repartition("shard").sortWithinPartitions(*order).select("shard", "id", "digest", "note", "first", "url", "payload")
 
@@ -258,7 +287,10 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
             if out:
                 yield batch(out)
 
-    return files.repartition("file").mapInArrow(read, _sql(_RECORD))
+    n_files, n_bytes = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    # The manifest is tiny whatever it lists: say how many tasks its files are for.
+    tasks = max(1, min(n_files, max(spark.sparkContext.defaultParallelism, -(-n_bytes // READ_BYTES))))
+    return files.repartition(tasks, "file").mapInArrow(read, _sql(_RECORD))
 
 
 @query(

@@ -232,3 +232,31 @@ def test_pipeline_stages(spark, docs):
         assert frame.filter("n_chars <> length(text)").count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, frame, "/root/testdata/sf0.001")
     assert packed.select("doc_id").distinct().count() == frame.select("doc_id").distinct().count()
+
+
+@pytest.mark.parametrize("ids", [[*range(300), 10**15], [-9 * 10**18, *range(50), 9 * 10**18], [7] * 40 + [8], [None, 3, None]])
+def test_warc_shards_of_sparse_ids(spark, ids, monkeypatch):
+    """Far ids, the ends of the range of longs, one id in most rows: all come back, in shards of about equal size."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, f"http://a.test/{k}", "".join(rng.choice("abcdefgh") for _ in range(2000))) for k, i in enumerate(ids)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = new_path(spark, "sparse")
+    manifest = warc.write_warc(pages, path, shard_bytes=20_000).collect()
+    got = warc.read_warc(spark, path).collect()
+    assert sorted(((r["id"], r["payload"]) for r in got), key=str) == sorted(((i, t) for i, _, t in rows), key=str)
+    if len(set(ids)) > 100:
+        assert max(r["records"] for r in manifest) <= 25
+    assert warc.read_warc(spark, path).rdd.getNumPartitions() == min(len(manifest), spark.sparkContext.defaultParallelism)
+
+
+def test_warc_file_of_a_lost_attempt_is_replaced(tmp_path, monkeypatch):
+    import pyarrow.fs as pa_fs
+
+    monkeypatch.setattr(warc, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("T", (), {"taskAttemptId": lambda self: 5})())}))
+    for text in (b"older", b"newer"):
+        file = warc._File(pa_fs.LocalFileSystem(), str(tmp_path), 0, 0)
+        file.add(1, warc.record(1, "http://a.test/", text, None))
+        file.commit()
+    assert [p.name for p in tmp_path.iterdir()] == ["shard-0000000-00000.warc.gz"]
