@@ -3,6 +3,6 @@
 
 def all_checks():
     """(queries, oracles) of all check modules."""
-    from checks import base, feed, ingest, scoring, search, sources, values  # noqa: F401
+    from checks import base, feed, ingest, scoring, search, sources, stored, values  # noqa: F401
 
     return base.QUERIES, base.ORACLES

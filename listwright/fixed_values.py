@@ -15,6 +15,8 @@ DEFAULT_KEYWORDS = [
 ]
 DEFAULT_BLOCKED = ["wordpress only", "shopify only", "unpaid", "equity only"]
 PRE_FILTERED_SOURCES = ["rozee"]
+# Sources whose feeds fail one by one: a failed response does not fail the source.
+SOURCES_OF_MANY_FEEDS = ["upwork_rss", "reddit"]
 
 # Suffixes a keyword / a search word may carry.
 GATE_SUFFIX = r"(?:s|js|\p{Nd}+|\.js)?"
@@ -165,7 +167,6 @@ PAGE_SIZE = 25
 DEFAULT_MIN_SCORE = 6
 DEFAULT_ALERT_THRESHOLD = 8
 ALERT_BATCH = 20
-ALERT_MAX_CHARS = 3900
 HIGH_SCORE = 8
 MID_SCORE = 5
 MAX_SCORE_ATTEMPTS = 5
@@ -174,10 +175,7 @@ STATS_DAYS = 14
 STATS_WEEKS = 8
 
 # Profiles.
-PROFILE_MAX_CHARS = 20000
 PROFILE_SUMMARY_CHARS = 400
-PROFILE_MAX_SKILLS = 40
-PROFILE_MAX_TITLES = 12
 SKILLS_VOCABULARY = [
     "python", "javascript", "typescript", "php", "java", "c#", "c++", "go", "golang",
     "ruby", "rust", "kotlin", "swift", "scala", "perl", "bash", "sql", "html", "css",
@@ -209,7 +207,6 @@ EMAIL_SKIP_DOMAINS = [
     "company.com", "email.com", "sentry.io", "wixpress.com", "sentry-next.wixpress.com",
 ]
 EMAIL_SKIP_ENDINGS = [".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg"]
-EMAIL_LIMIT = 5
 
 # Relative age labels: unit -> seconds.
 RELATIVE_UNIT_SECONDS = {
@@ -223,13 +220,6 @@ FEED_ZONES = {
     "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
 }
 
-# Column widths (characters).
-MAX_EXTERNAL_ID, MAX_URL, MAX_TITLE = 255, 1024, 512
-
-# Per-source caps on one fetch.
-SOURCE_CAPS = {"skipthedrive": 50, "jobgether": 60, "wellfound": 50, "builtin": 40,
-               "linkedin_web": 50, "rozee": 50, "bayt": 50}
-
 # Company names inside slugs.
 SLUG_NON_COMPANY = ["sponsored", "job", "sponsored-job", "featured"]
 SLUG_NOISE = ["amp", "nbsp", "quot", "8211", "8217"]

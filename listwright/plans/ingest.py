@@ -111,13 +111,13 @@ def new_listings(
 def source_failures(landing: DataFrame) -> DataFrame:
     """(cycle_id, source, error_class, error) of sources whose fetch failed.
 
-    A 4xx answer is 'blocked', any other failure 'failed'. Upwork feeds fail one by one and
-    are reported by their own warnings, so they never fail the source.
+    A 4xx answer is 'blocked', any other failure 'failed'. Feeds of some sources fail one by one, which never fails
+    the source.
     """
     bad = (F.col("http_status") >= 400) | F.col("http_status").isNull()
     blocked = F.col("http_status").between(400, 499)
     return (
-        landing.filter(bad & (F.col("source") != fv.FREELANCE_SOURCE) & (F.col("source") != "reddit"))
+        landing.filter(bad & ~F.col("source").isin(fv.SOURCES_OF_MANY_FEEDS))
         .groupBy("cycle_id", "source")
         .agg(
             F.when(F.max((~F.coalesce(blocked, F.lit(False))).cast("int")) == 1, "failed")
