@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -411,7 +412,7 @@ def _by_broadcast_grams(model, bits):
 
 def _looked_up(asked: DataFrame, model: LanguageModel) -> DataFrame:
     """(word, size, weights, letters, pairs) of the asked words (word, size): how much of each base counts, the known
-    letters, and what is above it by language. Words of which no letter is known are not there."""
+    letters, and what is above it by the number of the language. Words of which no letter is known are not there."""
     def above(n: Column) -> Column:
         return F.log((n + SMOOTHING) / SMOOTHING)
 
@@ -451,11 +452,19 @@ def _looked_up(asked: DataFrame, model: LanguageModel) -> DataFrame:
         F.when(F.col("more").isNull(), own).otherwise(F.concat(own, more)).alias("pairs"),
     )
     by_grams = unseen.join(by_grams, "word").select("word", "size", "weights", "letters", "pairs")
-    looked = written(seen.unionByName(by_grams), "looked-up-words")
+    place = F.create_map(*[F.lit(v) for k, l in enumerate(model.languages) for v in (l, k)])
+    numbered = F.transform("pairs", lambda e: F.struct(F.element_at(place, e["lang"]).alias("lang"), e["above"].alias("above")))
+    looked = written(seen.unionByName(by_grams).withColumn("pairs", numbered), "looked-up-words")
     discard(found, split, places, wanted, hits)
     return looked
 
 
+def _spread_over(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """For each element of an array of lists, null or not, the list it is in; and the elements."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), lengths), lists.flatten()
+
+
 def _finished(spark: SparkSession, model: LanguageModel):
     """The answer for a text's frequent part and what was looked up for its other words."""
     shared = spark.sparkContext.broadcast((model.languages, model.rest.base))
@@ -463,23 +472,32 @@ def _finished(spark: SparkSession, model: LanguageModel):
     @F.arrow_udf(_ANSWER)
     def finish(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         languages, base = shared.value
-        at = {l: k for k, l in enumerate(languages)}
-        choose = LanguageModel(languages, {}, {}, np.zeros((0, len(languages)), np.float32)).surest
-        for columns in batches:
-            answers = []
-            for n_words, n_letters, n_frequent, known, langs, above, rest in zip(*(c.to_pylist() for c in columns)):
-                if not n_words:
-                    answers.append((UNKNOWN, 0.0, 0, 0, 0))
-                    continue
-                weights, total = np.zeros(len(base)), np.zeros(len(languages))
-                weights[0] = n_frequent
-                total[[at[l] for l in langs]] = above
-                for word in rest or []:
-                    weights += word["times"] * np.array(word["weights"])
-                    known += word["times"] * word["letters"]
-                    for pair in word["pairs"]:
-                        total[at[pair["lang"]]] += word["times"] * pair["above"]
-                answers.append((*choose(total + weights @ base, n_words), n_words, n_letters, known))
+        k = len(languages)
+        choose = LanguageModel(languages, {}, {}, np.zeros((0, k), np.float32)).surest
+        for n_words, n_letters, n_frequent, known, langs, above, rest in batches:
+            n = len(n_words)
+            weights = np.zeros((n, len(base)))
+            weights[:, 0] = n_frequent.to_numpy(zero_copy_only=False)
+            known = known.to_numpy(zero_copy_only=False).astype(float)
+            text, names = _spread_over(langs)
+            at = pc.index_in(names, pa.array(languages, names.type)).to_numpy(zero_copy_only=False)
+            total = np.bincount(text * k + at, above.flatten().to_numpy(zero_copy_only=False), n * k)
+            text, words = _spread_over(rest)
+            if len(words):
+                times, of_word, letters, pairs = words.flatten()
+                times = times.to_numpy(zero_copy_only=False)
+                known = known + np.bincount(text, times * letters.to_numpy(zero_copy_only=False), n)
+                of_word = of_word.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(base))
+                for j in range(len(base)):
+                    weights[:, j] += np.bincount(text, times * of_word[:, j], n)
+                word, pairs = _spread_over(pairs)
+                lang, more = (c.to_numpy(zero_copy_only=False) for c in pairs.flatten())
+                total = total + np.bincount(text[word] * k + lang, times[word] * more, n * k)
+            total = total.reshape(n, k) + weights @ base
+            answers = [
+                (*choose(own, size), size, size_letters, int(round(known_letters))) if size else (UNKNOWN, 0.0, 0, 0, 0)
+                for own, size, size_letters, known_letters in zip(total, n_words.to_pylist(), n_letters.to_pylist(), known)
+            ]
             yield _as_answers(answers)
 
     return finish
