@@ -612,12 +612,18 @@ ALL_SOURCES = [n for n in BUILDERS if f"normalize_{n}" in ORACLES]
 
 @check(
     "normalize_all",
-    " UNION ALL ".join(f"SELECT source, count(*) AS n FROM ({ORACLES[f'normalize_{n}']}) GROUP BY source" for n in ALL_SOURCES),
+    " UNION ALL ".join(
+        f"""SELECT source, count(*) AS n, bit_xor(CAST('0x' || substr(sha256(concat_ws('|', url, title)), 1, 15) AS BIGINT)) AS rows_hash
+        FROM ({ORACLES[f'normalize_{n}']}) GROUP BY source""" for n in ALL_SOURCES
+    ),
 )
 def normalize_all(spark, d):
     landing = cut_lineage(all_landing(spark, d, ALL_SOURCES))
     names = [r["source"] for r in landing.select("source").distinct().collect()]
-    return normalize(landing, names).groupBy("source").agg(F.count("*").alias("n"))
+    rows = shown(normalize(landing, names))
+    text = F.concat_ws("|", "url", "title")
+    number = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.bit_xor(number).alias("rows_hash"))
 
 
 @check(

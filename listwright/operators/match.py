@@ -172,7 +172,7 @@ def match_profiles(listings: DataFrame, profiles: DataFrame, min_hits: int = 1,
     classes = classed.select("class", "wanted").distinct()
     forms = classes.select(F.explode("wanted").alias("form")).distinct()
     active = listings.filter(status_filter(None))
-    forms = written(forms.select(F.col("form").alias("unit"), "form", F.lit(FREE).alias("mode")), "match-forms")
+    forms = forms.select(F.col("form").alias("unit"), "form", F.lit(FREE).alias("mode"))
     texts = active.select("id", match_text().alias("text"))
     found = find_forms(postings(texts, {1: "text"}), forms)
     if not forms.filter(~F.rlike("form", F.lit(r"[\p{L}\p{N}]"))).isEmpty():
