@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm.common import discard, join_groups, query, table, written
+from listwright.llm.common import discard, join_groups, query, release_shuffles, table, written
 from listwright.llm.near_dedup import in_filter, key_filter
 
 LONGEST_GRAM = 5
@@ -239,6 +239,7 @@ def fit(texts: DataFrame) -> LanguageModel:
 
     word_units, gram_units = by_unit(words, "language-word-units"), by_unit(grams, "language-gram-units")
     discard(words, grams)
+    release_shuffles(texts.sparkSession)
     n_words = word_units.count()
     per_order = dict(gram_units.groupBy(order.alias("k")).count().collect())
     sizes = [np.array([totals[l] for l in languages], float) + SMOOTHING * n_words] + [
@@ -424,6 +425,7 @@ def _looked_up(asked: DataFrame, model: LanguageModel) -> DataFrame:
         "word", "size", weights.alias("weights"), F.length("word").cast("long").alias("letters"), pairs.alias("pairs")
     )
     unseen = found.filter(F.col("counts").isNull()).select("word", "size")
+    release_shuffles(asked.sparkSession)
     bits = context.broadcast(key_filter(rest.grams.select(F.xxhash64("unit").alias("key"))))
     split = written(unseen.select("word").mapInArrow(_by_broadcast_grams(context.broadcast(model), bits), _UNSEEN), "unseen-words")
     places = written(split.select("word", F.explode("open").alias("o")).select("word", "o.*"), "unseen-places")
@@ -522,10 +524,12 @@ def identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", ke
     )
     rest = written(rest, "other-words")
     looked = _looked_up(rest.groupBy("word").agg(F.count(F.lit(1)).alias("size")), model)
+    release_shuffles(spark)
     gathered = join_groups(rest, looked, "word", "size", rest.count()).groupBy("row_id").agg(
         F.collect_list(F.struct("times", "weights", "letters", "pairs")).alias("rest")
     )
     gathered = written(gathered, "gathered-words")
+    release_shuffles(spark)
     n_other = F.aggregate(
         F.arrays_zip("part.words", "part.times"), F.lit(0).cast("long"), lambda n, w: n + F.length(w["words"]) * w["times"]
     )

@@ -14,7 +14,6 @@ holds some SLAB blocks and the driver one slab's coordinates, however many rows
 
 from __future__ import annotations
 
-import gc
 import itertools
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from listwright.llm.common import discard, new_path, query, table, written
+from listwright.llm.common import discard, new_path, query, release_shuffles, table, written
 from listwright.session import spread
 
 SCALE, SHIFT = 64, 1_000_000
@@ -141,12 +140,6 @@ def _local(matrix: np.ndarray, spark: SparkSession) -> BlockMatrix:
     return BlockMatrix(block, rows, columns, rows, columns)
 
 
-def _release(spark: SparkSession) -> None:
-    """Let go of shuffles that nothing refers to any more; Spark does so when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _deviation(n: int, centre: list[int], rest: list[int]) -> Column:
     """Sum of (n x - S)^2, where n x - S is n (x - centre) - rest: in whole numbers where it fits in a long, else null."""
     constants = F.arrays_zip(F.lit(centre).cast("array<bigint>").alias("c"), F.lit(rest).cast("array<bigint>").alias("r"))
@@ -196,7 +189,7 @@ def whiten(
         spread(numbers_of_width.select("id", "x", _deviation(n, centre, rest).alias("deviation"))), np.array(centre, np.int64), height
     )
     discard(numbers, fit)
-    _release(spark)
+    release_shuffles(spark)
 
     covariance = sum((_scatter(m, len(places)) for _, places, m in fitted.slabs()), np.zeros((width, width))) / n
     covariance -= np.outer(left, left)
@@ -208,13 +201,13 @@ def whiten(
     whitening = vectors[:, found] / np.sqrt(values[found])
     explained = values[found] / np.trace(covariance)
     mean = left @ whitening
-    _release(spark)
+    release_shuffles(spark)
     identity = np.zeros((len(found), len(found)))
     for _, places, matrix in fitted.slabs():
         identity += _scatter(matrix.multiply(_local(whitening, spark)), len(places))
     identity_error = float(np.abs(identity / n - np.outer(mean, mean) - np.eye(len(found))).max())
     discard(fitted.table)
-    _release(spark)
+    release_shuffles(spark)
 
     path = new_path(spark, "projected-blocks")
     for slab, places, matrix in everything.slabs():
@@ -225,7 +218,7 @@ def whiten(
         ).write.mode("append").parquet(path)
     # A matrix column is read as the struct it is stored as.
     projected = spark.read.schema(f"part long, block long, m {_MATRIX}").parquet(path)
-    _release(spark)
+    release_shuffles(spark)
     k = len(found)
     row = F.transform(
         F.sequence(F.lit(0), F.size("id") - 1),
