@@ -85,7 +85,8 @@ def _first_places(codes: np.ndarray, n: int) -> np.ndarray:
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, int]:
     found = pa.array(keys).dictionary_encode()
-    return found.indices.to_numpy(), len(found.dictionary)
+    # 32-bit numbers would not hold what they are multiplied to.
+    return found.indices.to_numpy().astype(np.int64), len(found.dictionary)
 
 
 class Words:

@@ -89,6 +89,15 @@ def test_blocks_of_words(spark, nasty, monkeypatch):
     assert got == Counter(zlib.crc32(f.encode()) % 10_000 for t in texts for f in features(t)[1])
 
 
+def test_many_distinct_words():
+    """Numbers of runs of words go beyond 32 bits."""
+    text = " ".join(f"w{i % 60_000}" for i in range(150_000))
+    got = Counter()
+    for _, found in importance.Words(pa.array([text])).buckets(10_000):
+        got.update(found[found >= 0].tolist())
+    assert got == Counter(zlib.crc32(f.encode()) % 10_000 for f in features(text)[1])
+
+
 def test_crc_of_rows():
     rows = np.random.default_rng(1).integers(0, 256, (50, 37), dtype=np.uint8)
     assert importance.crc_of_rows(rows).tolist() == [zlib.crc32(r.tobytes()) for r in rows]
