@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from checks.base import ORACLES, as_of, check, jobs, table, with_jobs
 from listwright.sources import html_feeds, json_feeds, rss_feeds
-from listwright.sources.landing import quarantine
-from listwright.session import cut_lineage
+from listwright.sources.landing import quarantine, read_landing, write_landing
+from listwright.session import scratch_path
 from listwright.sources.registry import NORMALIZERS, feed_health, normalize
 
 PER_RESPONSE = 50
@@ -618,7 +618,9 @@ ALL_SOURCES = [n for n in BUILDERS if f"normalize_{n}" in ORACLES]
     ),
 )
 def normalize_all(spark, d):
-    landing = cut_lineage(all_landing(spark, d, ALL_SOURCES))
+    path = scratch_path(spark, "all-landing")
+    write_landing(all_landing(spark, d, ALL_SOURCES), path)
+    landing = read_landing(spark, path)
     names = [r["source"] for r in landing.select("source").distinct().collect()]
     rows = shown(normalize(landing, names))
     text = F.concat_ws("|", "url", "title")

@@ -23,6 +23,11 @@ def read_landing(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return spark.read.schema(LANDING).format(fmt).load(path)
 
 
+def write_landing(landing: DataFrame, path: str) -> None:
+    """Add responses to a table with a folder for each source, so that a source reads its own only."""
+    landing.write.mode("append").partitionBy("source").parquet(path)
+
+
 def good_responses(landing: DataFrame, source: str) -> DataFrame:
     """Successful responses of one source, with ``feed_ord``.
 
