@@ -1,7 +1,8 @@
 """HTML as columns.
 
 The only Python here turns one HTML string into a flat list of nodes in document order
-(``html_nodes``) or into its plain text (``html_to_text``), one Arrow batch at a time.
+(``html_nodes``) or into its plain text (``html_to_text``), a slice of an Arrow batch at a time: a worker
+has the batch and the nodes of some pages in memory, however many pages the batch has.
 Every rule about those nodes (which anchor is a listing, what is its card, where is the
 company) is a Column expression further down.
 
@@ -11,11 +12,14 @@ its parent; so rules look at the nodes of one card, not at the page, again and a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html import unescape
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +50,10 @@ NODE = T.StructType(
     ]
 )
 NODES = T.ArrayType(NODE)
+_NODE_ARROW = pa.struct([(f.name, pa.int32() if f.dataType == T.IntegerType() else pa.string()) for f in NODE])
 _TAG = 4
+#: Pages that are parsed before their result is sent on: of so many bytes and rows at most, or a single one.
+_SLICE_BYTES, _SLICE_ROWS = 1 << 20, 1000
 
 
 class _Flattener(HTMLParser):
@@ -123,18 +130,36 @@ def _plain(html: str | None) -> str:
     return "\n".join(_lines(html))
 
 
-@F.pandas_udf(NODES)
-def html_nodes(html: pd.Series) -> pd.Series:
-    names = NODE.fieldNames()
-    return html.map(
-        lambda h: [dict(zip(names, n)) for n in _Flattener().run(h)] if h else []
-    )
+def _slices(batches: Iterator[pa.Array]) -> Iterator[list[str | None]]:
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start, before = 0, 0
+        while start < len(batch):
+            stop = int(np.searchsorted(ends, before + _SLICE_BYTES, side="right"))
+            stop = min(max(stop, start + 1), start + _SLICE_ROWS)
+            yield batch.slice(start, stop - start).to_pylist()
+            start, before = stop, ends[stop - 1]
 
 
-@F.pandas_udf(T.StringType())
-def html_to_text(html: pd.Series) -> pd.Series:
+def _node_lists(pages: list[str | None]) -> pa.Array:
+    """The nodes of each page as Arrow columns; none for an empty page or NULL."""
+    found = [_Flattener().run(h) if h else [] for h in pages]
+    columns = zip(*[node for nodes in found for node in nodes]) if any(found) else [()] * len(_NODE_ARROW)
+    nodes = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _NODE_ARROW)], fields=list(_NODE_ARROW))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), nodes)
+
+
+@F.arrow_udf(NODES)
+def html_nodes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for pages in _slices(batches):
+        yield _node_lists(pages)
+
+
+@F.arrow_udf(T.StringType())
+def html_to_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Text nodes on lines of their own, stripped, blank lines dropped; '' for nothing."""
-    return html.map(_plain)
+    for pages in _slices(batches):
+        yield pa.array(map(_plain, pages), pa.string())
 
 
 @F.pandas_udf(T.StringType())

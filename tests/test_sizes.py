@@ -1,5 +1,9 @@
 """Work that has to stay bounded, or spread, on large tables."""
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from listwright.functions import html
 from listwright.sources.landing import good_responses, read_landing, write_landing
 
 
@@ -8,3 +12,21 @@ def test_a_source_reads_its_own_responses_only(spark, landing, tmp_path):
     write_landing(landing(("rozee", "0", "a"), ("bayt", "0", "b")), str(path))
     (path / "source=bayt" / "broken.parquet").write_bytes(b"no table")
     assert [r.body for r in good_responses(read_landing(spark, str(path)), "rozee").collect()] == ["a"]
+
+
+def test_pages_are_parsed_in_slices():
+    pages = ["<p>a<br>b</p>", None, "", "x" * (3 << 20)] + ["<a href='/x'>y</a>"] * 2500
+    nodes = list(html.html_nodes.func(iter([pa.array(pages)])))
+    texts = list(html.html_to_text.func(iter([pa.array(pages)])))
+    assert [len(x) for x in nodes] == [len(x) for x in texts] and len(nodes) > 3 and max(map(len, nodes)) <= 1000
+    nodes, texts = (pa.chunked_array(x).to_pylist() for x in (nodes, texts))
+    assert texts == ["a\nb", "", "", pages[3]] + ["y"] * 2500
+    assert [len(n) for n in nodes] == [5, 0, 0, 2] + [3] * 2500 and nodes[-1][1]["href"] == "/x" and nodes[-1][2]["text"] == "y"
+    none = pa.chunked_array(list(html.html_nodes.func(iter([pa.array([None, ""], pa.string())]))))
+    assert none.to_pylist() == [[], []] and html._NODE_ARROW == none.type.value_type
+
+
+def test_slices_in_a_query(spark):
+    df = spark.range(5000).select("id", F.concat(F.lit("<p>"), "id", F.lit("</p>")).alias("page")).coalesce(1)
+    got = df.select("id", html.html_to_text("page").alias("text"), F.size(html.html_nodes("page")).alias("n"))
+    assert got.filter("text <> id or n <> 3").count() == 0 and got.count() == 5000
