@@ -12,7 +12,7 @@ from listwright import fixed_values as fv
 from listwright.operators.match import read_profile_files
 from listwright.plans import lifecycle
 from listwright.schemas import LISTING, read_listings
-from listwright.session import scratch_path, written
+from listwright.session import scratch_path, spread, written
 from listwright.sources import html_feeds, registry
 from listwright.sources.json_feeds import remotive
 from listwright.sources.registry import feed_health, normalize
@@ -112,7 +112,9 @@ def profile_files(spark, d):
     """A file for each customer of one nation, read as profiles; some are blank."""
     text = F.when(F.col("c_custkey") % 7 == 0, " \n ").otherwise(F.concat("c_name", F.lit("\n"), "c_mktsegment", F.lit(" \n")))
     path = scratch_path(spark, "profiles")
-    table(spark, d, "customer").filter("c_nationkey = 3").select("c_custkey", text.alias("value")).write.partitionBy("c_custkey").text(path)
+    # A file takes its time to make: all cores write, and a customer's rows are in one task.
+    rows = spread(table(spark, d, "customer").filter("c_nationkey = 3"), "c_custkey")
+    rows.select("c_custkey", text.alias("value")).write.partitionBy("c_custkey").text(path)
     found = read_profile_files(spark, f"{path}/*")
     return found.select(F.regexp_extract("path", r"c_custkey=(\d+)/", 1).cast("long").alias("c_custkey"), "text", "error")
 

@@ -3,6 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from checks import stored
 from listwright.functions import html
 from listwright.sources.landing import good_responses, read_landing, write_landing
 
@@ -30,3 +31,14 @@ def test_slices_in_a_query(spark):
     df = spark.range(5000).select("id", F.concat(F.lit("<p>"), "id", F.lit("</p>")).alias("page")).coalesce(1)
     got = df.select("id", html.html_to_text("page").alias("text"), F.size(html.html_nodes("page")).alias("n"))
     assert got.filter("text <> id or n <> 3").count() == 0 and got.count() == 5000
+
+
+def test_profile_files_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    rows = [(i, f"n{i}", 3, "m") for i in range(1, 41)]
+    rows = spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(stored, "scratch_path", lambda spark, label: str(tmp_path / label))
+    found = {r.c_custkey: r.text for r in stored.profile_files(spark, str(tmp_path)).collect()}
+    assert found == {i: None if i % 7 == 0 else f"n{i}\nm" for i in range(1, 41)}
+    files = list((tmp_path / "profiles").rglob("part-*.txt"))
+    assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 1
