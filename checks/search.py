@@ -10,6 +10,7 @@ from checks.base import B0, B1, TITLES, check, jobs, table, with_jobs
 from listwright import fixed_values as fv
 from listwright.operators import match
 from listwright.operators.search import search, search_batch
+from listwright.session import spread
 
 SEP = r"[\s_/-]+"
 
@@ -121,7 +122,7 @@ def search_exclusion_only(spark, d):
 
 
 def part_listings(spark, d):
-    return table(spark, d, "part").select(
+    return spread(table(spark, d, "part"), "p_partkey").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("title"),
         F.array("p_type").alias("tags"), F.col("p_brand").alias("company"),
         F.lit("").alias("description"),

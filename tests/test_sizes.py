@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from checks import stored
 from listwright.functions import html
+from listwright.operators import search
 from listwright.sources.landing import good_responses, read_landing, write_landing
 
 
@@ -42,3 +43,24 @@ def test_profile_files_are_written_by_several_tasks(spark, tmp_path, monkeypatch
     assert found == {i: None if i % 7 == 0 else f"n{i}\nm" for i in range(1, 41)}
     files = list((tmp_path / "profiles").rglob("part-*.txt"))
     assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 1
+
+
+def test_python_judges_neighbours_only(spark):
+    """Words that cannot be neighbours are judged without Python, and the same."""
+    fields = "role string, pos int, unit string, bit int, start int, j int, k int, n int, free_start boolean, free_end boolean, before string, lead_chars int, trail_chars int"
+    row = lambda role, pos, bit, start, k=1, j=0, n=2: (role, pos, f"u{pos}", bit, start, j, k, n, True, True, "a ", 0, 0)
+    groups = {
+        "apart": [row("term", 0, 8, 0), row("term", 1, 4, 0), row("neighbour", 0, 8, 0), row("neighbour", 1, 4, 0)],
+        "twice": [row("term", 0, 8, 0), row("term", 0, 1, 5), row("neighbour", 0, 8, 0), row("neighbour", 0, 8, 3)],
+        "excluded": [row("term", 1, 8, 0), row("exclude", 0, 8, 2)],
+        "only": [row("exclude", 0, 8, 2, n=0)],
+        "near": [row("term", 0, 8, 0), row("term", 1, 8, 1), row("neighbour", 0, 8, 0), row("neighbour", 1, 8, 1)],
+        "words": [row("term", 0, 8, 0, 2, 0), row("term", 0, 8, 0, 2, 1), row("term", 1, 8, 4, 2, 0)],
+    }
+    df = spark.createDataFrame([(g, *r) for g, rows in groups.items() for r in rows], f"g string, {fields}")
+    df = df.groupBy("g").agg(F.collect_list(F.struct(*df.columns[1:])).alias("rows"), search._may_be_near().alias("near"))
+    got = {r.g: r for r in df.select("g", "near", search._verdict().alias("v")).collect()}
+    assert {g for g, r in got.items() if r.near} == {"near", "words"}
+    names = [f.split()[0] for f in fields.split(", ")]
+    for g, rows in groups.items():
+        assert got[g].v.asDict() == search._judged([dict(zip(names, r)) for r in rows]), g
