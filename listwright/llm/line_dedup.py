@@ -7,8 +7,9 @@ line is indexed by its segments, by length and segment number, and looks for the
 few places where an alignment can have them. Lines that meet are verified by an edit distance in bits along a diagonal
 band of 2 k + 1 rows.
 
-Equal lines are one node from the start. Few nodes that share a segment give their pairs; a segment that many share is
-verified in blocks inside tasks, which hand on only the edges that connect what is near.
+Equal lines are one node from the start. The keys of the segments are dealt out and sorted once, and tasks go through them:
+few nodes that share a segment give their pairs; a segment that many share is verified in blocks inside tasks, which hand
+on only the edges that connect what is near.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm.common import discard, join_groups, query, table, written
+from listwright.llm.common import discard, join_groups, query, release_shuffles, table, written
 from listwright.llm.components import components
 from listwright.llm.near_dedup import in_filter, key_filter
 
@@ -122,6 +124,15 @@ def _short(nodes: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(nodes), ">i8")[::2].astype(np.int64)
 
 
+@lru_cache(4096)
+def _places(length: int, edits: int) -> tuple[list[tuple[int, int, int]], list[bool]]:
+    """(seed, start, end) of each segment key of a line, in bytes of UTF-32, and which of them are its own segments. The
+    seed stands for the length and the number of the segment."""
+    own = {(length, k, start, size) for k, (start, size) in enumerate(segments(length, edits))}
+    places = probes(length, edits)
+    return [(m * (edits + 1) + k, 4 * at, 4 * (at + size)) for m, k, at, size in places], [place in own for place in places]
+
+
 def _keys(edits: int):
     """(text) to (key, short, indexed): a row for each segment key of each line, indexed or only looked for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,14 +149,12 @@ def _keys(edits: int):
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(node)
-                        n = len(line)
-                        own = {digest(f"{n} {k} {line[at:at + size]}") for k, (at, size) in enumerate(segments(n, edits))}
-                        looked = {digest(f"{m} {k} {line[at:at + size]}") for m, k, at, size in probes(n, edits)} - own
-                        keys += own
-                        keys += looked
-                        indexed += [True] * len(own) + [False] * len(looked)
+                        places, own = _places(len(line), edits)
+                        chars = line.encode("utf-32-le")
+                        keys += [digest(chars[at:end], seed) for seed, at, end in places]
+                        indexed += own
                         nodes.append(node)
-                        counts.append(len(own) + len(looked))
+                        counts.append(len(places))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(_short(nodes), counts)),
                      pa.array(indexed, pa.bool_())],
@@ -155,6 +164,70 @@ def _keys(edits: int):
     return run
 
 
+def _distinct(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """(key, short, indexed) by key and short, each pair once, indexed if any of its rows is."""
+    order = np.lexsort((~rows[2], rows[1], rows[0]))
+    key, short, indexed = (c[order] for c in rows)
+    first = np.append(True, (key[1:] != key[:-1]) | (short[1:] != short[:-1]))[:len(key)]
+    return [key[first], short[first], indexed[first]]
+
+
+def _met_rows(key: np.ndarray | None, a: np.ndarray, b: np.ndarray | None, indexed: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [none if key is None else pa.array(key), pa.array(a), none if b is None else pa.array(b), pa.array(indexed, pa.bool_())],
+        names=["key", "a", "b", "indexed"],
+    )
+
+
+def _of_groups(rows: list[np.ndarray], small: int) -> Iterator[pa.RecordBatch]:
+    """What ``_met`` gives for whole groups."""
+    if not len(rows[0]):
+        return
+    same = rows[0][1:] == rows[0][:-1]
+    shared = np.append(False, same) | np.append(same, False)
+    key, short, indexed = _distinct([c[shared] for c in rows])
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+    sizes = np.diff(np.append(starts, len(key)))
+    large = np.repeat(sizes > small, sizes)
+    if large.any():
+        yield _met_rows(key[large], short[large], None, indexed[large])
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= small)]):
+        at = starts[sizes == size, None] + np.arange(size)
+        i, j = (at[:, k].ravel() for k in np.triu_indices(size, 1))
+        looked_for = indexed[i] | indexed[j]
+        i, j = i[looked_for], j[looked_for]
+        yield _met_rows(None, short[i], short[j], np.ones(len(i), bool))
+
+
+def _met(small: int):
+    """(key, short, indexed) in order of the keys to (key, a, b, indexed): the pairs (a, b) of nodes that share a key and of
+    which one is indexed there, without the key; of a key that more than ``small`` nodes share its rows instead, as a.
+
+    The rows of the last key wait for the next batch; those of a crowded key go on as they come.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, crowded = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)], None
+        for batch in batches:
+            rows = [np.append(c, new.to_numpy(zero_copy_only=False)) for c, new in zip(rows, batch.columns)]
+            if crowded is not None:
+                more = rows[0] == crowded
+                yield _met_rows(rows[0][more], rows[1][more], None, rows[2][more])
+                rows = [c[~more] for c in rows]
+            if not len(rows[0]):
+                continue
+            last = rows[0] == rows[0][-1]
+            yield from _of_groups([c[~last] for c in rows], small)
+            rows, crowded = _distinct([c[last] for c in rows]), None
+            if len(rows[0]) > small:
+                crowded = rows[0][0]
+                yield _met_rows(rows[0], rows[1], None, rows[2])
+                rows = [c[:0] for c in rows]
+        yield from _of_groups(rows, small)
+
+    return run
+
+
 def _found_lines(bits):
     """(text) to (short, node, line) of the lines whose short is in the filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,20 +293,16 @@ def _near_in_block(edits: int):
 def near_lines(texts: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): edges that connect the lines (MD5 of each) of ``texts`` (column text) that are within ``edits`` edits."""
     spark = texts.sparkSession
-    keys = written(texts.select("text").mapInArrow(_keys(edits), "key long, short long, indexed boolean"), "line-keys")
-    shared = keys.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("short").alias("a"), F.max("short").alias("b"), F.bool_or("indexed").alias("any"),
-    )
-    shared = written(shared.filter("any and a < b").drop("any"), "line-buckets")
-    # n counts rows; a node that tasks met apart counts more than once, which at worst sends it the longer way.
-    few = keys.join(shared.filter(F.col("n").between(3, SMALL_BUCKET)).select("key"), "key").distinct()
-    other = few.select("key", F.col("short").alias("b"), F.col("indexed").alias("other"))
-    pairs = shared.filter("n = 2").select("a", "b").unionByName(
-        few.withColumnRenamed("short", "a").join(other, "key").filter("a < b and (indexed or other)").select("a", "b")
-    )
-    pairs = written(pairs.distinct(), "line-pairs")
-    crowded = shared.filter(F.col("n") > SMALL_BUCKET).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    large = keys.join(crowded, "key").groupBy("key", "short", "blocks").agg(F.bool_or("indexed").alias("indexed"))
+    keys = texts.select("text").mapInArrow(_keys(edits), "key long, short long, indexed boolean")
+    met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_met(SMALL_BUCKET), "key long, a long, b long, indexed boolean")
+    met = written(met, "line-buckets")
+    release_shuffles(spark)
+    pairs = written(met.filter("key is null").select("a", "b").distinct(), "line-pairs")
+    rows = met.filter("key is not null").select("key", F.col("a").alias("short"), "indexed")
+    # n counts rows; a node that tasks met apart may count more than once, which at worst makes more blocks.
+    crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_or("indexed").alias("any")).filter("any")
+    crowded = crowded.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    large = rows.join(crowded, "key").groupBy("key", "short", "blocks").agg(F.bool_or("indexed").alias("indexed"))
     large = written(large.withColumn("block", F.pmod(F.xxhash64("short"), F.col("blocks")).cast("int")), "line-blocks")
 
     # Candidates' texts are read again, found by a filter of fixed size.
@@ -252,7 +321,7 @@ def near_lines(texts: DataFrame, edits: int = EDITS) -> DataFrame:
     )
     in_blocks = spread.join(lines, "short").groupBy("key", "i", "j").applyInArrow(_near_in_block(edits), "a binary, b binary")
     near_ = written(verified.unionByName(in_blocks).distinct(), "near-lines")
-    discard(keys, shared, pairs, large, needed, lines)
+    discard(met, pairs, large, needed, lines)
     return near_
 
 
@@ -290,6 +359,7 @@ def kept_text(text: Column, dropped: Column) -> Column:
 def _joined(docs: DataFrame, edits: int, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
     """``docs`` and, in a second column set, the numbers of the lines that go."""
     gone = written(repeated_lines(docs, edits, id_col, text_col), "dropped-lines")
+    release_shuffles(docs.sparkSession)
     joined = docs.join(gone.hint("shuffle_hash"), F.xxhash64(docs[id_col], docs[text_col]) == gone["key"], "left")
     return joined, gone["dropped"]
 
