@@ -39,6 +39,8 @@ _FACTOR = 0x9E3779B97F4A7C15
 _TOGETHER = 64
 #: Unseen words that a worker remembers.
 _CACHE_SIZE = 300_000
+#: The texts are answered in so many rounds, so that shuffle files are there for a part of the words at a time.
+_ROUNDS = 2
 
 
 def _words(text: str) -> list[str]:
@@ -81,7 +83,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = counters.setdefault(lang, Counter())
             for gram in _grams(word):
                 counts[gram] += n
-            if len(counts) > _COUNTER_SIZE:
+            if len(counts) * len(counters) > _COUNTER_SIZE:
                 yield from _flush(counters)
     yield from _flush(counters)
 
@@ -320,23 +322,24 @@ def predicted(spark: SparkSession, model: LanguageModel, text: Column) -> Column
     return predict(text)
 
 
-_PART = "n_words long, n_letters long, n_frequent long, langs array<string>, above array<double>, words array<string>, times array<long>"
+_PART = "n_words long, n_letters long, n_frequent long, n_known long, langs array<int>, above array<double>, words array<string>, times array<int>"
+
+
+def _lists(lengths: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), values)
 
 
 def _frequent_part(spark: SparkSession, model: LanguageModel):
-    """What the broadcast words say of a text, and its other words, each with how often it comes."""
+    """What the broadcast words say of a text, and its other words, each with how often it comes. n_known are the letters of
+    the broadcast words."""
     shared = spark.sparkContext.broadcast(model)
-    kind = pa.struct([
-        ("n_words", pa.int64()), ("n_letters", pa.int64()), ("n_frequent", pa.int64()), ("langs", pa.list_(pa.string())),
-        ("above", pa.list_(pa.float64())), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64())),
-    ])
 
     @F.arrow_udf(_PART)
     def part(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value
-        names, place = known.languages, known.words
+        place = known.words
         for batch in batches:
-            out = []
+            sizes, totals, n_rest, rest_words, rest_times = [], [], [], [], []
             for text in batch:
                 words = _words(text.as_py() or "")
                 if not _lettered(words):
@@ -344,13 +347,21 @@ def _frequent_part(spark: SparkSession, model: LanguageModel):
                 places = list(map(place.get, words))
                 rest = Counter([w for w, k in zip(words, places) if k is None])
                 places = [k for k in places if k is not None]
-                total = known.table[places].sum(axis=0, dtype=np.float64)
-                hit = np.flatnonzero(total)
-                out.append({
-                    "n_words": len(words), "n_letters": sum(map(len, words)), "n_frequent": len(places),
-                    "langs": [names[k] for k in hit], "above": total[hit], "words": list(rest), "times": list(rest.values()),
-                })
-            yield pa.array(out, kind)
+                totals.append(known.table[places].sum(axis=0, dtype=np.float64))
+                letters = sum(map(len, words))
+                sizes.append((len(words), letters, len(places), letters - sum(len(w) * n for w, n in rest.items())))
+                n_rest.append(len(rest))
+                rest_words += rest
+                rest_times += rest.values()
+            totals = np.array(totals).reshape(len(batch), len(known.languages))
+            text, lang = np.nonzero(totals)
+            n_langs = np.bincount(text, minlength=len(batch))
+            yield pa.StructArray.from_arrays(
+                [pa.array(c) for c in np.array(sizes, np.int64).reshape(-1, 4).T]
+                + [_lists(n_langs, pa.array(lang, pa.int32())), _lists(n_langs, pa.array(totals[text, lang])),
+                   _lists(n_rest, pa.array(rest_words, pa.string())), _lists(n_rest, pa.array(rest_times, pa.int32()))],
+                ["n_words", "n_letters", "n_frequent", "n_known", "langs", "above", "words", "times"],
+            )
 
     return part
 
@@ -412,17 +423,17 @@ def _by_broadcast_grams(model, bits):
 
 
 def _looked_up(asked: DataFrame, model: LanguageModel) -> DataFrame:
-    """(word, size, weights, letters, pairs) of the asked words (word, size): how much of each base counts, the known
-    letters, and what is above it by the number of the language. Words of which no letter is known are not there."""
+    """(word, size, letters, orders, langs, above) of the asked words (word, size): the known letters, how many of the n-grams
+    that say something are of each length (null: the word itself is known), and what is above the base by the number of the
+    language. Words of which no letter is known are not there."""
     def above(n: Column) -> Column:
         return F.log((n + SMOOTHING) / SMOOTHING)
 
     rest, context = model.rest, asked.sparkSession.sparkContext
     found = written(asked.join(rest.words.select(F.col("unit").alias("word"), "counts"), "word", "left"), "asked-words")
-    pairs = F.transform(F.map_entries("counts"), lambda e: F.struct(e["key"].alias("lang"), above(e["value"]).alias("above")))
-    weights = F.array(F.lit(1.0), *[F.lit(0.0)] * LONGEST_GRAM)
     seen = found.filter(F.col("counts").isNotNull()).select(
-        "word", "size", weights.alias("weights"), F.length("word").cast("long").alias("letters"), pairs.alias("pairs")
+        "word", "size", F.length("word").alias("letters"), F.lit(None).cast("array<int>").alias("orders"),
+        F.map_keys("counts").alias("langs"), F.transform(F.map_values("counts"), above).alias("above"),
     )
     unseen = found.filter(F.col("counts").isNull()).select("word", "size")
     release_shuffles(asked.sparkSession)
@@ -447,16 +458,16 @@ def _looked_up(asked: DataFrame, model: LanguageModel) -> DataFrame:
     none = F.array([F.lit(0).cast("long")] * (LONGEST_GRAM + 1))
     both = both.withColumn("orders", F.zip_with("orders", F.coalesce("more_orders", none), lambda a, b: a + b))
     both = both.withColumn("m", F.aggregate("orders", F.lit(0).cast("long"), lambda a, b: a + b))
-    own = F.zip_with("langs", "above", lambda l, a: F.struct(l.alias("lang"), (a / F.col("m")).alias("above")))
-    more = F.transform("more", lambda e: F.struct(e["lang"].alias("lang"), (e["above"] / F.col("m")).alias("above")))
+    more = F.coalesce("more", F.array().cast("array<struct<lang:string,above:double>>"))
+    sums = F.concat("above", F.transform(more, lambda e: e["above"]))
     by_grams = both.select(
-        "word", F.transform("orders", lambda n: n / F.col("m")).alias("weights"), "letters",
-        F.when(F.col("more").isNull(), own).otherwise(F.concat(own, more)).alias("pairs"),
+        "word", F.col("letters").cast("int").alias("letters"), F.col("orders").cast("array<int>").alias("orders"),
+        F.concat("langs", F.transform(more, lambda e: e["lang"])).alias("langs"), F.transform(sums, lambda a: a / F.col("m")).alias("above"),
     )
-    by_grams = unseen.join(by_grams, "word").select("word", "size", "weights", "letters", "pairs")
+    by_grams = unseen.join(by_grams, "word").select("word", "size", "letters", "orders", "langs", "above")
     place = F.create_map(*[F.lit(v) for k, l in enumerate(model.languages) for v in (l, k)])
-    numbered = F.transform("pairs", lambda e: F.struct(F.element_at(place, e["lang"]).alias("lang"), e["above"].alias("above")))
-    looked = written(seen.unionByName(by_grams).withColumn("pairs", numbered), "looked-up-words")
+    looked = seen.unionByName(by_grams).withColumn("langs", F.transform("langs", lambda l: F.element_at(place, l)))
+    looked = written(looked, "looked-up-words")
     discard(found, split, places, wanted, hits)
     return looked
 
@@ -481,20 +492,22 @@ def _finished(spark: SparkSession, model: LanguageModel):
             weights = np.zeros((n, len(base)))
             weights[:, 0] = n_frequent.to_numpy(zero_copy_only=False)
             known = known.to_numpy(zero_copy_only=False).astype(float)
-            text, names = _spread_over(langs)
-            at = pc.index_in(names, pa.array(languages, names.type)).to_numpy(zero_copy_only=False)
-            total = np.bincount(text * k + at, above.flatten().to_numpy(zero_copy_only=False), n * k)
+            text, at = _spread_over(langs)
+            total = np.bincount(text * k + at.to_numpy(zero_copy_only=False), above.flatten().to_numpy(zero_copy_only=False), n * k)
             text, words = _spread_over(rest)
             if len(words):
-                times, of_word, letters, pairs = words.flatten()
-                times = times.to_numpy(zero_copy_only=False)
+                times, letters, orders, langs, above = words.flatten()
+                times = times.to_numpy(zero_copy_only=False).astype(float)
                 known = known + np.bincount(text, times * letters.to_numpy(zero_copy_only=False), n)
-                of_word = of_word.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(base))
-                for j in range(len(base)):
-                    weights[:, j] += np.bincount(text, times * of_word[:, j], n)
-                word, pairs = _spread_over(pairs)
-                lang, more = (c.to_numpy(zero_copy_only=False) for c in pairs.flatten())
-                total = total + np.bincount(text[word] * k + lang, times[word] * more, n * k)
+                by_grams = orders.is_valid().to_numpy(zero_copy_only=False)
+                weights[:, 0] += np.bincount(text[~by_grams], times[~by_grams], n)
+                orders = orders.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(base))
+                orders = orders / orders.sum(axis=1, keepdims=True)
+                for j in range(1, len(base)):
+                    weights[:, j] += np.bincount(text[by_grams], times[by_grams] * orders[:, j], n)
+                word, lang = _spread_over(langs)
+                above = above.flatten().to_numpy(zero_copy_only=False)
+                total = total + np.bincount(text[word] * k + lang.to_numpy(zero_copy_only=False), times[word] * above, n * k)
             total = total.reshape(n, k) + weights @ base
             answers = [
                 (*choose(own, size), size, size_letters, int(round(known_letters))) if size else (UNKNOWN, 0.0, 0, 0, 0)
@@ -505,13 +518,17 @@ def _finished(spark: SparkSession, model: LanguageModel):
     return finish
 
 
-def identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identified(
+    docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None, spent: bool = False
+) -> DataFrame:
     """(row, answer) for each row of ``docs``: its columns as a struct, and the answer of ``predicted`` for its text.
 
-    With ``keep`` the struct has those columns only; what is not kept, as the text, is not written in between.
+    With ``keep`` the struct has those columns only; what is not kept, as the text, is not written in between. With
+    ``spent`` the model is not used again: its written tables go once they are read.
 
     A model that is not whole takes joins of the texts' distinct words that are not broadcast, of their n-grams, and of
-    what was found for them; words and n-grams that come often are spread over the tasks.
+    what was found for them; words and n-grams that come often are spread over the tasks. Rows wait apart until the answers
+    are written: no step that works on words or numbers has them with it.
     """
     spark = docs.sparkSession
     row = F.struct(*[docs[c] for c in (docs.columns if keep is None else keep)]).alias("row")
@@ -522,29 +539,30 @@ def identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", ke
     rest = scanned.select("row_id", F.explode(F.arrays_zip("part.words", "part.times")).alias("w")).select(
         "row_id", F.col("w.words").alias("word"), F.col("w.times").alias("times")
     )
-    rest = written(rest, "other-words")
+    n_rest = scanned.agg(F.coalesce(F.sum(F.size("part.words")), F.lit(0))).first()[0]
     looked = _looked_up(rest.groupBy("word").agg(F.count(F.lit(1)).alias("size")), model)
+    if spent:
+        discard(model.rest.words, model.rest.grams)
     release_shuffles(spark)
-    gathered = join_groups(rest, looked, "word", "size", rest.count()).groupBy("row_id").agg(
-        F.collect_list(F.struct("times", "weights", "letters", "pairs")).alias("rest")
-    )
-    gathered = written(gathered, "gathered-words")
-    release_shuffles(spark)
-    n_other = F.aggregate(
-        F.arrays_zip("part.words", "part.times"), F.lit(0).cast("long"), lambda n, w: n + F.length(w["words"]) * w["times"]
-    )
-    scanned_ = scanned.select("row", "row_id", "part", (F.col("part.n_letters") - n_other).alias("known"))
-    discard(rest, looked)
-    answer = _finished(spark, model)(
-        "part.n_words", "part.n_letters", "part.n_frequent", "known", "part.langs", "part.above", "rest"
-    )
-    return scanned_.join(gathered, "row_id", "left").select("row", answer.alias("answer"))
+    parts = scanned.select("row_id", *[f"part.{c}" for c in ("n_words", "n_letters", "n_frequent", "n_known", "langs", "above")])
+    answer = _finished(spark, model)("n_words", "n_letters", "n_frequent", "n_known", "langs", "above", "rest")
+    answers = None
+    for k in range(_ROUNDS):
+        own = F.pmod(F.xxhash64("row_id"), F.lit(_ROUNDS)) == k
+        gathered = join_groups(rest.filter(own), looked, "word", "size", n_rest).groupBy("row_id").agg(
+            F.collect_list(F.struct("times", "letters", "orders", "langs", "above")).alias("rest")
+        )
+        some = written(parts.filter(own).join(gathered, "row_id", "left").select("row_id", answer.alias("answer")), "language-answers")
+        answers = some if answers is None else answers.unionByName(some)
+        release_shuffles(spark)
+    discard(looked)
+    return scanned.select("row", "row_id").join(answers.hint("shuffle_hash"), "row_id").select("row", "answer")
 
 
 @query("op3_language_id")
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = identified(docs.select("doc_id", "text"), learn(docs), keep=["doc_id"])
+    found = identified(docs.select("doc_id", "text"), learn(docs), keep=["doc_id"], spent=True)
     return found.select(
         F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id")).alias("held_out"), F.col("answer.lang").alias("lang_pred"), F.col("answer.score").alias("score")
     )

@@ -35,3 +35,25 @@ def test_joined_model_answers_as_the_whole_one(spark, documents, monkeypatch, mo
         a, b = r["answer"].asDict(), want[r["doc_id"]].asDict()
         assert a.pop("score") == pytest.approx(b.pop("score"), abs=1e-4)
         assert a == b
+
+
+def test_words_are_written_once_and_rows_wait_apart(spark, documents, monkeypatch):
+    """Of a model that is not whole, the texts' words are in one table; nothing but that table has the rows; a spent model's
+    tables are gone."""
+    docs, tables = documents.select("doc_id", "text", "lang"), {}
+    written = language.written
+
+    def noted(df, label):
+        tables.setdefault(label, []).append(df)
+        return written(df, label)
+
+    monkeypatch.setattr(language, "MODEL_BYTES", 300 * (language.UNIT_BYTES + 16))
+    model = language.learn(docs)
+    monkeypatch.setattr(language, "written", noted)
+    found = language.identified(docs, model, spent=True)
+    assert [label for label, dfs in tables.items() if "row_id" in dfs[0].columns] == ["scanned-texts", "language-answers"]
+    assert [label for label, dfs in tables.items() if "row" in dfs[0].columns] == ["scanned-texts"]
+    assert found.filter("row.text is not null").count() == docs.filter("text is not null").count()
+    for df in (model.rest.words, model.rest.grams):
+        with pytest.raises(Exception):
+            df.count()
