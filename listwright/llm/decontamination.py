@@ -15,10 +15,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwright.llm.common import LOWER, UPPER, WORD, query, table
+from listwright.session import keep_computed
 
 #: Words of a window.
 WINDOW = 10
@@ -196,23 +198,26 @@ _FOUND_ARROW = pa.struct([
 ])
 
 
-def _scan_with(spark: SparkSession, block: list[tuple[str, list[str]]]):
-    shared = spark.sparkContext.broadcast(ItemAutomaton(block))
+def _shared_automata(spark: SparkSession, benchmark: DataFrame) -> list[Broadcast]:
+    shared = [spark.sparkContext.broadcast(ItemAutomaton(block)) for block in item_blocks(benchmark)]
+    return shared or [spark.sparkContext.broadcast(ItemAutomaton([]))]
 
+
+def _found_in(automata: list[ItemAutomaton], words: list[str]) -> dict:
+    """What the column contamination says of a document's words."""
+    spans, items = automata[0].scan(words)
+    for automaton in automata[1:]:
+        more, others = automaton.scan(words)
+        spans, items = _merged(spans + more), items | others
+    return {"n_words": len(words), "spans": [{"start": s, "end": e} for s, e in spans], "items": sorted(items)}
+
+
+def _scan(shared: list[Broadcast]):
     @F.arrow_udf(_FOUND)
-    def scan(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        automaton = shared.value
-        for texts, before in batches:
-            out = []
-            for text, old in zip(texts, before):
-                words = words_of(text.as_py())
-                spans, items = automaton.scan(words)
-                if old.is_valid:
-                    was = old.as_py()
-                    spans = _merged(spans + [(s["start"], s["end"]) for s in was["spans"]])
-                    items |= set(was["items"])
-                out.append({"n_words": len(words), "spans": [{"start": s, "end": e} for s, e in spans], "items": sorted(items)})
-            yield pa.array(out, _FOUND_ARROW)
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automata = [s.value for s in shared]
+        for texts in batches:
+            yield pa.array([_found_in(automata, words_of(text.as_py())) for text in texts], _FOUND_ARROW)
 
     return scan
 
@@ -225,34 +230,45 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     texts have no words. Repeated items count once for each id. An empty benchmark hits nothing. Repeated documents each
     get the same. A column contamination that was there before is replaced.
     """
-    spark = docs.sparkSession
-    found = F.lit(None).cast(f"struct<{_FOUND.replace(' long', ':bigint').replace('spans ', 'spans:').replace('items ', 'items:')}>")
-    scans = [_scan_with(spark, block) for block in item_blocks(benchmark)] or [_scan_with(spark, [])]
-    for scan in scans:
-        found = scan(F.col(text_col), found)
-    return docs.withColumn("contamination", found)
+    scan = _scan(_shared_automata(docs.sparkSession, benchmark))
+    return docs.withColumn("contamination", scan(F.col(text_col)))
 
 
-def _cut_spans(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def _without_spans(text: str | None, spans: list[dict[str, int]]) -> str | None:
     """The text without the words of the spans and what stands between them; the rest stays as it is."""
-    for texts, spans in batches:
-        out = []
-        for text, cuts in zip(texts, spans):
-            text, cuts = text.as_py(), cuts.as_py()
-            if not text or not cuts:
-                out.append(text)
-                continue
-            places = [m.span() for m in _WORD.finditer(text.translate(_LOWERED))]
-            kept, at = [], 0
-            for cut in cuts:
-                kept.append(text[at:places[cut["start"]][0]])
-                at = places[cut["end"] - 1][1]
-            out.append("".join(kept) + text[at:])
-        yield pa.array(out, pa.string())
+    if not text or not spans:
+        return text
+    places = [m.span() for m in _WORD.finditer(text.translate(_LOWERED))]
+    kept, at = [], 0
+    for cut in spans:
+        kept.append(text[at:places[cut["start"]][0]])
+        at = places[cut["end"] - 1][1]
+    return "".join(kept) + text[at:]
+
 
+_CLEANED = f"contamination struct<{_FOUND}>, text string"
+_CLEANED_ARROW = pa.struct([("contamination", _FOUND_ARROW), ("text", pa.string())])
 
-def without_spans(text: Column, spans: Column) -> Column:
-    return F.arrow_udf(_cut_spans, "string")(text, spans)
+
+def _clean(shared: list[Broadcast], most_covered: float):
+    """What was found in a text and the text without it; null where more than the limit is hit.
+
+    Scan, limit and cut are one function: each of its own would take a Python worker of its own in every task.
+    """
+    @F.arrow_udf(_CLEANED)
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automata = [s.value for s in shared]
+        for texts in batches:
+            out = []
+            for text in texts:
+                text = text.as_py()
+                found = _found_in(automata, words_of(text))
+                n_hit = sum(s["end"] - s["start"] for s in found["spans"])
+                goes = n_hit > found["n_words"] * most_covered
+                out.append(None if goes else {"contamination": found, "text": _without_spans(text, found["spans"])})
+            yield pa.array(out, _CLEANED_ARROW)
+
+    return clean
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", most_covered: float = MOST_COVERED) -> DataFrame:
@@ -260,12 +276,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     Same columns as ``docs``. Documents without hits are left as they are, null and empty texts among them.
     """
-    names = docs.columns
-    found = find_contamination(docs, benchmark, text_col)
-    n_hit = hit_words(F.col("contamination.spans"))
-    found = found.filter(n_hit <= F.col("contamination.n_words") * most_covered)
-    cleaned = F.when(F.size("contamination.spans") > 0, without_spans(F.col(text_col), F.col("contamination.spans"))).otherwise(F.col(text_col))
-    return found.withColumn(text_col, cleaned).select(*names)
+    result = "cleaned"
+    while result in map(str.lower, docs.columns):
+        result += "_"
+    clean = _clean(_shared_automata(docs.sparkSession, benchmark), most_covered)
+    left = keep_computed(docs, result, clean(F.col(text_col)))
+    new = {"contamination": F.col(f"{result}.contamination"), text_col: F.col(f"{result}.text")}
+    return left.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def hit_words(spans: Column) -> Column:
