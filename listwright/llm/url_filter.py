@@ -28,6 +28,9 @@ UNIT = 1_000_000
 BINS = 1000
 #: The rows of frequent grams are spread over so many keys.
 SALTS = 8
+#: How grams and urls are joined. Left to itself Spark broadcasts through the driver what was small when it was shuffled,
+#: however much larger it is by then: ratios are multiplied by the salts.
+DEALT = "shuffle_hash"
 
 
 @dataclass(frozen=True)
@@ -102,12 +105,12 @@ def gram_ratios(counted: DataFrame) -> DataFrame:
             F.sum("a").alias("na"), F.sum("r").alias("nr"),
             F.sum((F.col("a") > 0).cast("long")).alias("ta"), F.sum((F.col("r") > 0).cast("long")).alias("tr"),
         )
-        level = level.join(contexts, "context")
+        level = level.join(contexts.hint(DEALT), "context")
         if below is None:
             level = level.withColumn("pa0", F.lit(1.0 / ALPHABET)).withColumn("pr0", F.lit(1.0 / ALPHABET))
         else:
             shorter = below.select(F.col("gram").alias("short"), F.col("pa").alias("pa0"), F.col("pr").alias("pr0"))
-            level = level.join(shorter, F.expr(f"right(gram, {k - 1})") == F.col("short"))
+            level = level.join(shorter.hint(DEALT), F.expr(f"right(gram, {k - 1})") == F.col("short"))
         estimate = lambda c: F.when(F.col("n" + c) == 0, F.col(f"p{c}0")).otherwise(
             (F.col(c) + F.col("t" + c) * F.col(f"p{c}0")) / (F.col("n" + c) + F.col("t" + c))
         )
@@ -116,12 +119,12 @@ def gram_ratios(counted: DataFrame) -> DataFrame:
 
 
 def score_urls(urls: DataFrame, ratios: DataFrame) -> DataFrame:
-    """(key, score): mean of the grams' ratios of each url. Frequent grams are salted."""
+    """(key, score): mean of the grams' ratios of each url. Frequent grams are salted; none pass through the driver."""
     salted = ratios.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     ones = urls.select("key", F.explode(grams(F.col("scored"))).alias("gram")).withColumn(
         "salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
     )
-    return ones.join(salted, ["gram", "salt"]).groupBy("key").agg(
+    return ones.join(salted.hint(DEALT), ["gram", "salt"]).groupBy("key").agg(
         (F.sum("ratio") / F.count(F.lit(1)) / UNIT).alias("score")
     )
 
@@ -176,7 +179,7 @@ def filter_urls(
         "urls",
     )
     ratios = gram_ratios(written(count_grams(urls), "url-grams"))
-    scored = written(urls.join(score_urls(urls, ratios), "key"), "url-scores")
+    scored = written(urls.join(score_urls(urls, ratios).hint(DEALT), "key"), "url-scores")
     threshold = best_threshold(scored)
     verdict = F.coalesce("ruled", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     return scored.select("id", "host", "path", "rule", verdict.alias("verdict"), "score", F.lit(threshold).alias("threshold"))
