@@ -4,6 +4,7 @@ the source under test, and compared with the values the fixture put in."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from checks.base import ORACLES, as_of, check, jobs, table, with_jobs
 from listwright.sources import html_feeds, json_feeds, rss_feeds
 from listwright.sources.landing import quarantine, read_landing, write_landing
-from listwright.session import scratch_path
+from listwright.session import release_shuffles, remove_path, scratch_path
 from listwright.sources.registry import NORMALIZERS, feed_health, normalize
 
 PER_RESPONSE = 50
@@ -31,15 +32,52 @@ def landed(pages: DataFrame, source: str, body: Column, key: Column | None = Non
     )
 
 
+class Dealt(str):
+    """A folder of test tables of which ``rows`` are the listings, dealt out by page into buckets."""
+
+    rows: DataFrame
+
+
+def listings(spark, d):
+    return d.rows if isinstance(d, Dealt) else jobs(spark, d)
+
+
+#: What responses are made of.
+LISTED = ["id", "url", "title", "company", "location", "tags", "budget", "description", "posted_at"]
+
+
+def page_of(at: Column) -> Column:
+    return F.floor(at / PER_RESPONSE).alias("page")
+
+
+def wide_of(spark) -> int:
+    """As many partitions as a landing table would have files: small ones are not merged."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@contextmanager
+def dealt(spark, d):
+    """``d`` with the listings joined and dealt out by page once, for any number of feeds made of them."""
+    path, wide = scratch_path(spark, "dealt-listings"), wide_of(spark)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    rows = jobs(spark, d).select(page_of(c("id")), *LISTED).repartition(wide, "page")
+    rows.write.bucketBy(wide, "page").option("compression", "zstd").option("path", path).saveAsTable(name)
+    release_shuffles(spark)
+    folder = Dealt(d)
+    folder.rows = spark.table(name)
+    try:
+        yield folder
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        remove_path(spark, path)
+
+
 def pages_of(rows: DataFrame, item: Column, separator: str = ",", order: str = "id") -> DataFrame:
-    """(page, items): the items of 50 rows in order, as one text."""
-    at = c(order)
-    spark = rows.sparkSession
-    # As many partitions as a landing table would have files: small ones are not merged.
-    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """(page, items): the items of 50 rows in order, as one text. Rows that have their page are dealt out by it."""
+    at, is_dealt = c(order), "page" in rows.columns
+    rows = rows.select(c("page") if is_dealt else page_of(at), at.alias("at"), item.alias("item"))
     return (
-        rows.select(F.floor(at / PER_RESPONSE).alias("page"), at.alias("at"), item.alias("item"))
-        .repartition(wide, "page").groupBy("page")
+        (rows if is_dealt else rows.repartition(wide_of(rows.sparkSession), "page")).groupBy("page")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))),
                                       lambda x: x["item"]), separator).alias("items"))
     )
@@ -137,7 +175,7 @@ def remoteok(spark, d):
         location=c("location"), date=F.when(odd(), F.concat(iso(), lit("Z"))),
         epoch=F.when(~odd(), epoch()),
     )
-    pages = pages_of(jobs(spark, d), item)
+    pages = pages_of(listings(spark, d), item)
     return landed(pages, "remoteok", F.concat(lit('[{"legal": "terms"},'), "items", lit("]")))
 
 
@@ -153,7 +191,7 @@ def remotive(spark, d):
         tags=c("tags"), salary=F.coalesce("budget", lit("")), candidate_required_location=c("location"),
         publication_date=iso(),
     )
-    return landed(pages_of(jobs(spark, d), item), "remotive", F.concat(lit('{"jobs": ['), "items", lit("]}")))
+    return landed(pages_of(listings(spark, d), item), "remotive", F.concat(lit('{"jobs": ['), "items", lit("]}")))
 
 
 @source_check(
@@ -177,7 +215,7 @@ def jobicy(spark, d):
         jobDescription=F.when(odd(), as_html()), jobExcerpt=as_html(), pubDate=iso(),
     )
     item = F.when(odd(), shape(lit("Tech"))).otherwise(shape(c("tags")))
-    return landed(pages_of(jobs(spark, d), item), "jobicy", F.concat(lit('{"jobs": ['), "items", lit("]}")))
+    return landed(pages_of(listings(spark, d), item), "jobicy", F.concat(lit('{"jobs": ['), "items", lit("]}")))
 
 
 @source_check(
@@ -194,7 +232,7 @@ def arbeitnow(spark, d):
         remote=c("id") % 4 != 0, tags=c("tags"), job_types=lit("Contract"), location=c("location"),
         description=as_html(), created_at=epoch(),
     )
-    return landed(pages_of(jobs(spark, d), item), "arbeitnow", F.concat(lit('{"data": ['), "items", lit("]}")))
+    return landed(pages_of(listings(spark, d), item), "arbeitnow", F.concat(lit('{"data": ['), "items", lit("]}")))
 
 
 @source_check(
@@ -213,7 +251,7 @@ def themuse(spark, d):
         company=named(c("company")), levels=F.transform("tags", named),
         categories=F.array(named(lit("Software"))), publication_date=F.concat(iso(), lit("Z")),
     )
-    return landed(pages_of(jobs(spark, d), item), "themuse", F.concat(lit('{"results": ['), "items", lit("]}")))
+    return landed(pages_of(listings(spark, d), item), "themuse", F.concat(lit('{"results": ['), "items", lit("]}")))
 
 
 @source_check(
@@ -237,7 +275,7 @@ def skipthedrive(spark, d):
     )
     item = obj(id=c("id"), link=c("url"), slug=slug, date_gmt=iso(), title=wrapped(F.concat("title", lit(" &amp;  More"))),
                content=wrapped(content))
-    return landed(pages_of(jobs(spark, d), item), "skipthedrive", F.concat(lit("["), "items", lit("]")))
+    return landed(pages_of(listings(spark, d), item), "skipthedrive", F.concat(lit("["), "items", lit("]")))
 
 
 _MONEY = """'$' || CAST(20 + id % 5 AS VARCHAR) || 'k'"""
@@ -266,7 +304,7 @@ def underdog(spark, d):
         created_at=c("posted_at").cast("string"), is_expired=c("id") % 5 == 2,
     )
     body = F.concat(lit('{"error": false, "objJobs": ['), "items", lit('], "pagination": {"pages": 9}}'))
-    return landed(pages_of(jobs(spark, d), item), "underdog", body)
+    return landed(pages_of(listings(spark, d), item), "underdog", body)
 
 
 @source_check(
@@ -289,7 +327,7 @@ def builtin(spark, d):
     good = F.concat(lit('{"data": {"customFilteredJobs": {"customFilteredJobs": ['), "items", lit("]}}}"))
     bad = F.concat(lit('{"errors": [{"message": "name ats_details"}], "data": {"customFilteredJobs": {"customFilteredJobs": ['),
                    "items", lit("]}}}"))
-    return landed(pages_of(jobs(spark, d), item), "builtin", F.when(c("page") % 4 == 1, bad).otherwise(good))
+    return landed(pages_of(listings(spark, d), item), "builtin", F.when(c("page") % 4 == 1, bad).otherwise(good))
 
 
 @source_check(
@@ -310,7 +348,7 @@ def reddit(spark, d):
         F.when(odd(), "Paid").alias("link_flair_text"), lit(" ").alias("selftext"),
         F.when(c("id") % 3 == 0, as_html()).alias("selftext_html"), epoch().alias("created_utc"),
     )
-    pages = pages_of(jobs(spark, d), F.to_json(F.struct(post.alias("data"))))
+    pages = pages_of(listings(spark, d), F.to_json(F.struct(post.alias("data"))))
     key = F.when(c("page") % 2 == 0, "forhire").otherwise("remotejs")
     return landed(pages, "reddit", F.concat(lit('{"data": {"children": ['), "items", lit("]}}")), key)
 
@@ -376,12 +414,12 @@ _GUID = "CASE WHEN id % 2 = 1 THEN 'g' || CAST(id AS VARCHAR) ELSE trim(url) END
 def wwr(spark, d):
     title = F.when(c("company").isNotNull(), F.concat("company", lit(": "), "title")).otherwise(c("title"))
     tags = F.array_join(F.transform("tags", lambda t: F.concat(lit("<category>"), t, lit("</category>"))), "")
-    return rss(pages_of(jobs(spark, d), rss_item(title, tags), ""), "wwr")
+    return rss(pages_of(listings(spark, d), rss_item(title, tags), ""), "wwr")
 
 
 def _indeed(spark, d, source):
     title = F.concat_ws(" - ", F.concat("title", lit(" - R&D")), F.coalesce("company", lit("Hidden")), "location")
-    return rss(pages_of(jobs(spark, d), rss_item(title), ""), source)
+    return rss(pages_of(listings(spark, d), rss_item(title), ""), source)
 
 
 # Without a location the title has two cuts only, so its parts move one place to the left.
@@ -405,7 +443,7 @@ def indeed(spark, d):
 )
 def indeed_pk(spark, d):
     title = F.concat_ws(" - ", "title", "company")
-    return rss(pages_of(jobs(spark, d), rss_item(title), ""), "indeed_pk")
+    return rss(pages_of(listings(spark, d), rss_item(title), ""), "indeed_pk")
 
 
 @source_check(
@@ -415,7 +453,7 @@ def indeed_pk(spark, d):
     rss_feeds.upwork,
 )
 def upwork_rss(spark, d):
-    pages = pages_of(jobs(spark, d), rss_item(c("title")), "")
+    pages = pages_of(listings(spark, d), rss_item(c("title")), "")
     pages = pages.withColumn("items", F.when(c("page") % 5 == 3, "").otherwise(c("items")))
     status = F.when(c("page") % 5 == 1, 403).when(c("page") % 5 == 2, 500).otherwise(200)
     return rss(pages, "upwork_rss", status=status)
@@ -471,7 +509,7 @@ def jobgether(spark, d):
         lit("</a></p><div>"), F.coalesce(F.concat(lit("Remote from <i>"), "location", lit("</i>")), lit("Remote ok")),
         lit("</div><div>Full timers welcome</div><span>$50k</span>"), chips, lit("</div>"),
     )
-    return web(pages_of(jobs(spark, d), item, ""), "jobgether")
+    return web(pages_of(listings(spark, d), item, ""), "jobgether")
 
 
 @source_check(
@@ -494,7 +532,7 @@ def wellfound(spark, d):
         lit("k</span></div><div><span>Remote only</span></div><div><span>4 years of exp</span></div><span>"),
         c("id") % 9 + 1, lit(" days ago</span></div></div></section>"),
     )
-    return web(pages_of(jobs(spark, d), item, ""), "wellfound")
+    return web(pages_of(listings(spark, d), item, ""), "wellfound")
 
 
 @source_check(
@@ -512,7 +550,7 @@ def linkedin_email(spark, d):
         lit("<table><tr><td>"), link, "title", lit("</a><br>"),
         F.coalesce(F.concat(lit("<p>"), "company", lit(" · Oslo</p>")), lit("")), link, lit("View job</a></td></tr></table>"),
     )
-    return web(pages_of(jobs(spark, d), item, ""), "linkedin_email")
+    return web(pages_of(listings(spark, d), item, ""), "linkedin_email")
 
 
 @source_check(
@@ -530,7 +568,7 @@ def linkedin_web(spark, d):
         span("base-search-card__subtitle", c("company"), "h4"), span("job-search-card__location", c("location")), time,
         lit("</div></li>"),
     )
-    return web(pages_of(jobs(spark, d), item, ""), "linkedin_web")
+    return web(pages_of(listings(spark, d), item, ""), "linkedin_web")
 
 
 @source_check(
@@ -548,7 +586,7 @@ def mustakbil(spark, d):
         span("jl-salary", c("budget")), elements(c("tags"), '<span class="jl-chip">', "</span>"),
         lit('<span class="jl-chip"><i class="icon">time</i>3 Years</span><p class="jl-desc">Short text</p></article>'),
     )
-    return web(pages_of(jobs(spark, d), item, ""), "mustakbil")
+    return web(pages_of(listings(spark, d), item, ""), "mustakbil")
 
 
 @source_check(
@@ -564,7 +602,7 @@ def rozee(spark, d):
         F.coalesce("company", lit("Posted today")), lit("</p>"), F.coalesce(F.concat(lit("<p>"), "location", lit("</p>")), lit("")),
         lit("<p>more</p></li><a href='/x-jobs-77'>Category link</a>"),
     )
-    return web(pages_of(jobs(spark, d), item, ""), "rozee")
+    return web(pages_of(listings(spark, d), item, ""), "rozee")
 
 
 @source_check(
@@ -582,7 +620,7 @@ def bayt(spark, d):
         lit("<li><h2><a href='/en/pakistan/jobs/x-"), 10000 + c("id"), lit("'><b>"), "title", lit("</b> wanted</a></h2>"),
         F.coalesce(firm, lit("")), lit("</li><a href='/en/pakistan/jobs/?page=20000'>next page</a>"),
     )
-    return web(pages_of(jobs(spark, d), item, ""), "bayt")
+    return web(pages_of(listings(spark, d), item, ""), "bayt")
 
 
 # ------------------------------------------------------------------ all together
@@ -618,14 +656,27 @@ ALL_SOURCES = [n for n in BUILDERS if f"normalize_{n}" in ORACLES]
     ),
 )
 def normalize_all(spark, d):
-    path = scratch_path(spark, "all-landing")
-    write_landing(all_landing(spark, d, ALL_SOURCES), path)
-    landing = read_landing(spark, path)
+    """One source after the other: what it landed goes when its rows are counted, before the next one lands."""
+    counted = []
+    with dealt(spark, d) as folder:
+        for name in ALL_SOURCES:
+            path = scratch_path(spark, "all-landing")
+            write_landing(BUILDERS[name](spark, folder), path)
+            counted += counts_by_source(read_landing(spark, path))
+            remove_path(spark, path)
+            release_shuffles(spark)
+    return spark.createDataFrame(counted, "source string, n long, rows_hash long")
+
+
+def counts_by_source(landing: DataFrame) -> list:
+    """(source, n, rows_hash) of the rows of every source that has landed something."""
     names = [r["source"] for r in landing.select("source").distinct().collect()]
+    if not names:
+        return []
     rows = shown(normalize(landing, names))
     text = F.concat_ws("|", "url", "title")
     number = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.bit_xor(number).alias("rows_hash"))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.bit_xor(number).alias("rows_hash")).collect()
 
 
 @check(

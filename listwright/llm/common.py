@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.session import ship_package
+from listwright.session import release_shuffles, remove_path, ship_package  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,15 +75,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` once everything that reads them has been written itself."""
     for df in tables:
-        context = df.sparkSession.sparkContext
-        place = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let go of shuffle files that nothing refers to any more; Spark does so when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        remove_path(df.sparkSession, df.written_to)
 
 
 def ascii_lower(text: Column) -> Column:

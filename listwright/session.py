@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -65,6 +66,18 @@ def list_folder(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete what is at the path, in whatever file system it names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of shuffle files that nothing refers to any more; Spark does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that all executors share; see ``cut_lineage`` for which one that is."""
     return f"{_shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
